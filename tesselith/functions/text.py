@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.functions import vocab
@@ -17,6 +17,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def worked_out(df: DataFrame) -> DataFrame:
+    """df with its columns held by a generator: filters above don't go below it, where they would work costly columns out again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def clean(c: Column) -> Column:
     """White space of any kind to single spaces, none at the ends; null to ''."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -92,7 +97,7 @@ def query_rewrite(question: Column, language: Column | None = None) -> Column:
 def initial_tool(question: Column, language: Column | None = None) -> Column:
     """keyword_search for Japanese, quotes, digits and acronyms; else semantic_search."""
     q = F.coalesce(question, F.lit(""))
-    exact = has_japanese(q) | q.rlike('["“”「」『』]') | q.rlike(r"\d") | q.rlike(r"\b[A-Z]{2,}\b")
+    exact = has_japanese(q) | q.rlike('["“”「」『』]') | q.rlike(r"\d") | q.rlike(r"(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])")
     if language is not None:
         exact = exact | (F.coalesce(language, F.lit("")) == "ja")
     return F.when(exact, "keyword_search").otherwise("semantic_search")

@@ -40,8 +40,6 @@ def nearest(anchors: DataFrame, segments: DataFrame) -> DataFrame:
     before = F.max("s").over(w.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
     after = F.min("s").over(w.orderBy(F.desc("t"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, 0))
     d = rows.withColumns({"p": before, "n": after}).where("kind = 1")
-    # equal starts: the first of them
-    pick = F.least(F.struct((F.col("t") - F.col("p.start_ds")).alias("apart"), F.col("p.ord").alias("ord")), F.struct((F.col("n.start_ds") - F.col("t")).alias("apart"), F.col("n.ord").alias("ord")))
     side = lambda c, a: F.when(F.col(c).isNotNull(), F.struct(a.alias("apart"), F.col(f"{c}.ord").alias("ord")))
     pick = F.least(side("p", F.col("t") - F.col("p.start_ds")), side("n", F.col("n.start_ds") - F.col("t")))
     return d.select("doc_id", "anchor", pick["ord"].alias("ord"), pick["apart"].alias("apart"))
@@ -130,7 +128,7 @@ def profiles(lines: DataFrame, titles: DataFrame, max_sections: int = 5, overvie
     return d.select("doc_id", "title", "overview", "sections", F.concat_ws("\n", "title", "overview", F.array_join(F.transform("sections", lambda s: s["text"]), "\n")).alias("lexical_text"))
 
 
-def multi_vector_scores(hits: DataFrame, digits: int = 6) -> DataFrame:
+def multi_vector_scores(hits: DataFrame, digits: int = 9) -> DataFrame:
     """(query_id, source_id, dense_score): 0.7 and 0.3 of the best two vectors, then 0.85 of that and 0.15 of the identity vector.
 
     hits: (query_id, source_id, vector_type, score). A source with one vector takes its score; one without an identity vector

@@ -124,6 +124,7 @@ def topic_counts(rows: DataFrame) -> DataFrame:
 
 def filtered(rows: DataFrame, doc_id=None, quality: str | None = None, included: bool | None = None, topic: str | None = None, text: str | None = None) -> DataFrame:
     """Manifest rows by equality, topic (any case) and a substring of id, title, text or exclusion reason (any case)."""
+    rows = T.worked_out(rows)
     if doc_id is not None:
         rows = rows.where(F.col("doc_id") == doc_id)
     if quality:
