@@ -272,4 +272,18 @@ SELECT doc_id, section, focus_score, query_match_count, rank FROM (SELECT *, row
     "source_merge": f"""WITH a AS (SELECT doc_id, {PROVIDER.format(m=4)} AS p, source AS ci, doc_id % 3 <> 0 AS has, {PROVIDER.format(m=7)} AS np, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'new' END AS nci, CASE WHEN doc_id % 2 = 0 THEN 'named' END AS ncn FROM documents),
 b AS (SELECT *, has AND (np NOT IN ('fallback', 'legacy') OR nci IS NOT NULL OR ncn IS NOT NULL) AND {PRIO.format(c='np')} >= {PRIO.format(c='p')} AS take FROM a)
 SELECT doc_id, CASE WHEN take THEN np ELSE p END AS provider, coalesce(CASE WHEN has THEN nci END, ci) AS channel_id, coalesce(CASE WHEN has THEN ncn END, 'old') AS channel_name, CASE WHEN take THEN '2024-02-01' ELSE '2024-01-01' END AS fetched_at FROM b""",
+    "study_quality": f"""WITH {LINES}, c AS (SELECT doc_id AS deck_id, trim(regexp_replace(lower({CLEAN.format(c="substr(text, 1, 40)")}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k, ord % 7 <> 6 AS ev, ord % 7 <> 6 AND ord % 3 <> 2 AND {CLEAN.format(c="text")} <> '' AS an, ord % 5 <> 4 AS ob, length({CLEAN.format(c="text")}) <= 360 AS co,
+  NOT regexp_matches(lower({CLEAN.format(c="substr(text, 1, 40)")}), '(^|[^\\p{{L}}\\p{{N}}_])\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?($|[^\\p{{L}}\\p{{N}}_])') AS un FROM seg),
+g AS (SELECT deck_id, count(*) AS cards, round(1 - count(DISTINCT k)::DOUBLE / count(*), 3) AS duplicate_rate, round(avg(ev::INT), 3) AS evidence_rate, round(avg(an::INT), 3) AS answerable_rate, round(avg(co::INT), 3) AS concise_rate, round(avg(un::INT), 3) AS untimed_rate, round(avg(ob::INT), 3) AS o FROM c GROUP BY 1),
+h AS (SELECT *, round(((evidence_rate >= 1)::INT * 2 + (answerable_rate >= 1)::INT + 2 + (untimed_rate >= 1)::INT + (concise_rate >= 0.85)::INT + (o >= 1)::INT + (duplicate_rate <= 0)::INT) / 9.0::DOUBLE, 3) AS score FROM g)
+SELECT deck_id, cards, duplicate_rate, evidence_rate, answerable_rate, concise_rate, untimed_rate, score, CASE WHEN score >= 1 THEN 'pass' ELSE 'review' END AS verdict FROM h""",
+    "draft_cases": f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1),
+c AS (SELECT conv_id % 20 AS draft_id, conv_id * 100 + turn AS ord, {CLEAN.format(c="substr(text, 1, 12)")} AS query, ['fact', 'compare', 'summary', 'negative', 'odd'][(conv_id + turn) % 5 + 1] AS ty, turn % 4 <> 3 AS facts, (turn < coalesce(n, 0))::INT + (turn + 40 < coalesce(n, 0))::INT AS ev FROM conversations LEFT JOIN n ON doc_id = conv_id * 2),
+o AS (SELECT *, query <> '' AND ty <> 'odd' AND ev > 0 AND facts AS ok FROM c), t AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY draft_id, lower(query)) AS tk FROM o),
+r AS (SELECT *, CASE WHEN query = '' OR ord > tk THEN 'blank_or_duplicate' WHEN ty = 'odd' THEN 'invalid_type' WHEN NOT ok THEN 'no_evidence_or_facts' ELSE 'valid' END AS outcome FROM t)
+SELECT draft_id, ord, query, outcome, ev::BIGINT AS n_evidence, outcome = 'valid' AND row_number() OVER (PARTITION BY draft_id, ty, outcome ORDER BY ord) > 1 AS repeated_type FROM r""",
+    "answer_payloads": f"""WITH {QRY}, p AS (SELECT query_id, array_to_string(terms, ' ') AS query, query_id % 7 <> 0 AS said, CASE WHEN query_id % 6 = 0 THEN '' ELSE array_to_string(terms, ' ') || ' [2]' END AS t, query_id % 9 = 0 AS cf,
+  CASE WHEN query_id % 4 = 0 THEN [] WHEN query_id % 5 IN (1, 3) THEN [query_id % 5, 2] ELSE [2] END AS ids FROM q), a AS (SELECT *, said AND len(ids) > 0 AND t <> '' AS ok FROM p)
+SELECT query_id, CASE WHEN ok THEN 'answered' ELSE 'insufficient_evidence' END AS status, CASE WHEN ok AND NOT cf THEN 'high' ELSE 'low' END AS confidence,
+CASE WHEN ok THEN t || CASE WHEN len(ids) = 2 THEN ' [' || ids[1] || ']' ELSE '' END WHEN t = '' THEN 'Insufficient transcript evidence to answer confidently from the retrieved excerpts.' ELSE t END AS answer, array_to_string(ids, ',') AS citation_ids, (cf::INT + (said AND len(ids) = 0)::INT)::INT AS n_warnings FROM a""",
 }

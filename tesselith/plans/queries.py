@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
-from tesselith.operators import answers, chunking, curation, embedding, metrics, retrieval, review
+from tesselith.operators import answers, chunking, curation, drafts, embedding, metrics, retrieval, review
 from tesselith.sources import adapters
 from tesselith.sources.tables import table
 
@@ -605,4 +605,36 @@ def source_merge(s, d):
     return review.merged_sources(a, b)
 
 
+@query
+def study_quality(s, d):
+    """Lines as cards: the next line answers, every third lacks a cue, every fifth an objective."""
+    g = adapters.segments(s, d)
+    cards = g.select(
+        F.col("doc_id").alias("deck_id"), F.substring("text", 1, 40).alias("question"), F.col("text").alias("answer"), F.when(F.col("ord") % 3 == 2, "").otherwise("cue").alias("source_cue"), F.lit("Concept").alias("card_type"),
+        F.when(F.col("ord") % 5 == 4, "").otherwise("objective").alias("learning_objective"), F.lit("value").alias("why_it_matters"), F.col("start_ds").alias("start"), (F.col("ord") % 7 != 6).alias("has_evidence"),
+    )
+    return drafts.study_quality(cards).select("deck_id", "cards", "duplicate_rate", "evidence_rate", "answerable_rate", "concise_rate", "untimed_rate", "score", "verdict")
+
+
+@query
+def draft_cases(s, d):
+    """Conversation turns as draft cases: four types and an odd one, evidence by number."""
+    c = table(s, d, "conversations")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("fact", "compare", "summary", "negative", "odd")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    ev = F.array(F.struct((F.col("conv_id") * 2).alias("doc_id"), F.col("turn").alias("chunk_index")), F.struct((F.col("conv_id") * 2).alias("doc_id"), (F.col("turn") + 40).alias("chunk_index")))
+    cases = c.select((F.col("conv_id") % 20).alias("draft_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.substring("text", 1, 12).alias("query"), kind.alias("case_type"), F.when(F.col("turn") % 4 == 3, F.array(F.lit(" "))).otherwise(F.array(F.lit("fact"))).alias("facts"), ev.alias("evidence"))
+    chunks = adapters.segments(s, d).select("doc_id", F.col("ord").alias("chunk_index"))
+    return drafts.canonical_cases(cases, chunks, ["fact", "compare", "summary", "negative"])
+
+
+@query
+def answer_payloads(s, d):
+    """Model payloads made of benchmark items, against citations 1 to 3."""
+    q = adapters.query_table(s, d).select("query_id", "query")
+    cites = F.array(F.struct((F.col("query_id") % 5).cast("string").alias("citation_id"), F.lit("r").alias("reason")), F.struct(F.lit("2").alias("citation_id"), F.lit("r").alias("reason")))
+    payload = F.to_json(F.struct(F.when(F.col("query_id") % 7 == 0, "odd").otherwise("Answered").alias("status"), F.lit("high").alias("confidence"), F.when(F.col("query_id") % 6 == 0, "").otherwise(F.concat("query", F.lit(" [2]"))).alias("answer"), (F.col("query_id") % 9 == 0).alias("has_conflict"), F.when(F.col("query_id") % 4 != 0, cites).alias("citations")))
+    known = q.select("query_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("citation_id"))
+    return drafts.normalised_answers(q.select("query_id", payload.alias("payload")), known)
+
+
 QUERIES = dict(Q)
