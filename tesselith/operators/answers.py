@@ -11,7 +11,7 @@ from tesselith.operators.retrieval import ranked
 
 
 def read_context(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """(doc_id, status, requested_start, requested_end, start, end, segment_count, text) for requests (doc_id, at_ds, window_ds).
+    """(doc_id, at_ds, status, requested_start, requested_end, start, end, segment_count, text) for requests (doc_id, at_ds, window_ds).
 
     Segments that touch the window, clamped to the transcript; 'out_of_bounds' outside it, 'no_transcript' without lines.
     """
@@ -23,7 +23,7 @@ def read_context(lines: DataFrame, requests: DataFrame) -> DataFrame:
     d = d.withColumn("hit", F.expr("if(status = 'ok', filter(lines, x -> greatest(x.start_ds, x.end_ds) >= rs and least(x.start_ds, x.end_ds) <= re), filter(lines, x -> false))"))
     ok = F.col("status") == "ok"
     return d.select(
-        "doc_id", "status", F.when(ok, F.col("rs")).alias("requested_start"), F.when(ok, F.col("re")).alias("requested_end"),
+        "doc_id", "at_ds", "status", F.when(ok, F.col("rs")).alias("requested_start"), F.when(ok, F.col("re")).alias("requested_end"),
         F.array_min(F.transform("hit", lambda x: F.least(x["start_ds"], x["end_ds"]))).alias("start"), F.array_max(F.transform("hit", lambda x: F.greatest(x["start_ds"], x["end_ds"]))).alias("end"),
         F.size("hit").cast("long").alias("segment_count"), F.array_join(F.transform("hit", lambda x: F.trim(x["text"])), "\n").alias("text"),
     )
