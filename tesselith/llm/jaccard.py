@@ -6,10 +6,10 @@ is (band, part, content of that part): pairs meet only inside tiles, in their ow
 its edge. That loses no pair, and needs no comparison of all sets in a band with each other. Parts with one
 shingle or none say little and are left out by sets that can spare them (fewer such parts than p - d).
 
-In a tile each set is held against one centre, not against all others. Pairs pass, in order: sizes; the bit counts
-of hashed bitmaps, which bound the overlap from above; the exact intersection of sorted arrays. Sets joined by a link to
-the same component need no further comparison; a few rounds with other centres leave little, and what is left is
-compared pair by pair.
+In a tile each set is first held against one centre, not against all others. Pairs pass, in order: sizes; the bit counts
+of hashed bitmaps, which bound the overlap from above; the exact intersection of sorted arrays. Sets that links to a
+centre have joined need no further comparison. What is left of a centre's group is compared block by block, a task a pair of blocks, and
+only links are given out.
 
 Shingles are 64-bit hashes of their words; different shingles are taken to have different hashes.
 """
@@ -17,7 +17,6 @@ Shingles are 64-bit hashes of their words; different shingles are taken to have
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ from tesselith.llm.common import connected_components, drop_written, written
 
 BAND_RATIO = 1.5
 BITMAP_BITS = 1024
-ROUNDS = 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,7 +219,57 @@ def _exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+#: Sets of a block, and shingles that they hold together.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a group in different components; rows (m, lo, hi, own, id, c, s), sorted by group.
+
+    A task holds two blocks of one group. Pairs are compared in place, bitmaps first, and only links are given out, one for
+    each two components that a block joins: no row stands for a pair that was merely compared.
+    """
+
+    def compared(rows: list[tuple], lo: int, hi: int) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        n = np.array([len(x) for x in sets])
+        bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(len(rows), -1)
+        own, ids, label = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows])
+        right = np.arange(len(rows)) if lo == hi else np.flatnonzero(own == hi)
+        out = []
+        for i in range(len(rows)) if lo == hi else np.flatnonzero(own == lo).tolist():
+            j = right[right > i] if lo == hi else right
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if not len(j):
+                continue
+            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+            for k in j[100 * most >= percent * (n[i] + n[j] - most)].tolist():
+                if label[k] != label[i]:
+                    common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * common >= percent * (n[i] + n[k] - common):
+                        out.append((ids[i], ids[k]))
+                        label[label == label[k]] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        for batch in batches:
+            for m, lo, hi, own, i, c, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (m, lo, hi) != key:
+                    if len(rows) > 1:
+                        found += compared(rows, *key[1:])
+                    key, rows = (m, lo, hi), []
+                rows.append((own, i, c, x))
+        if len(rows) > 1:
+            found += compared(rows, *key[1:])
+        yield give()
+
+    dealt = members.repartition("m", "lo", "hi").sortWithinPartitions("m", "lo", "hi", "id")
+    return dealt.select("m", "lo", "hi", "own", "id", "c", "s").mapInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each id: links join texts whose shingle sets are at least percent/100 similar.
 
     component_id is the smallest id reachable by links, itself included. Null, empty and blank texts have no shingle and no
@@ -231,38 +279,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     d = _documents(docs, id_col, text_col)
     meta = written(_meta(d, k).where("id is not null").dropDuplicates(["id"]), "jac-meta")
     tile = Window.partitionBy("tile").orderBy("id")
-    first = F.first("id").over(tile.rowsBetween(Window.unboundedPreceding, 0))
-    live = _tiles(d, k, percent).select("tile", "id", first.alias("centre"), F.lead("id").over(tile).alias("after"))
-    live = written(live.where("centre < id or after > id").select("tile", "id", "centre"), "jac-tiles")
-    ids = live.select("id").distinct()
+    live = _tiles(d, k, percent).select("tile", "id", F.lag("id").over(tile).alias("before"), F.lead("id").over(tile).alias("after"))
+    live = written(live.where("before < id or after > id").select("tile", "id"), "jac-tiles")
+    # a tile's centre is the member that shares the most tiles: of edited copies that is the original, or nearest to it
+    known = live.groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+    best = Window.partitionBy("tile").orderBy(F.desc("known"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    spokes = live.join(known, "id").select("id", F.first("id").over(best).alias("m")).where("id <> m").distinct()
+    spokes = written(spokes, "jac-spokes")
+    drop_written(live)
+    near = written(_bounded(spokes.select(F.col("id").alias("a"), F.col("m").alias("b")), meta, percent), "jac-near")
+    ids = spokes.select("id").union(spokes.select("m")).distinct()
     arrays = written(_arrays(d.join(ids, "id", "left_semi"), k).dropDuplicates(["id"]), "jac-sets")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        near = written(_bounded(pairs, meta, percent), "jac-near")
-        found = _exact(near.where("not sure").select("a", "b"), arrays, percent).union(near.where("sure").select("a", "b"))
-        return written(found, "jac-links")
-
-    edges = links(live.where("centre < id").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
-    component = written(connected_components(edges), "jac-comp")
-    for turn in range(rounds):
-        last = turn == rounds - 1
-        named = live.select("tile", "id").distinct().join(component, "id", "left").select("tile", "id", F.coalesce("component", "id").alias("c"))
-        mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tile")
-        live, before = written(named.join(mixed, "tile"), "jac-tiles"), live
-        drop_written(before)
-        if live.isEmpty():
-            break
-        if last:
-            other = live.select("tile", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = live.join(other, "tile").where("id > b and c <> cb").select(F.col("id").alias("a"), "b")
-        else:
-            order = Window.partitionBy("tile").orderBy(F.xxhash64("id", F.lit(random.Random(turn).getrandbits(31))))
-            centre = F.first(F.struct("id", "c")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-            pairs = live.withColumn("m", centre).where("c <> m.c").select(F.greatest("id", "m.id").alias("a"), F.least("id", "m.id").alias("b"))
-        more = links(pairs.distinct())
-        if not more.isEmpty():
-            edges = edges.union(more)
-            component = written(connected_components(edges), "jac-comp")
+    links = written(_exact(near.where("not sure").select("a", "b"), arrays, percent).union(near.where("sure").select("a", "b")), "jac-links")
+    component = written(connected_components(links), "jac-comp")
+    # two sets that share a tile share its centre: groups by centre hold every pair that may link
+    members = spokes.select("m", "id").union(spokes.select("m", F.col("m").alias("id")).distinct())
+    members = written(members.join(component, "id", "left").select("m", "id", F.coalesce("component", "id").alias("c")), "jac-members")
+    size = meta.select(F.col("id").alias("m"), "n")
+    group = members.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").join(size, "m")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.greatest(F.lit(16), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_SHINGLES) / F.greatest("n", F.lit(1))))))).cast("int")
+    open_ = members.join(group.select("m", parts.alias("parts")), "m").join(arrays, "id")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    open_ = open_.select("m", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c", "s")
+    more = written(_blocks(open_, percent), "jac-more")
+    if not more.isEmpty():
+        component = written(connected_components(links.union(more)), "jac-comp")
+    drop_written(arrays, members, near)
     out = meta.join(component, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
