@@ -396,8 +396,9 @@ def test_jaccard_chains_at_the_threshold(spark):
         rows.append((len(rows), " ".join(w[r.randint(0, 4) :])))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for k, percent in ((3, 90), (5, 80), (1, 80)):
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(d, k, percent).collect()}
-        assert got == brute_components(rows, k, percent)
+        for block in (512, 4):
+            got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(d, k, percent, block_rows=block).collect()}
+            assert got == brute_components(rows, k, percent)
 
 
 def test_jaccard_tiles_lose_no_pair():
