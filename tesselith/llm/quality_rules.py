@@ -16,13 +16,13 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: A group needs so many documents for fences of its own.
 MIN_GROUP = 200
 #: Fences lie so many spreads (upper minus lower quantile) beyond the quantiles, and at least the floor beyond.
-QUANTILES, SPREADS = (0.1, 0.9), 3.0
+QUANTILES, SPREADS = (0.25, 0.75), 4.0
 #: Ratios, with the least room that a fence leaves and the sides on which it stands.
 RATIOS = {
-    "mean_word": (1.0, "both"),
-    "symbol_ratio": (0.02, "upper"),
-    "dup_line_ratio": (0.1, "upper"),
-    "repeat_ratio": (0.1, "upper"),
+    "mean_word": (3.0, "both"),
+    "symbol_ratio": (0.03, "upper"),
+    "dup_line_ratio": (0.35, "upper"),
+    "repeat_ratio": (0.2, "upper"),
 }
 SKETCH_K = 400
 
