@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import connected_components, drop_written, written
@@ -220,7 +220,49 @@ def _exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 #: Sets of a block, and shingles that they hold together.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4_000_000
+
+
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """(m, id) of members with a partner in the group, in another component, that sizes and bitmaps leave; rows (m, lo, hi, own, id, c, n, bits)."""
+
+    def hits(rows: list[tuple], lo: int, hi: int) -> list[int]:
+        own, label, n = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        right, hit = np.arange(len(rows)) if lo == hi else np.flatnonzero(own == hi), np.zeros(len(rows), bool)
+        for i in range(len(rows)) if lo == hi else np.flatnonzero(own == lo).tolist():
+            j = right[right > i] if lo == hi else right
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if len(j):
+                most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+                j = j[100 * most >= percent * (n[i] + n[j] - most)]
+                hit[j] = True
+                hit[i] |= len(j) > 0
+        return np.flatnonzero(hit).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+        for batch in batches:
+            for m, lo, hi, *rest in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (m, lo, hi) != key:
+                    if len(rows) > 1:
+                        found += [(key[0], rows[i][1]) for i in hits(rows, *key[1:])]
+                    key, rows = (m, lo, hi), []
+                rows.append(tuple(rest))
+        if len(rows) > 1:
+            found += [(key[0], rows[i][1]) for i in hits(rows, *key[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["m", "id"])
+
+    dealt = members.repartition("m", "lo", "hi").sortWithinPartitions("m", "lo", "hi", "id")
+    return dealt.select("m", "lo", "hi", "own", "id", "c", "n", "bits").mapInArrow(run, "m long, id long").distinct()
+
+
+def _dealt(members: DataFrame, rows_of: Column) -> DataFrame:
+    """members (m, id, …) with blocks: parts by the group's size, and a row for each pair of blocks that the member's own is in."""
+    n = members.groupBy("m").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("largest"))
+    n = n.select("m", F.greatest(F.lit(1), F.ceil(F.col("rows") / rows_of)).cast("int").alias("parts"))
+    d = members.join(n, "m").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return d.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -295,16 +337,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # two sets that share a tile share its centre: groups by centre hold every pair that may link
     members = spokes.select("m", "id").union(spokes.select("m", F.col("m").alias("id")).distinct())
     members = written(members.join(component, "id", "left").select("m", "id", F.coalesce("component", "id").alias("c")), "jac-members")
-    size = meta.select(F.col("id").alias("m"), "n")
-    group = members.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").join(size, "m")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.greatest(F.lit(16), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_SHINGLES) / F.greatest("n", F.lit(1))))))).cast("int")
-    open_ = members.join(group.select("m", parts.alias("parts")), "m").join(arrays, "id")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    open_ = open_.select("m", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c", "s")
+    open_ = members.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("m")
+    light = members.join(open_, "m").join(meta.select("id", "n", "bits"), "id")
+    # bitmaps go first: sets are sent only for members with a possible partner
+    possible = written(_possible(_dealt(light, F.lit(block_rows)), percent), "jac-possible")
+    heavy = possible.join(members, ["m", "id"]).join(meta.select("id", "n"), "id").join(arrays, "id")
+    per_block = F.greatest(F.lit(16), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_SHINGLES) / F.greatest("largest", F.lit(1)))))
+    open_ = _dealt(heavy, per_block).select("m", "lo", "hi", "own", "id", "c", "s")
     more = written(_blocks(open_, percent), "jac-more")
     if not more.isEmpty():
         component = written(connected_components(links.union(more)), "jac-comp")
-    drop_written(arrays, members, near)
+    drop_written(arrays, members, near, possible)
     out = meta.join(component, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
