@@ -1,10 +1,12 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by the order of its nearest pivots (reference points drawn from the data, a bounded and
-documented sample); each vector is posted in the inverted lists of its pivots. Two vectors are candidates if they
-share MIN_SHARED of PREFIX pivots; then the cosine is verified in double precision. Sharing that many of the
-prefix means sharing one of its PREFIX - MIN_SHARED + 1 rarest pivots, so only those lists are kept. Long lists
-are cut into tiles by hash, and tiles meet in pairs: no list, however hot, is one task. Every vector is indexed.
+documented sample, spread apart so that a group of near copies holds one of them); each vector is posted in the inverted
+lists of its pivots. Two vectors are candidates if they have the same nearest pivot or share MIN_SHARED of PREFIX
+pivots; then the cosine is verified in double precision. The first are compared in a list of their own, which makes a dense
+group's comparison exact; sharing that many of the prefix means sharing one of its PREFIX - MIN_SHARED + 1 rarest
+pivots, so only those lists are kept besides. Long lists are cut into tiles by hash, and tiles meet in pairs: no list,
+however hot, is one task. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tesselith.llm.common import connected_components, drop_written, written
 PREFIX, MIN_SHARED, TILE_ROWS = 8, 4, 2048
 #: Pivots: PIVOTS_PER_ROOT times the square root of the vectors, within these bounds. The sample of reference points is no larger.
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 2.0, 16, 4096
+#: So many vectors are looked at for each pivot: those close to a pivot already taken are passed over.
+DRAWN_PER_PIVOT = 4
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -38,6 +42,19 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def spread_pivots(x: np.ndarray, most: int, threshold: float) -> np.ndarray:
+    """At most `most` of the unit vectors x, first come first taken, no two of them within twice the threshold's angle."""
+    limit = math.cos(2 * math.acos(min(1.0, max(-1.0, threshold)))) if threshold > 0 else -1.0
+    free, taken = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        if free[i]:
+            taken.append(i)
+            if len(taken) == most:
+                break
+            free &= x @ x[i] < limit
+    return x[taken]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", prefix: int = PREFIX, min_shared: int = MIN_SHARED, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -53,9 +70,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     reps = written(_valid(vectors, id_col, vec_col).join(member.where("vec_id = rep").select("vec_id", "members").distinct(), "vec_id").select("vec_id", "members", F.col("v").cast("array<double>").alias("v")), "vec-reps")
     n = reps.count()
     n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n)))))
-    # at most MAX_PIVOTS rows
-    sample = [r["v"] for r in reps.select("v", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(n_pivots).collect()]
-    pivots = {k: _unit([v for v in sample if len(v) == k]) for k in {len(v) for v in sample}}
+    # at most DRAWN_PER_PIVOT * MAX_PIVOTS rows
+    sample = [r["v"] for r in reps.select("v", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(DRAWN_PER_PIVOT * n_pivots).collect()]
+    pivots = {k: spread_pivots(_unit([v for v in sample if len(v) == k]), n_pivots, threshold) for k in {len(v) for v in sample}}
     width = max([0, *(len(p) for p in pivots.values())])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +92,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(list(x), pa.list_(pa.float64())), lists], ["id", "members", "x", "pivots"])
 
     described = written(reps.select("vec_id", "members", "v").mapInArrow(describe, "id long, members long, x array<double>, pivots array<long>"), "vec-index")
-    # a row a pivot, of which there are few
-    sizes = {r["p"]: r["n"] for r in described.select(F.explode("pivots").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # at most two rows a pivot, of which there are few; -1 - p is the list of those whose nearest pivot is p
+    sizes = {r["p"]: r["n"] for r in described.select(F.explode(F.concat("pivots", F.array(-1 - F.col("pivots")[0]))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = min(min_shared, max(1, width))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +101,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         for batch in batches:
             at, lists, ones, twos, own = [], [], [], [], []
             for i, (doc, pv) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                for p in sorted(pv, key=rare)[: max(1, len(pv) - shared + 1)]:
+                for p in [-1 - pv[0], *sorted(pv, key=rare)[: max(1, len(pv) - shared + 1)]]:
                     tiles = -(-sizes[p] // tile_rows)
                     mine = (doc * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % tiles
                     for other in range(tiles):
@@ -108,6 +125,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         x, y = np.stack(left.x.to_numpy()), np.stack(right.x.to_numpy())
         rare = lambda q: (sizes[int(q)], int(q))
         px, py = (np.array([sorted(v, key=rare) for v in side.pivots], np.int64) for side in (left, right))
+        near_x, near_y = (np.array([v[0] for v in side.pivots], np.int64) for side in (left, right))
         need = min(shared, px.shape[1])
         head = px.shape[1] - need + 1
         ids, weights = (left.id.to_numpy(), right.id.to_numpy()), (left.members.to_numpy(), right.members.to_numpy())
@@ -118,14 +136,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
             i, j = np.nonzero(x[lo : lo + 256] @ y.T >= threshold)
             i += lo
             ok = ids[0][i] < ids[1][j] if one == two else ids[0][i] != ids[1][j]
+            if p >= 0:  # pairs with one nearest pivot are counted in its own list
+                ok &= near_x[i] != near_y[j]
             i, j = i[ok], j[ok]
             for at in range(0, len(i), 50_000):
                 u, v = i[at : at + 50_000], j[at : at + 50_000]
-                same = px[u][:, :, None] == py[v][:, None, :]
-                # enough pivots shared, and this is the first list that both are posted in: a pair counts once
-                first = same[:, :head, :head].any(2)
-                ok = (same.sum((1, 2)) >= need) & first.any(1) & (px[u, first.argmax(1)] == p)
-                u, v = u[ok], v[ok]
+                if p >= 0:
+                    same = px[u][:, :, None] == py[v][:, None, :]
+                    # enough pivots shared, and this is the first list that both are posted in: a pair counts once
+                    first = same[:, :head, :head].any(2)
+                    ok = (same.sum((1, 2)) >= need) & first.any(1) & (px[u, first.argmax(1)] == p)
+                    u, v = u[ok], v[ok]
                 np.add.at(total, ix[u], weights[1][v])
                 np.add.at(total, iy[v], weights[0][u])
                 pairs.append((ix[u].astype(np.int32), iy[v].astype(np.int32)))

@@ -255,6 +255,21 @@ def test_vector_recall_at_the_threshold(spark):
     assert got >= 0.9 * 600
 
 
+def test_vector_recall_in_a_dense_group(spark):
+    """A third of the rows are distinct near copies of one vector: every link among them is found."""
+    g = np.random.default_rng(10)
+    base = g.normal(size=64)
+    rows = [*(base + g.normal(size=(3000, 64)) * 0.1), *g.normal(size=(6000, 64))]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(d, 0.95).collect()}
+    x = np.stack(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want[:3000].min() == 2999
+    assert all(got[i] == (2999, 0) for i in range(3000))
+    assert all(got[i][0] <= want[i] for i in range(9000))
+
+
 # WARC
 
 
