@@ -3,7 +3,7 @@
 Frequent words are classes of their own, other words share hashed classes; a word's probability is that of its
 class in context times its share of the class, both from counts over the whole corpus. The network reads the classes of SIDE words on
 either side: position-wise tables, a tanh layer and a softmax. It is trained in numpy where the data lie: each
-partition starts from the common weights and trains on a fixed share of all windows, and the weights are averaged by tokens.
+partition starts from the common weights and trains on every window of its texts, and the weights are averaged by tokens.
 Sums of conditional log-probabilities score documents.
 """
 
@@ -26,8 +26,8 @@ TOP, TAIL, BUCKETS = 192, 64, 1 << 14
 CLASSES = TOP + TAIL
 PAD = CLASSES
 SIDE, EMBED, HIDDEN = 2, 24, 48
-#: One window in STRIDE trains; ROUNDS of averaging.
-STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 2, 512, 0.01, 11
+#: One window in STRIDE trains (1: all of them); ROUNDS of averaging.
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 512, 0.01, 11
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHAPES = [("e", (CLASSES + 1, EMBED)), ("w", (2 * SIDE, EMBED, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, CLASSES)), ("c", (CLASSES,))]
 

@@ -597,3 +597,11 @@ def test_lm_prefers_what_it_knows(spark):
     probe = spark.createDataFrame([(1, "the cat sat down a dog ran off"), (2, "off cat the a down dog ran sat")], "doc_id long, text string")
     s = {x.doc_id: x.mean_log_prob for x in pseudo_lm.scores(probe, vocab, net).collect()}
     assert s[1] > s[2] + 0.5
+
+
+def test_lm_trains_on_ends_and_short_texts(spark):
+    """Every word of a short text is a training target, so the last ones are known too."""
+    d = spark.createDataFrame([(i, "red green blue") for i in range(8000)], "doc_id long, text string").coalesce(1)
+    vocab = pseudo_lm.vocabulary(pseudo_lm.word_counts(d))
+    net = pseudo_lm.trained(d, vocab)
+    assert pseudo_lm.scores(d.limit(1), vocab, net).first().log_prob > -0.5
