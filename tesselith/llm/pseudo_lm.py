@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Frequent words are classes of their own, other words share hashed classes; a word's probability is that of its
-class in context times its share of the class, both from counts over the whole corpus. The network reads the classes of SIDE words on
+Frequent words are classes of their own, other words share hashed classes, and both kinds grow with the number of distinct
+words; a word's probability is that of its class in context times its share of the class. The share is the word's own count
+in the whole corpus over the class's: tasks hold the counts of frequent words, those of the others are joined. The network reads the classes of SIDE words on
 either side: position-wise tables, a tanh layer and a softmax. It is trained in numpy where the data lie: each
 partition starts from the common weights and trains on every window of its texts, and the weights are averaged by tokens.
 Sums of conditional log-probabilities score documents.
@@ -16,20 +17,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import written
 
-#: Own classes, hashed classes, hash buckets of rarer words.
-TOP, TAIL, BUCKETS = 192, 64, 1 << 14
+#: Own classes and hashed classes, at least; own classes a cube root of the distinct words; the count from which a word may be own.
+TOP, TAIL, PER_ROOT, MIN_COUNT = 192, 64, 2.5, 2
+#: Words besides whose counts tasks hold; the counts of rarer ones are joined.
+KNOWN = 1 << 17
 CLASSES = TOP + TAIL
 PAD = CLASSES
 SIDE, EMBED, HIDDEN = 2, 24, 48
 #: One window in STRIDE trains (1: all of them); ROUNDS of averaging.
 STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 512, 0.01, 11
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SHAPES = [("e", (CLASSES + 1, EMBED)), ("w", (2 * SIDE, EMBED, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, CLASSES)), ("c", (CLASSES,))]
+
+
+def _shapes(classes: int) -> list[tuple[str, tuple[int, ...]]]:
+    return [("e", (classes + 1, EMBED)), ("w", (2 * SIDE, EMBED, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, classes)), ("c", (classes,))]
+
+
+def class_numbers(distinct: int) -> tuple[int, int]:
+    """Own classes and hashed classes for so many distinct words."""
+    top = max(TOP, math.ceil(PER_ROOT * distinct ** (1 / 3)))
+    return top, max(TAIL, top * TAIL // TOP)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,36 +51,50 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Vocabulary:
-    """Classes of words, and log of a word's share of its class. Its size doesn't depend on the corpus."""
+    """Classes of words, and log of a word's share of its class.
 
-    def __init__(self, top: list[bytes], buckets: dict[int, int]):
-        self.own = {w: i for i, w in enumerate(top)}
-        n = np.ones(BUCKETS)
-        for b, c in buckets.items():
-            n[b] += c
-        of = np.bincount(np.arange(BUCKETS) % TAIL, weights=n, minlength=TAIL)
-        self.share = np.log(n / of[np.arange(BUCKETS) % TAIL]).astype(np.float32)
+    A word without a count stands for one more occurrence in its class, so shares of a class sum to one with it.
+    Unless `complete`, words that are not held may have counts: shares() takes them as seen once, and scores() joins the rest.
+    """
+
+    def __init__(self, own: list[bytes], known: list[tuple[bytes, int]], totals: dict[int, int], top: int = TOP, tail: int = TAIL, complete: bool = True):
+        self.own = {w: i for i, w in enumerate(own)}
+        self.top, self.tail, self.n_classes, self.complete = top, tail, top + tail, complete
+        n = np.ones(tail)
+        for t, c in totals.items():
+            n[t] += c
+        self.once = -np.log(n).astype(np.float32)
+        self.known = {w: self.n_classes + i for i, (w, _) in enumerate(known)}
+        # one more, so that the arrays are never empty
+        self.of_known = np.array([*(zlib.crc32(w) % tail for w, _ in known), 0], np.int64)
+        self.known_share = (np.log(np.array([*(c for _, c in known), 1], np.float64)) - np.log(n[self.of_known])).astype(np.float32)
+
+    def _code(self, w: bytes) -> int:
+        i = self.own.get(w)
+        if i is None:
+            i = self.known.get(w)
+        return i if i is not None else -1 - zlib.crc32(w) % self.tail
 
     def encode(self, text: str | None, seen: dict) -> np.ndarray:
-        """A word is its class if it has its own, else CLASSES and its bucket."""
+        """A word is its class if it has its own, else n_classes and its place among those held, else -1 less its hashed class."""
         ws = words(text)
         for w in ws:
             if w not in seen:
                 if len(seen) > 300_000:
                     seen.clear()
-                i = self.own.get(w)
-                seen[w] = i if i is not None else CLASSES + zlib.crc32(w) % BUCKETS
+                seen[w] = self._code(w)
         try:
             return np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))
         except KeyError:  # emptied on the way
-            return np.array([i if (i := self.own.get(w)) is not None else CLASSES + zlib.crc32(w) % BUCKETS for w in ws], np.int64)
+            return np.array([self._code(w) for w in ws], np.int64)
 
-    @staticmethod
-    def classes(codes: np.ndarray) -> np.ndarray:
-        return np.where(codes < CLASSES, codes, TOP + (codes - CLASSES) % TAIL)
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        held = self.top + self.of_known[np.maximum(codes - self.n_classes, 0)]
+        return np.where(codes < 0, self.top - 1 - codes, np.where(codes < self.n_classes, codes, held))
 
     def shares(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes < CLASSES, np.float32(0), self.share[np.maximum(codes - CLASSES, 0)])
+        held = np.where(codes < self.n_classes, np.float32(0), self.known_share[np.maximum(codes - self.n_classes, 0)])
+        return np.where(codes < 0, self.once[np.maximum(-1 - codes, 0) % self.tail], held)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
@@ -87,23 +114,28 @@ def word_counts(docs: DataFrame, text_col: str = "text", most: int = 200_000) ->
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """At most TOP words and BUCKETS sums reach the driver. Ties go to the word that sorts first."""
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    rest = counts.where(~F.col("word").isin(*[F.lit(w) for w in top])) if top else counts
-    sums = rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n"))
-    return Vocabulary(top, {int(r["b"]): r["n"] for r in sums.collect()})
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """The most frequent words with their counts and a sum for each hashed class reach the driver. Ties go to the word that sorts first."""
+    distinct = counts.count()
+    top, tail = class_numbers(distinct)
+    most = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(top + known).collect()]
+    own = [w for w, n in most[:top] if n >= MIN_COUNT]
+    totals = {int(r["t"]): r["n"] for r in counts.groupBy((F.crc32("word") % tail).alias("t")).agg(F.sum("n").alias("n")).collect()}
+    for w, n in most[: len(own)]:
+        totals[zlib.crc32(w) % tail] -= n
+    return Vocabulary(own, most[len(own) :], totals, top, tail, distinct <= len(most))
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
+        self.classes, shapes = classes, _shapes(classes)
         if flat is None:
             rng = np.random.default_rng(SEED)
-            parts = [rng.normal(size=s) * (0.3 if k == "e" else 1 / math.sqrt(s[-2]) if len(s) > 1 else 0) for k, s in _SHAPES]
+            parts = [rng.normal(size=s) * (0.3 if k == "e" else 1 / math.sqrt(s[-2]) if len(s) > 1 else 0) for k, s in shapes]
             flat = np.concatenate([p.ravel() for p in parts])
         self.flat = flat.astype(np.float32)
         at = 0
-        for k, s in _SHAPES:
+        for k, s in shapes:
             n = math.prod(s)
             setattr(self, k, self.flat[at : at + n].reshape(s))
             at += n
@@ -119,7 +151,7 @@ class Network:
             self.out = np.vstack([self.v, self.c])
             # hidden units lie between -1 and 1, so this bounds the logits; exp is safe below 80
             self.bound = float(np.abs(self.out).sum(0).max())
-        out, ones = np.empty(len(target), np.float32), np.ones(CLASSES, np.float32)
+        out, ones = np.empty(len(target), np.float32), np.ones(self.classes, np.float32)
         h = np.ones((step, HIDDEN + 1), np.float32)
         for lo in range(0, len(target), step):
             x, t = ctx[lo : lo + step], target[lo : lo + step]
@@ -150,14 +182,14 @@ class Network:
         p /= n
         dh = (p @ self.v.T) * (1 - h * h)
         place = (ctx.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
-        de = np.bincount(place, weights=(dh @ w.T).ravel(), minlength=(CLASSES + 1) * EMBED).astype(np.float32)
+        de = np.bincount(place, weights=(dh @ w.T).ravel(), minlength=(self.classes + 1) * EMBED).astype(np.float32)
         return np.concatenate([de.ravel(), (x.T @ dh).ravel(), dh.sum(0), (h.T @ p).ravel(), p.sum(0)]), float(loss)
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
+def contexts(classes: np.ndarray, pad: int = PAD) -> np.ndarray:
     """(n, 2 * SIDE): the words before, nearest last, then those after, nearest first."""
     n = len(classes)
-    padded = np.r_[np.full(SIDE, PAD), classes, np.full(SIDE, PAD)]
+    padded = np.r_[np.full(SIDE, pad), classes, np.full(SIDE, pad)]
     return np.stack([padded[i : i + n] for i in [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]], 1)
 
 
@@ -167,13 +199,13 @@ def trained(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds:
     The averages are summed in two levels of partitions before the driver adds what is left: arrays of one size.
     """
     spark = docs.sparkSession
-    net = Network()
-    words_of = spark.sparkContext.broadcast(vocab)  # TOP words and BUCKETS numbers
+    net = Network(classes=vocab.n_classes)
+    words_of = spark.sparkContext.broadcast(vocab)  # own words and KNOWN counts
     for _ in range(rounds):
         start = net.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            v, seen, model = words_of.value, {}, Network(start)
+            v, seen, model = words_of.value, {}, Network(start, words_of.value.n_classes)
             m, s = np.zeros_like(model.flat), np.zeros_like(model.flat)
             steps = windows = held = 0
             queue: list[tuple[np.ndarray, np.ndarray]] = []
@@ -196,7 +228,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds:
                     c = v.classes(v.encode(text, seen))
                     at = np.arange(len(c) % stride if len(c) >= stride else 0, len(c), stride)
                     if len(at):
-                        queue.append((contexts(c)[at], c[at]))
+                        queue.append((contexts(c, v.n_classes)[at], c[at]))
                         held += len(at)
                     if held >= 8 * BATCH:
                         learn()
@@ -219,33 +251,52 @@ def trained(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds:
         total, n = np.zeros(len(start)), 0.0
         for r in parts.collect():
             total, n = total + np.frombuffer(r["x"]), n + r["n"]
-        net = Network((total / n) if n else start)
+        net = Network((total / n) if n else start, vocab.n_classes)
     return net
 
 
-def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """counts: (word, n) of all words, needed where the vocabulary doesn't hold them all."""
+    if not vocab.complete and counts is None:
+        raise ValueError("the vocabulary doesn't hold all counts: give them")
     both = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = both.value
-        model, seen = Network(flat), {}
+        model, seen, row = Network(flat, v.n_classes), {}, TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                codes = [v.encode(t, seen) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                codes = [v.encode(t, seen) for t in texts]
                 n = [len(c) for c in codes]
                 sums = np.zeros(len(codes))
                 if sum(n):
                     flat_codes = np.concatenate(codes)
-                    ctx = np.concatenate([contexts(v.classes(c)) for c in codes if len(c)])
+                    ctx = np.concatenate([contexts(v.classes(c), v.n_classes) for c in codes if len(c)])
                     each = model.log_probs(ctx, v.classes(flat_codes)) + v.shares(flat_codes)
                     some = [i for i, k in enumerate(n) if k]
                     starts = np.r_[0, np.cumsum([n[i] for i in some])[:-1]]
                     sums[some] = np.add.reduceat(each.astype(np.float64), starts)
-                mean = [s / k if k else None for s, k in zip(sums.tolist(), n, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+                rare: list[list[dict]] = [[] for _ in codes]
+                if not v.complete:
+                    for i, c in enumerate(codes):
+                        if len(at := np.flatnonzero(c < 0)):
+                            ws = words(texts[i])
+                            rare[i] = [{"word": w, "k": k} for w, k in Counter(ws[x] for x in at.tolist()).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, rare_type)], ["row", "doc_id", "n_words", "log_prob", "rare"])
+                row += len(n)
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = picked.mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, rare array<struct<word:binary,k:long>>")
+    if not vocab.complete:
+        d = written(d, "lm-scored")
+        # words seen once or never have their share already
+        each = d.selectExpr("row", "inline(rare) as (word, k)").join(counts.where("n > 1"), "word")
+        more = each.groupBy("row").agg(F.sum(F.col("k") * F.log(F.col("n").cast("double"))).alias("more"))
+        d = d.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return d.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -256,4 +307,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """
     counts = written(word_counts(docs, text_col), "lm-counts")
     vocab = vocabulary(counts)
-    return scores(docs, vocab, trained(docs, vocab, text_col, **options), id_col, text_col)
+    return scores(docs, vocab, trained(docs, vocab, text_col, **options), id_col, text_col, counts)

@@ -605,3 +605,24 @@ def test_lm_trains_on_ends_and_short_texts(spark):
     vocab = pseudo_lm.vocabulary(pseudo_lm.word_counts(d))
     net = pseudo_lm.trained(d, vocab)
     assert pseudo_lm.scores(d.limit(1), vocab, net).first().log_prob > -0.5
+
+
+def test_lm_shares_are_of_words(spark):
+    """A word's share of its class follows its own count, whatever hashes alike; classes grow with the corpus."""
+    common = next(w for i in range(10**6) if zlib.crc32(w := b"c%d" % i) % (1 << 14) == zlib.crc32(b"junk") % (1 << 14))
+    rows = [(bytearray(b"f%d" % i), 1000) for i in range(pseudo_lm.TOP)] + [(bytearray(common), 500), (bytearray(b"junk"), 1)]
+    vocab = pseudo_lm.vocabulary(spark.createDataFrame(rows, "word binary, n long"))
+    a, b = vocab.shares(vocab.encode(common.decode() + " junk", {}))
+    assert abs(a - b - np.log(500)) < 1e-3
+    small, large = pseudo_lm.class_numbers(10_000), pseudo_lm.class_numbers(10**8)
+    assert large[0] > 4 * small[0] and large[1] > 4 * small[1]
+
+
+def test_lm_joins_the_counts_it_does_not_hold(spark, docs):
+    counts = pseudo_lm.word_counts(docs)
+    whole, part = pseudo_lm.vocabulary(counts), pseudo_lm.vocabulary(counts, known=5)
+    assert whole.complete and not part.complete
+    net = pseudo_lm.trained(docs, whole, stride=16)
+    want, got = ({r.doc_id: (r.n_words, r.log_prob) for r in pseudo_lm.scores(docs, v, net, counts=counts).collect()} for v in (whole, part))
+    assert set(got) == set(want)
+    assert all(got[i][0] == n and abs(got[i][1] - p) < 1e-3 * max(1, n) for i, (n, p) in want.items())
