@@ -40,13 +40,15 @@ def _same_merges(spec: dict):
     merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
     if None in merged or merged != sorted(merged) or model.get("ignore_merges") or model.get("unk_token"):
         return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in special}
-    return tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def encoder(json_path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids (uint32) of texts as the tokenizers file gives them: no special tokens added, special strings as ordinary text.
+def encoder(json_path: str, special_strings: bool = False) -> Callable[[list[str]], list[np.ndarray]]:
+    """Ids (uint32) of texts as the tokenizers file gives them: no special tokens added.
+
+    special_strings: whether a special token's string inside a text gets the token's id, as is the library's default; else it is ordinary text.
 
     A byte-level BPE goes through tiktoken with the merges of the same file, which gives the same ids for less
     work (held to in the tests); any other file goes through tokenizers.
@@ -56,12 +58,16 @@ def encoder(json_path: str) -> Callable[[list[str]], list[np.ndarray]]:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-    if plain and (fast := _same_merges(spec)):
+    # tokens that take the space about them or stand as whole words only are left to the library
+    exact = not special_strings or not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
+    if plain and exact and (fast := _same_merges(spec)):
+        if special_strings:
+            return lambda texts: [np.array(fast.encode(x, allowed_special="all", disallowed_special=()), np.uint32) for x in texts]
         return lambda texts: [np.array(fast.encode_ordinary(x), np.uint32) for x in texts]
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(json_path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special_strings
     return lambda texts: [np.array(x.ids, np.uint32) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -148,7 +154,7 @@ def packed(docs: DataFrame, json_path: str, max_tokens: int = 1024, max_segments
     cap = int(min(limits.each[0], limits.each[2])) if max_loss is not None else max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(json_path)
+        encode = encoder(json_path, special_strings=True)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple[int, int, np.ndarray, int, int]] = []  # doc, start, ids, tokens of the document, loss

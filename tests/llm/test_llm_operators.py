@@ -447,6 +447,19 @@ def test_encoder_matches_tokenizers():
     assert [x.tolist() for x in got] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_gives_special_strings_the_library_s_ids(spark):
+    """Against an unmodified Tokenizer, which gives a special string inside a text the token's id."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    r = random.Random(7)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b", "<|endoftext"]
+    texts += ["".join(r.choice(["<|endoftext|>", " ", "\n", "it's", "ab", "é", "<|", "1"]) for _ in range(30)) for _ in range(300)]
+    got = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    check_packing(got, {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}, 1024, 64, None)
+
+
 def check_packing(got, ids, max_tokens, max_segments, max_loss):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
