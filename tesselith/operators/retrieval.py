@@ -49,11 +49,11 @@ def ranked(rows: DataFrame, by: str | list[str], order: list[Column], k: int | N
     return d.where(F.col(name) <= k) if k else d
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, scoped: bool = False, digits: int = 6, block: int = 4096) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, scoped: bool = False, digits: int = 6, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, dense_score, rank): exact inner products of every query with every vector but itself.
 
     vectors: (vec_id, embedding[, scope]); queries: (query_id, embedding[, scope]). Queries go out in blocks of `block`;
-    for each, tasks multiply in double precision and keep their own best k, so only those are shuffled.
+    for each, tasks multiply in double precision and keep their own best k, so only those are shuffled. Without k all are ranked.
     """
     spark = vectors.sparkSession
     cols = ["scope"] if scoped else []
@@ -92,6 +92,44 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, scoped: bool = Fa
     return ranked(rows, "query_id", [F.desc("dense_score"), F.asc("vec_id")], k)
 
 
+def dense_by_source(vectors: DataFrame, queries: DataFrame, digits: int = 6, block: int = 4096) -> DataFrame:
+    """(query_id, source_id, vector_type, score): of every query and source, the best two vectors and the identity vectors.
+
+    vectors: (vec_id, embedding, source_id, vector_type); queries: (query_id, embedding). All vectors are scored but the query's own;
+    tasks keep the best two of each batch, so a pair may have more rows than the best two of all.
+    """
+    spark = vectors.sparkSession
+    n = max(1, math.ceil(queries.count() / block))
+    rows = spark.createDataFrame([], "query_id long, source_id long, vector_type string, score double")
+    for b in range(n):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").collect()
+        if not own:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own]), np.array([r["embedding"] for r in own], np.float64)))
+
+        def best(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            q, qv = held.value
+            for f in frames:
+                f = f[f.embedding.notna()].sort_values(["source_id", "vec_id"])
+                if not len(f):
+                    continue
+                x, v, kind = np.stack(f.embedding.to_numpy()).astype(np.float64), f.vec_id.to_numpy(), f.vector_type.to_numpy()
+                of, sources = pd.factorize(f.source_id, use_na_sentinel=False)
+                ends = np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)]
+                for lo in range(0, len(q), 256):
+                    s = np.round(qv[lo : lo + 256] @ x.T, digits)
+                    s[q[lo : lo + 256, None] == v[None, :]] = -np.inf
+                    keep = np.broadcast_to(kind == "identity", s.shape).copy()
+                    for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+                        np.put_along_axis(keep[:, start:end], np.argsort(-s[:, start:end], axis=1, kind="stable")[:, :2], True, 1)
+                    i, j = np.nonzero(keep & np.isfinite(s))
+                    yield pd.DataFrame({"query_id": q[lo + i], "source_id": np.asarray(sources)[of[j]], "vector_type": kind[j], "score": s[i, j]})
+
+        part = vectors.select("vec_id", "embedding", "source_id", "vector_type").mapInPandas(best, rows.schema)
+        rows = rows.unionByName(part)
+    return rows
+
+
 def normalised(rows: DataFrame, score: str, by: str = "query_id") -> Column:
     """Min-max in the group; a flat group gives 1 if its score is positive, else 0."""
     w = Window.partitionBy(by)

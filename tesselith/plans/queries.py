@@ -27,7 +27,7 @@ def lexical30(s: SparkSession, d: str, k: int = 30) -> DataFrame:
     return retrieval.bm25(doc_tokens(s, d).drop("source"), adapters.query_table(s, d), k)
 
 
-def dense30(s: SparkSession, d: str, k: int = 30) -> DataFrame:
+def dense30(s: SparkSession, d: str, k: int | None = 30) -> DataFrame:
     """Benchmark items search by the vector of their own number; vectors stand for the documents of their number."""
     v = table(s, d, "embeddings").select("vec_id", "embedding")
     q = v.join(table(s, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
@@ -504,9 +504,8 @@ def source_hits(s, d):
     """Vectors of a label are that source's; the least id is its identity."""
     v = table(s, d, "embeddings")
     first = v.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id", F.lit("identity").alias("vector_type"))
-    kinds = v.select("vec_id", F.col("label").cast("long").alias("source_id")).join(first, "vec_id", "left").select("vec_id", "source_id", F.coalesce("vector_type", F.lit("section")).alias("vector_type"))
-    x = retrieval.dense_topk(v.select("vec_id", "embedding"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50)
-    return x.join(kinds, "vec_id").select("query_id", "source_id", "vector_type", F.col("dense_score").alias("score"))
+    kinds = v.select("vec_id", "embedding", F.col("label").cast("long").alias("source_id")).join(first, "vec_id", "left").withColumn("vector_type", F.coalesce("vector_type", F.lit("section")))
+    return retrieval.dense_by_source(kinds, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 @query
@@ -522,7 +521,7 @@ def lexical_routes(s, d):
 
 @query
 def routing_search(s, d):
-    dense = dense30(s, d, 50).select("query_id", F.col("doc_id").alias("source_id"), "dense_score")
+    dense = dense30(s, d, None).select("query_id", F.col("doc_id").alias("source_id"), "dense_score")
     return answers.routed(dense, lexical_routes(s, d), 5).select("query_id", "source_id", "score", "rank")
 
 

@@ -56,3 +56,13 @@ def test_read_side_needs_no_shuffle(spark):
     for name in ("chunk_time", "chunk_token", "chunk_sentence", "curate_manifest", "read_context"):
         p = plan(Q.QUERIES[name](spark, SF))
         assert "Exchange hashpartitioning" not in p or name == "read_context"
+
+
+@pytest.mark.parametrize("name", ["routing_vector_agg", "routing_search"])
+def test_routing_sees_every_vector(spark, duck, name):
+    """As the SQL does without its cut at the best 50 vectors of a query."""
+    got = Q.QUERIES[name](spark, SF)
+    assert ORACLES[name].count("WHERE rank <= 50") == 1
+    result = duck.execute(ORACLES[name].replace("WHERE rank <= 50", ""))
+    columns = [d[0] for d in result.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
