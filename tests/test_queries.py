@@ -66,3 +66,20 @@ def test_routing_sees_every_vector(spark, duck, name):
     result = duck.execute(ORACLES[name].replace("WHERE rank <= 50", ""))
     columns = [d[0] for d in result.description]
     assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["distractor_errors", "routing_eval_report"])
+def test_routing_report_ranks_every_query(spark, duck, name):
+    """As the SQL does without its filter, which drops every third query's ranking."""
+    got = Q.QUERIES[name](spark, SF)
+    assert ORACLES[name].count("WHERE query_id % 60 <> 0") == 1
+    result = duck.execute(ORACLES[name].replace("WHERE query_id % 60 <> 0", ""))
+    columns = [d[0] for d in result.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_routing_scores_without_a_prediction(spark):
+    p = spark.createDataFrame([(1, [3, 2])], "query_id long, ranked array<long>")
+    c = spark.createDataFrame([(1, [2], [3]), (2, [2], [3])], "query_id long, relevant array<long>, distractors array<long>")
+    got = {r.query_id: (r.status, r.recall_5, r.mrr, r.distractor_error) for r in Q.metrics.routing_scores(p, c).collect()}
+    assert got == {1: ("scored", 1.0, 0.5, True), 2: ("missing", 0.0, 0.0, False)}
