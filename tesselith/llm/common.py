@@ -89,3 +89,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_level
     drop_written(*pointers, *old, first)
     least = root.groupBy("root").agg(F.min("id").alias("component"))
     return root.join(least, "root").select("id", "component")
+
+
+#: Keys that hot_keys() finds at most.
+HOT_KEYS = 1000
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = 256) -> DataFrame:
+    """(key, parts) of the keys that hold more than 1/HOT_KEYS of the rows, and more than `least`: HOT_KEYS rows at most.
+
+    parts: into how many a key's rows are to be dealt so that each has about that share. rows should be a written table.
+    """
+    limit = max(least, rows.count() // HOT_KEYS)
+    found = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    picked = found.select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    return rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, spread_by: str, how: str = "left", count_rows: DataFrame | None = None) -> DataFrame:
+    """rows joined with `one` (a row a key); the rows of a hot key are dealt over several tasks by `spread_by`, and its row of `one` is sent to each.
+
+    count_rows: a written table with the same keys about as often, if counting rows itself would be dear.
+    """
+    hot = F.broadcast(hot_keys(count_rows if count_rows is not None else rows, key))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by, F.lit(5)), F.col("parts"))).cast("int")).drop("parts")
+    right = one.join(hot, key, "left").withColumn("__salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
