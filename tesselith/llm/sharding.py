@@ -3,9 +3,6 @@
 Rows hash into thousands of virtual slots; only bytes and rows per slot are aggregated, and a map from slot
 to shard, kept in versions, says where each slot lies. Rebalancing edits the map: slots stay where they are
 unless their shard is too full. The map has N_SLOTS rows whatever the input.
-
-Equal texts share a slot, so copies lie together, unless the group holds more than a small share of a shard: the rows
-of such hot groups are spread by id.
 """
 
 from __future__ import annotations
@@ -13,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import scratch_path, text_bytes
+from tesselith.llm.common import scratch_path, text_bytes, written
 
 N_SLOTS = 4096
-#: A group of equal texts beyond 1/HOT_PARTS of a mean shard is spread by id.
-HOT_PARTS = 16
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,16 +21,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), (text_bytes(F.col(text_col)) + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
 
 
-def with_slots(rows: DataFrame, n_shards: int, n_slots: int = N_SLOTS, hot_parts: int = HOT_PARTS) -> DataFrame:
-    """rows of sized() and `vslot`, 0 to n_slots - 1."""
-    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
-    total = groups.agg(F.sum("b").alias("total"))
-    # Fewer than n_shards * hot_parts groups can be above the limit: a fixed bound for the broadcast.
-    big = groups.where("n > 1").select("text_hash", "b", F.lit(0).alias("one")).join(F.broadcast(total.withColumn("one", F.lit(0))), "one")
-    hot = big.where(f"b * {n_shards * hot_parts} > total").select("text_hash", F.lit(True).alias("hot"))
-    d = rows.join(F.broadcast(hot), "text_hash", "left")
-    key = F.when(F.col("hot"), F.xxhash64("doc_id", F.lit(17))).otherwise(F.xxhash64("text_hash", F.lit(17)))
-    return d.withColumn("vslot", F.pmod(key, F.lit(n_slots)).cast("int")).drop("hot")
+def with_slots(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """rows of sized() and `vslot`, 0 to n_slots - 1: a hash of the record, its id and text, so no slot is hot whatever repeats."""
+    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(17)), F.lit(n_slots)).cast("int"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -108,7 +96,8 @@ def sharded(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, id_col: str
     is empty. Other columns of docs aren't read.
     """
     spark = docs.sparkSession
-    rows = with_slots(sized(docs, id_col, text_col), n_shards, n_slots)
+    # four narrow columns: the texts are read once
+    rows = written(with_slots(sized(docs, id_col, text_col), n_slots), "shard-rows")
     store = store or SlotMapStore(spark, scratch_path(spark, "slot-map"))
     slot_map = store.save(first_map(slot_sizes(rows), n_shards), 1)
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
