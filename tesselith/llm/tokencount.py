@@ -16,18 +16,25 @@ _SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 def cut(text: str, most: int = PIECE_BYTES) -> list[str]:
-    """Parts of about `most` characters whose token counts add up to that of the text.
+    """Parts of about `most` bytes (UTF-8) whose token counts add up to that of the text.
 
     The space at a boundary goes: the encoder itself puts a word mark before each part. A text without a safe boundary
     stays whole.
     """
-    out, at = [], 0
-    while len(text) - at > most and (m := _SAFE.search(text, at + most)):
+    out, at, size = [], 0, utf8(text)
+    if size <= most:
+        return [text]
+    step = max(1, most * len(text) // size)  # as many characters as `most` bytes hold here on average
+    while len(text) - at > step and (m := _SAFE.search(text, at + step)):
         out.append(text[at : m.start()])
         at = m.end()
     return [*out, text[at:]]
 
 
+def utf8(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def _crosses_words(processor) -> bool:
     """Whether a piece of the vocabulary has a word mark after another character: then no space is safe."""
     return any("▁" in processor.id_to_piece(i).lstrip("▁") for i in range(processor.get_piece_size()))
@@ -60,11 +67,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, queue, held = [0] * len(texts), [], 0
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            sizes = [utf8(t) for t in texts]
             for row, text in enumerate(texts):
                 for part in parts_of(text):
                     queue.append((row, part))
-                    held += len(part)
+                    held += utf8(part)
                     if held >= batch_bytes:
                         for (r, _), n in zip(queue, lengths([p for _, p in queue]), strict=True):
                             counts[r] += n
