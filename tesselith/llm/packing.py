@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,8 @@ WINDOW, WINDOW_BYTES = 4096, 32 << 20
 
 
 #: How the byte-level pre-tokenizer cuts text, as its library documents it.
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -51,7 +54,8 @@ def encoder(json_path: str, special_strings: bool = False) -> Callable[[list[str
     special_strings: whether a special token's string inside a text gets the token's id, as is the library's default; else it is ordinary text.
 
     A byte-level BPE goes through tiktoken with the merges of the same file, which gives the same ids for less
-    work (held to in the tests); any other file goes through tokenizers.
+    work (held to in the tests); any other file goes through tokenizers, and so do texts with a run of LONG_SPACE characters
+    of white space or more, which tiktoken's pattern matcher can't hold.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     with open(json_path, encoding="utf-8") as f:
@@ -61,9 +65,21 @@ def encoder(json_path: str, special_strings: bool = False) -> Callable[[list[str
     # tokens that take the space about them or stand as whole words only are left to the library
     exact = not special_strings or not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
     if plain and exact and (fast := _same_merges(spec)):
-        if special_strings:
-            return lambda texts: [np.array(fast.encode(x, allowed_special="all", disallowed_special=()), np.uint32) for x in texts]
-        return lambda texts: [np.array(fast.encode_ordinary(x), np.uint32) for x in texts]
+        quick = (lambda x: fast.encode(x, allowed_special="all", disallowed_special=())) if special_strings else fast.encode_ordinary
+        library = []
+
+        def ids(x: str) -> np.ndarray:
+            if len(x) >= LONG_SPACE and _LONG_SPACE.search(x):
+                if not library:
+                    library.append(_library(json_path, special_strings))
+                return library[0]([x])[0]
+            return np.array(quick(x), np.uint32)
+
+        return lambda texts: [ids(x) for x in texts]
+    return _library(json_path, special_strings)
+
+
+def _library(json_path: str, special_strings: bool) -> Callable[[list[str]], list[np.ndarray]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(json_path)
@@ -148,7 +164,8 @@ def packed(docs: DataFrame, json_path: str, max_tokens: int = 1024, max_segments
     of loss-bearing tokens (held to 0 and the document's ids); without it every id bears loss. Whole sequences
     of a document's first ids are sequences of their own if the limits allow. Each id lies in exactly one piece; pieces
     tile their sequence from offset 0. Equal rows are packed each. A document whose loss-bearing ids exceed max_loss
-    is cut where it reaches it. Other columns aren't read; without rows the result is empty.
+    is cut where it reaches it. Windows follow the order of the rows, and so do sequence_ids (task, then place in the task) up to a window's
+    examples. Other columns aren't read; without rows the result is empty.
     """
     limits = Limits(max_tokens, max_segments, max_loss)
     cap = int(min(limits.each[0], limits.each[2])) if max_loss is not None else max_tokens
@@ -172,11 +189,12 @@ def packed(docs: DataFrame, json_path: str, max_tokens: int = 1024, max_segments
         def pack(final: bool) -> None:
             nonlocal held, weight
             seqs = pack_window([len(x[2]) for x in held], [x[4] for x in held], limits)
-            back = []
-            for seq in seqs:
+            back, short = [], seqs[-1]
+            # sequences in the order of their examples, as far as packing leaves one
+            for seq in sorted(seqs, key=lambda s: (s is short, sum(e * n for e, _, n in s) / sum(n for *_, n in s))):
                 pieces = [(held[e][0], held[e][1] + s, held[e][2][s : s + n], held[e][3], min(held[e][4], n)) for e, s, n in seq]
                 # the last sequence may be short: unless it is the task's last, its pieces wait for the next window
-                if not final and seq is seqs[-1]:
+                if not final and seq is short:
                     back = pieces
                 else:
                     put(pieces)
