@@ -200,7 +200,8 @@ def scored_stats(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def _labelled(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     known = known.withColumn("r", remainder("doc_id")).where("r <> 2")
     return stats.join(known, "doc_id").select("stats", "y", (F.col("r") == 3).cast("int").alias("part"))
 
@@ -209,7 +210,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) of each row of docs.
 
     Labels of rows whose crc32(doc_id as text) mod 4 is 2 are never read; of the others 0 and 1 fit the weights and 3 the
-    calibration, all of them. Labels other than 0 and 1, null ids and repeated labels (one is taken) don't count. Null and
+    calibration, all of them. Labels other than 0 and 1, null ids and ids with both labels don't count; a label that is repeated counts once. Null and
     empty texts are scored as texts without words. Statistics are written once, so texts are read once. Without rows
     the result is empty; without labels every score is 0.5. Only the named columns are read.
     """
