@@ -1,8 +1,14 @@
-"""The corpus pipeline: documents through rules, classifier, near-duplicates and mixing to packed sequences."""
+"""The corpus pipeline: documents through rules, classifier, near-duplicates and mixing to packed sequences.
+
+Null and empty texts fail the rules. Null languages and sources are groups of their own; a null id stays, linked with
+nothing. Rows of one id go or stay together. Ties are settled by id. Without rows every stage's result is empty. Stages
+hand on all columns of documents, whatever their names, and read only doc_id, text, lang and source, and of labels doc_id and quality.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesselith.llm import classifier, jaccard, mixing, packing, quality_rules
 from tesselith.llm.common import written
@@ -27,7 +33,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Sequences follow the order of the mix, which is that of the mixing stage's files and of the rows in them."""
+    return packing.packed(in_file_order(docs), tokenizer_path("byte_bpe_50k.json"))
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) by name of file and place of row, in contiguous partitions; docs in any order if they come from no file."""
+    if not docs.inputFiles():
+        return docs
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return d.repartitionByRange(n, "file", "row").sortWithinPartitions("file", "row")
 
 
 STAGES = [
