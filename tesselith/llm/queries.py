@@ -33,8 +33,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = warc.archived(table(spark, sf_dir, "pages"))
-    return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +69,7 @@ q AS (SELECT s, (base + (place <= {mixing.PERIOD} - sum(base) OVER ())::INT)::BI
 l AS (SELECT list(q ORDER BY s) AS qs, list(s ORDER BY s) AS ss FROM q),
 f AS (SELECT -1 AS t, list_transform(qs, lambda z: 0::BIGINT) AS c, 0::BIGINT AS pick FROM l UNION ALL
   SELECT t + 1, list_transform(range(len(c)), lambda i: c[i + 1] + (i = p)::INT), p FROM (
-    SELECT t, c, list_min(list_filter(list_transform(range(len(c)), lambda i: CASE WHEN c[i + 1] < qs[i + 1] AND c[i + 1] * {mixing.PERIOD} // qs[i + 1] <= t + 1 THEN (((c[i + 1] + 1) * {mixing.PERIOD} + qs[i + 1] - 1) // qs[i + 1]) * {mixing.MAX_SOURCES} + i END), lambda z: z IS NOT NULL)) % {mixing.MAX_SOURCES} AS p
+    SELECT t, c, list_min(list_filter(list_transform(range(len(c)), lambda i: CASE WHEN c[i + 1] < qs[i + 1] AND c[i + 1] * {mixing.PERIOD} // qs[i + 1] <= t + 1 THEN (((c[i + 1] + 1) * {mixing.PERIOD} + qs[i + 1] - 1) // qs[i + 1]) * len(c) + i END), lambda z: z IS NOT NULL)) % len(c) AS p
     FROM f, l WHERE t < {mixing.PERIOD} - 1)),
 pt AS (SELECT ss[pick + 1] AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM f, l WHERE t >= 0),
 c AS (SELECT *, (sum(size) OVER (PARTITION BY s ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS cum FROM d),
@@ -81,8 +80,11 @@ SELECT doc_id, source, size, block, block // q * {mixing.PERIOD} + (block % q) *
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.95), {_REACH},
 n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1), c AS (SELECT id, min(o) AS c FROM reach GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(c, vec_id), vec_id) AS component_id, coalesce(least(c, vec_id), vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.id = vec_id LEFT JOIN c ON c.id = vec_id""",
-    "op5_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS g FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY g) AS top FROM p)
-SELECT page_id, b AS payload_bytes, g AS payload_digest, CASE WHEN b >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id < top THEN top END AS refers_to FROM m""",
+    "op5_warc": r"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS g, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') AS ts,
+  regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') AS host, rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY g) AS top, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END) AS url_key FROM p)
+SELECT page_id, b AS payload_bytes, g AS payload_digest, CASE WHEN b >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id < top THEN top END AS refers_to,
+  url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS capture_rank FROM m""",
     "op7_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), j AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),

@@ -92,11 +92,11 @@ def brute_schedule(quota, period):
 
 
 def test_pattern_follows_weights(spark):
-    sources = spark.createDataFrame([("=a", 70), ("=b", 21), ("=c", 8), ("=d", 1)], "source string, weight long")
+    sources = spark.createDataFrame([("=a", 70, False), ("=b", 21, False), ("=c", 8, False), ("=d", 1, False)], "source string, weight long, given boolean")
     q = mixing.quotas(sources, 100)
     quota = {r.source: r.quota for r in q.collect()}
     assert sum(quota.values()) == 100 and min(quota.values()) >= 1
-    got = sorted((r.slot, r.source, r.k) for r in mixing.pattern(q, 100).collect())
+    got = sorted((r.slot, r.source, r.k) for r in mixing.pattern(q).collect())
     assert got == sorted((t, s, k) for s, k, t in brute_schedule(quota, 100))
     done = Counter()
     for t, s, _ in got:
@@ -133,6 +133,34 @@ def test_mixing_weights(spark, docs):
     assert {r.source for r in first} == {None}
 
 
+def test_mixing_takes_weights_exactly(spark):
+    """Given weights are the quotas in lowest terms, over many periods; sources they lack get a share in proportion; bad ones raise."""
+    rows = [(i, "x" * 100, "abc"[i % 3]) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = spark.createDataFrame([("a", 700), ("b", 200), ("c", 100)], "source string, weight long")
+    got = mixing.scheduled(d, weights=w, block_bytes=100).collect()
+    share = {"a": 0.7, "b": 0.2, "c": 0.1}
+    done = Counter()
+    for at, r in enumerate(sorted(got, key=lambda r: r.slot)[:1400]):
+        assert r.slot == at
+        done[r.source] += 1
+        assert all(abs(done[s] - share[s] * (at + 1)) < 1 for s in share)
+    some = mixing.scheduled(d, weights=w.where("source <> 'c'"), block_bytes=100).collect()
+    first = Counter(r.source for r in sorted(some, key=lambda r: r.slot)[:900])
+    assert abs(first["a"] / first["b"] - 3.5) < 0.1 and abs(first["c"] - 300) < 5
+    for bad in (0, -3):
+        with pytest.raises(Exception, match="not a positive weight"):
+            mixing.scheduled(d, weights=spark.createDataFrame([("a", bad)], "source string, weight long")).collect()
+
+
+def test_mixing_many_sources_and_repeats(spark):
+    rows = [(i, "x" * (i % 50 + 1), f"s{i % 1300}") for i in range(2600)] + [(3, "xxxx", "s3"), (None, "a", "s3"), (None, "b", "s3"), (None, "a", "s3")]
+    got = mixing.scheduled(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=30).collect()
+    assert sorted((r.doc_id or -1, r["size"]) for r in got) == sorted((i or -1, len(t)) for i, t, _ in rows)
+    assert all(r.release_slot <= r.slot < r.deadline_slot for r in got)
+    assert len({(r.slot, r.block_offset) for r in got}) == len(got)
+
+
 # sharding
 
 
@@ -161,7 +189,7 @@ def test_sharding_balance_hot_group_and_edit(spark):
     got = sharding.sharded(d, 6, 512)
     sizes = [r.b for r in got.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
     assert max(sizes) < 1.03 * min(sizes)
-    sized = sharding.slot_sizes(sharding.with_slots(sharding.sized(d), 6, 512))
+    sized = sharding.slot_sizes(sharding.with_slots(sharding.sized(d), 512))
     one = sharding.first_map(sized, 6)
     store = sharding.SlotMapStore(spark, sharding.scratch_path(spark, "test-map"))
     one = store.save(one, 1)
@@ -205,6 +233,8 @@ def test_cuts_are_safe():
     for _ in range(400):
         t = "".join(r.choice(" \n\tab1é▁s<|.") for _ in range(60))
         assert sum(len(sp.encode(p)) for p in tokencount.cut(t, 7)) == len(sp.encode(t))
+    parts = tokencount.cut("éé " * 10_000, 1000)
+    assert len(parts) > 1 and max(tokencount.utf8(p) for p in parts) < 1100
 
 
 # vectors
@@ -255,6 +285,44 @@ def test_vector_recall_at_the_threshold(spark):
     assert got >= 0.9 * 600
 
 
+@pytest.mark.parametrize("n_pivots", [64, 453, 1024, 4096])
+def test_vector_recall_by_number_of_pivots(n_pivots):
+    """Of pairs just above the threshold, those that the prefix for so many pivots finds; the rule is that of the index."""
+    g = np.random.default_rng(11)
+    for dim in (32, 64, 128):
+        unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(g.normal(size=(n, dim)))  # noqa: E731, B023
+        p, a, b = unit(n_pivots), unit(400), unit(400)
+        b -= (b * a).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        c = g.uniform(0.951, 0.96, (400, 1))
+        prefix, shared = vecdedup.prefix_for(n_pivots)
+        x, y = (np.argsort(-(v @ p.T), axis=1)[:, :prefix] for v in (a, c * a + np.sqrt(1 - c * c) * b))
+        assert np.mean([len(set(u) & set(v)) >= shared or u[0] == v[0] for u, v in zip(x.tolist(), y.tolist(), strict=True)]) >= 0.96
+
+
+def test_vectors_with_many_pivots(spark):
+    """The index with as many pivots as a large table has, against brute force."""
+    g = np.random.default_rng(12)
+    a = g.normal(size=(3000, 64))
+    rows = np.vstack([a, a + g.normal(size=a.shape) * 0.3])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in vecdedup.near_duplicates(d, 0.95, pivots_per_root=60.0, max_pivots=4096).collect()}
+    x = rows.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want.sum() > 2000 and all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum()
+
+
+def test_vectors_repeated(spark):
+    """Rows of one id are one vector, each returned; where they differ, one of them stands for the id, always the same."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, v), (1, v), (2, v), (3, [2.0, 0.1, 0.0]), (4, w), (None, v), (5, w), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, two = (sorted(tuple(r) for r in vecdedup.near_duplicates(d.repartition(n)).collect()) for n in (1, 5))
+    assert one == two and len(one) == 8
+    assert [r for r in one if r[0] < 4] == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False), (3, 2, 1, False)]
+
+
 def test_vector_recall_in_a_dense_group(spark):
     """A third of the rows are distinct near copies of one vector: every link among them is found."""
     g = np.random.default_rng(10)
@@ -290,16 +358,53 @@ def test_warc(spark):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", top) if revisit else ("response", None))
+    keys = sorted((warc.url_key(u), warc.stamp(i), i) for i, u, _, _ in rows)
+    assert [(r.url_key, r.ts, r.page_id) for r in sorted(got.values(), key=lambda r: r.capture_rank)] == keys
+    assert sorted(r.capture_rank for r in got.values()) == list(range(len(rows)))
     path = warc.scratch_path(spark, "warc-test")
-    runs = warc.write_archives(d, path, file_bytes=9000)
-    back = warc.read_archives(spark, path)
+    manifest = warc.write_archives(d, path, file_bytes=9000)
+    back = warc.read_archives(manifest, path)
     assert {r.page_id: bytes(r.payload).decode() for r in back.where("record_type = 'response'").collect()} == {i: h or "" for i, _, h, _ in rows if got[i].record_type == "response"}
-    index = sorted(warc.merged_index(runs, 5).collect(), key=lambda r: (r.range_id, r.position))
-    keys = [(r.url_key, r.ts, r.page_id) for r in index]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    # many small ranges, and levels of merges before them
+    for fan_in in (256, 3):
+        index = sorted(warc.merged_index(manifest, path, range_rows=4, fan_in=fan_in).collect(), key=lambda r: (r.range_id, r.position))
+        assert [(r.url_key, r.ts, r.page_id) for r in index] == keys
     assert warc.archived(d.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows_and_null_ids(spark):
+    big = "<p>" * 400
+    rows = [(1, "http://a/", big), (1, "http://a/", big), (2, "http://a/", big), (2, "http://a/", "other"), (None, "http://b/", big), (None, None, None)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == sorted(
+        [(1, 1200, "revisit", 2)] * 2 + [(2, 1200, "response", 0), (2, 5, "response", 0), (0, 1200, "response", 0), (0, 0, "response", 0)]
+    )
+    assert sorted(r.capture_rank for r in got) == list(range(6))
+
+
+def test_warc_runs(tmp_path):
+    """A run is read from any key on, batch by batch; archives of many members are read in steps."""
+    import gzip
+    import io
+
+    from pyarrow import fs
+
+    store, entries = fs.LocalFileSystem(), sorted([("a", i, 1, "r", i % 700, f"k{i % 900:04d}", "t", "response") for i in range(5000)], key=warc._key)
+    writer = warc.RunWriter(store, f"{tmp_path}/x.run")
+    for e in entries:
+        writer.add(e)
+    assert writer.close() == 5000
+    reader = warc.RunReader(store, f"{tmp_path}/x.run")
+    for low, high in ((None, None), (warc._key(entries[1024]), None), (warc._key(entries[17]), warc._key(entries[3000])), (None, warc._key(entries[1]))):
+        assert list(reader.rows(low, high)) == [e for e in entries if (low is None or warc._key(e) >= low) and (high is None or warc._key(e) < high)]
+    parts = [b"x" * n for n in (0, 5, 70_000, 1)]
+    data = b"".join(gzip.compress(p) for p in parts)
+    found = list(warc.members(io.BytesIO(data), 7))
+    assert [d for _, d in found] == parts and found[1][0] == len(gzip.compress(b""))
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(data[:-9])))
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in range(9):
@@ -460,6 +565,16 @@ def test_packing_gives_special_strings_the_library_s_ids(spark):
     check_packing(got, {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}, 1024, 64, None)
 
 
+def test_packing_holds_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [" " * 2_000_000, "a" + "\n" * 60_000 + "b <|endoftext|>", "x" * 300_000]
+    got = packing.encoder(path, special_strings=True)(texts)
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def check_packing(got, ids, max_tokens, max_segments, max_loss):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -545,6 +660,11 @@ def test_classifier(spark):
     flipped = spark.createDataFrame([(i, 1 - q if i is not None and q in (0, 1) and zlib.crc32(str(i).encode()) % 4 == 2 else q, t) for i, q, t in labels], y.schema)
     again = {x.doc_id: x.score for x in classifier.scored(d, flipped).collect()}
     assert all(abs(again[i] - x.score) < 1e-6 for i, x in got.items())
+    # an id with both labels counts for neither, a repeated label once
+    both = y.union(spark.createDataFrame([(i, 1 - q, 0) for i, q, _ in labels[:40] if q in (0, 1)], y.schema)).union(y)
+    less = y.where(~y.doc_id.isin([i for i, q, _ in labels[:40] if q in (0, 1)]))
+    one, two = ({x.doc_id: x.score for x in classifier.scored(d, z).collect()} for z in (both, less))
+    assert all(abs(one[i] - s) < 1e-6 for i, s in two.items())
     kept = {x.doc_id for x in classifier.filtered(d, y).collect()}
     assert sum((i in kept) != (x.predicted == 1) for i, x in got.items()) <= 2
     assert classifier.scored(d.limit(0), y).count() == 0
@@ -591,8 +711,11 @@ def test_lm_scores(spark, docs, rows, empty):
         for i in range(len(c)):
             ctx = [cls[j] if 0 <= j < len(c) else pseudo_lm.PAD for j in (i - 2, i - 1, i + 1, i + 2)]
             h = np.tanh(sum(net.e[k] @ net.w[p] for p, k in enumerate(ctx)) + net.b)
-            z = (h @ net.v + net.c).astype(np.float64)
-            total += z[cls[i]] - z.max() - np.log(np.exp(z - z.max()).sum()) + vocab.shares(c[i : i + 1])[0]
+            g, size = cls[i] // net.size, net.last if cls[i] // net.size == net.n_groups - 1 else net.size
+            for z, t in ((h @ net.u + net.a, g), (h @ net.v[g, :, :size] + net.c[g, :size], cls[i] % net.size)):
+                z = z.astype(np.float64)
+                total += z[t] - z.max() - np.log(np.exp(z - z.max()).sum())
+            total += vocab.shares(c[i : i + 1])[0]
             if i > 300:
                 break
         if len(c) <= 300:
@@ -606,12 +729,27 @@ def test_lm_prefers_what_it_knows(spark):
     rows = [(i, " ".join(w for _ in range(30) for w in r.choice(["the cat sat down", "a dog ran off", "we all went home"]).split())) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     vocab = pseudo_lm.vocabulary(pseudo_lm.word_counts(d))
-    net = pseudo_lm.trained(d, vocab, stride=4)
+    net = pseudo_lm.trained(d, vocab)
     probe = spark.createDataFrame([(1, "the cat sat down a dog ran off"), (2, "off cat the a down dog ran sat")], "doc_id long, text string")
     s = {x.doc_id: x.mean_log_prob for x in pseudo_lm.scores(probe, vocab, net).collect()}
     assert s[1] > s[2] + 0.5
 
 
+def test_lm_weights_depend_on_rows_alone(spark, docs):
+    vocab = pseudo_lm.vocabulary(pseudo_lm.word_counts(docs))
+    one, two = (pseudo_lm.trained(d, vocab, shard_words=5000).flat for d in (docs.coalesce(1), docs.repartition(7)))
+    assert pseudo_lm.shards(vocab.n_words, shard_words=5000) > 2 and np.abs(one - two).max() < 1e-5
+
+
+def test_lm_probabilities_sum_to_one():
+    g = np.random.default_rng(5)
+    for classes in (10, 512, 517):
+        net = pseudo_lm.Network(classes=classes)
+        net = pseudo_lm.Network(net.flat + g.normal(size=len(net.flat)) * 0.3, classes)
+        ctx = np.repeat(g.integers(0, classes + 1, (1, 4)), classes, 0)
+        assert abs(np.exp(net.log_probs(ctx, np.arange(classes)).astype(float)).sum() - 1) < 1e-4
+
+
 def test_lm_trains_on_ends_and_short_texts(spark):
     """Every word of a short text is a training target, so the last ones are known too."""
     d = spark.createDataFrame([(i, "red green blue") for i in range(8000)], "doc_id long, text string").coalesce(1)
@@ -635,7 +773,28 @@ def test_lm_joins_the_counts_it_does_not_hold(spark, docs):
     counts = pseudo_lm.word_counts(docs)
     whole, part = pseudo_lm.vocabulary(counts), pseudo_lm.vocabulary(counts, known=5)
     assert whole.complete and not part.complete
-    net = pseudo_lm.trained(docs, whole, stride=16)
+    net = pseudo_lm.trained(docs, whole)
     want, got = ({r.doc_id: (r.n_words, r.log_prob) for r in pseudo_lm.scores(docs, v, net, counts=counts).collect()} for v in (whole, part))
     assert set(got) == set(want)
     assert all(got[i][0] == n and abs(got[i][1] - p) < 1e-3 * max(1, n) for i, (n, p) in want.items())
+
+
+def test_jaccard_repeats_and_groups(spark):
+    """Every row comes back; a large group of copies and near copies, a passage that many texts share, and rows with null ids."""
+    r = random.Random(21)
+    word = lambda: f"v{r.randrange(5000)}"
+    base, passage = [word() for _ in range(80)], [word() for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(300)]
+    for i in range(300, 700):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(80)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join([word() for _ in range(90)] + passage)) for i in range(700, 900)]
+    rows += [(5, " ".join(base)), (700, rows[700][1]), (None, " ".join(base)), (None, None), (950, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (512, 16):
+        got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_shingles, -1 if x.component_id is None else x.component_id) for x in jaccard.jaccard_components(d, 5, 80, block_rows=block).collect())
+        want = brute_components([x for x in rows if x[0] is not None], 5, 80)
+        assert got == sorted((-1, len(brute_sets(t, 5)), -1) if i is None else (i, *want[i]) for i, t in rows)
+    assert {x.doc_id for x in jaccard.one_of_each(d, 5, 80).collect()} == {None} | {i for i, (_, c) in want.items() if c == i}
