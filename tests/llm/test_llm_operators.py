@@ -705,7 +705,7 @@ def test_lm_scores(spark, docs, rows, empty):
     got = {r.doc_id: r for r in pseudo_lm.scores(docs, vocab, net).collect()}
     assert len(got) == len(rows)
     for r in rows[:25]:
-        c = vocab.encode(r[1], {})
+        c = vocab.encode(r[1])
         cls = vocab.classes(c)
         total = 0.0
         for i in range(len(c)):
@@ -760,10 +760,10 @@ def test_lm_trains_on_ends_and_short_texts(spark):
 
 def test_lm_shares_are_of_words(spark):
     """A word's share of its class follows its own count, whatever hashes alike; classes grow with the corpus."""
-    common = next(w for i in range(10**6) if zlib.crc32(w := b"c%d" % i) % (1 << 14) == zlib.crc32(b"junk") % (1 << 14))
+    common = next(w for i in range(10**6) if zlib.crc32(w := b"c%d" % i) % pseudo_lm.class_numbers(pseudo_lm.TOP + 2)[1] == zlib.crc32(b"junk") % pseudo_lm.class_numbers(pseudo_lm.TOP + 2)[1])
     rows = [(bytearray(b"f%d" % i), 1000) for i in range(pseudo_lm.TOP)] + [(bytearray(common), 500), (bytearray(b"junk"), 1)]
     vocab = pseudo_lm.vocabulary(spark.createDataFrame(rows, "word binary, n long"))
-    a, b = vocab.shares(vocab.encode(common.decode() + " junk", {}))
+    a, b = vocab.shares(vocab.encode(common.decode() + " junk"))
     assert abs(a - b - np.log(500)) < 1e-3
     small, large = pseudo_lm.class_numbers(10_000), pseudo_lm.class_numbers(10**8)
     assert large[0] > 4 * small[0] and large[1] > 4 * small[1]
