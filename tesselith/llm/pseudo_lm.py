@@ -61,19 +61,15 @@ def words(text: str | None) -> list[bytes]:
 
 
 class _Codes(dict):
-    """Codes of words met so far; emptied when it has grown to its bound."""
+    """Codes of the words whose counts are held; other words get their hashed class's, and aren't kept."""
 
-    MOST = 300_000
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+    def __init__(self, own: dict[bytes, int], known: dict[bytes, int], first_rare: int, tail: int):
+        super().__init__(known)
+        self.update(own)
+        self.first_rare, self.tail = first_rare, tail
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = code = self.vocabulary.code(word)
-        return code
+        return self.first_rare + zlib.crc32(word) % self.tail
 
 
 class Vocabulary:
@@ -97,17 +93,15 @@ class Vocabulary:
         self.class_of = np.concatenate([np.arange(self.n_classes), top + of_known, top + np.arange(tail)]).astype(kind)
         self.share_of = np.concatenate([np.zeros(self.n_classes), np.log(np.array([c for _, c in known], np.float64)) - np.log(n[of_known]), -np.log(n)]).astype(np.float32)
 
-    def code(self, w: bytes) -> int:
-        i = self.own.get(w)
-        if i is None:
-            i = self.known.get(w)
-        return i if i is not None else self.first_rare + zlib.crc32(w) % self.tail
+    def lookup(self) -> _Codes:
+        return _Codes(self.own, self.known, self.first_rare, self.tail)
 
-    def codes(self, ws: list[bytes], seen: _Codes) -> np.ndarray:
-        return np.fromiter(map(seen.__getitem__, ws), np.int32, len(ws))
+    @staticmethod
+    def codes(ws: list[bytes], of: _Codes) -> np.ndarray:
+        return np.fromiter(map(of.__getitem__, ws), np.int32, len(ws))
 
-    def encode(self, text: str | None, seen: _Codes | None = None) -> np.ndarray:
-        return self.codes(words(text), _Codes(self) if seen is None else seen)
+    def encode(self, text: str | None, of: _Codes | None = None) -> np.ndarray:
+        return self.codes(words(text), self.lookup() if of is None else of)
 
     def classes(self, codes: np.ndarray) -> np.ndarray:
         return self.class_of.take(codes)
@@ -116,7 +110,7 @@ class Vocabulary:
         return self.share_of.take(codes)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = 500_000) -> DataFrame:
     """(word, n) over all texts; tasks count first and never hold more than `most` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +310,9 @@ def trained(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words_of.value
-        seen = _Codes(v)
+        of = v.lookup()
         for batch in batches:
-            codes = [v.classes(v.encode(t, seen)).tobytes() for t in batch.column(1).to_pylist()]
+            codes = [v.classes(v.encode(t, of)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["h", "c"])
 
     for i in range(rounds):
@@ -381,12 +375,12 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = both.value
-        model, seen, row = Network(flat, v.n_classes), _Codes(v), TaskContext.get().partitionId() << 36
+        model, of, row = Network(flat, v.n_classes), v.lookup(), TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 texts = [words(t) for t in part.column(1).to_pylist()]
-                codes = [v.codes(ws, seen) for ws in texts]
+                codes = [v.codes(ws, of) for ws in texts]
                 n = np.array([len(c) for c in codes])
                 sums = np.zeros(len(codes))
                 if n.sum():

@@ -2,7 +2,9 @@
 
 Every text gets counts; their ratios go into KLL sketches, one per language and source. Sketches merge, so a
 language's and the whole corpus's come from those of the groups, not from the rows. A document fails where a ratio lies
-outside fences drawn from its group's quantiles; a group of few documents takes the fences of its language, or of all.
+outside fences drawn from its group's quartiles. A group's quartiles are drawn towards its language's, and those towards all documents', the more the
+fewer documents it has, by a weight that is smooth in their number. What chance does in a short text is allowed for: a fence is wider by
+some standard errors of a mean of so few words, and a few symbols, lines or words are no ratio.
 """
 
 from __future__ import annotations
@@ -13,17 +15,21 @@ from pyspark.sql import functions as F
 from tesselith.llm.common import written
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
-#: A group needs so many documents for fences of its own.
-MIN_GROUP = 200
-#: Fences lie so many spreads (upper minus lower quantile) beyond the quantiles, and at least the floor beyond.
-QUANTILES, SPREADS = (0.25, 0.75), 4.0
-#: Ratios, with the least room that a fence leaves and the sides on which it stands.
+#: Documents of its language that a group's quartiles are mixed with, and of all that a language's are.
+PRIOR = 20
+#: Fences lie so many spreads (upper minus lower quartile) beyond the quartiles, and the room besides.
+QUANTILES, SPREADS = (0.25, 0.75), 3.0
+#: Ratios, with the room beyond the spreads and the sides on which a fence stands.
 RATIOS = {
-    "mean_word": (3.0, "both"),
-    "symbol_ratio": (0.03, "upper"),
-    "dup_line_ratio": (0.35, "upper"),
-    "repeat_ratio": (0.2, "upper"),
+    "mean_word": (0.5, "both"),
+    "symbol_ratio": (0.01, "upper"),
+    "dup_line_ratio": (0.1, "upper"),
+    "repeat_ratio": (0.1, "upper"),
 }
+#: Standard errors by which the fences of a text's mean word widen, for words of this standard deviation; symbols, lines and words (a window and one more) that are no ratio yet.
+ERRORS, WORD_SD = 4.0, 2.5
+FREE = {"n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 6}
+#: At this size a KLL sketch's ranks are within one percent.
 SKETCH_K = 400
 
 _SPACES = "' \\t\\n\\u000B\\f\\r'"
@@ -79,7 +85,7 @@ def base_failed(prefix: str = "") -> Column:
 
 def ratios(prefix: str = "") -> dict[str, Column]:
     """The ratios that fences hold; a text without words has ratio 0."""
-    c = lambda k: F.col(f"{prefix}{k}").cast("double")
+    c = lambda k: F.greatest(F.lit(0.0), F.col(f"{prefix}{k}").cast("double") - FREE.get(k, 0))
     words = F.greatest(c("n_words"), F.lit(1.0))
     return {
         "mean_word": c("word_chars") / words,
@@ -89,36 +95,51 @@ def ratios(prefix: str = "") -> dict[str, Column]:
     }
 
 
-def _fences(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys, number of documents, and for each ratio an array (lower, upper)."""
+def allowance(ratio: str, prefix: str = "") -> Column:
+    """By how much a text's fences are wider than its group's."""
+    words = F.greatest(F.col(f"{prefix}n_words").cast("double"), F.lit(1.0))
+    return ERRORS * WORD_SD / F.sqrt(words) if ratio == "mean_word" else F.lit(0.0)
+
+
+def _quartiles(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, number of documents, and for each ratio an array of the quartiles; null without documents."""
     out = [F.col("n").alias(f"n_{name}")]
-    for r, (room, side) in RATIOS.items():
-        lo, hi = (F.expr(f"if(n > 0, kll_sketch_get_quantile_double(s_{r}, {q}D), null)") for q in QUANTILES)
-        reach = F.greatest(F.lit(room), SPREADS * (hi - lo))
-        out.append(F.array(lo - reach if side == "both" else F.lit(float("-inf")), hi + reach).alias(f"{name}_{r}"))
+    for r in RATIOS:
+        out.append(F.when(F.col("n") > 0, F.array(*[F.expr(f"kll_sketch_get_quantile_double(s_{r}, {q}D)") for q in QUANTILES])).alias(f"{name}_{r}"))
     return sketches.select(*keys, *out)
 
 
-def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "", min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "", prior: int = PRIOR) -> DataFrame:
     """(lang_key, source_key, fences): a row per language and source. Documents that the base rules fail don't count.
 
-    Keys are '' for null and '=' and the value otherwise.
+    Keys are '' for null and '=' and the value otherwise. Sketches draw at random: write the result before it is used twice.
     """
     key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     # no filter: it would be pushed below the counts and work them out twice; sketches skip nulls
     rows = measured.select(key(lang_col).alias("lang_key"), key(source_col).alias("source_key"), *[F.when(~base_failed(prefix), v).alias(k) for k, v in ratios(prefix).items()])
     group = rows.groupBy("lang_key", "source_key").agg(F.count("mean_word").alias("n"), *[F.expr(f"kll_sketch_agg_double({r}, {SKETCH_K})").alias(f"s_{r}") for r in RATIOS])
     merged = [F.sum("n").alias("n"), *[F.expr(f"kll_merge_agg_double(s_{r}, {SKETCH_K})").alias(f"s_{r}") for r in RATIOS]]
-    language = _fences(group.groupBy("lang_key").agg(*merged), ["lang_key"], "lang")
+    language = _quartiles(group.groupBy("lang_key").agg(*merged), ["lang_key"], "lang")
     # one row
-    everything = _fences(group.withColumn("one", F.lit(0)).groupBy("one").agg(*merged), ["one"], "all")
-    d = _fences(group, ["lang_key", "source_key"], "group").join(language, "lang_key").withColumn("one", F.lit(0)).join(F.broadcast(everything), "one")
-    pick = lambda r: F.when(F.col("n_group") >= min_group, F.col(f"group_{r}")).when(F.col("n_lang") >= min_group, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}"))
-    return d.select("lang_key", "source_key", F.struct(*[pick(r).alias(r) for r in RATIOS]).alias("fences"))
+    everything = _quartiles(group.withColumn("one", F.lit(0)).groupBy("one").agg(*merged), ["one"], "all")
+    d = _quartiles(group, ["lang_key", "source_key"], "group").join(language, "lang_key").withColumn("one", F.lit(0)).join(F.broadcast(everything), "one")
+
+    def mixed(r: str, i: int) -> Column:
+        at = lambda name: F.col(f"{name}_{r}")[i]
+        share = lambda name: F.col(f"n_{name}") / (F.col(f"n_{name}") + F.lit(float(prior)))
+        language = F.coalesce(share("lang") * at("lang") + (1 - share("lang")) * at("all"), at("all"))
+        return F.coalesce(share("group") * at("group") + (1 - share("group")) * language, language)
+
+    out = []
+    for r, (room, side) in RATIOS.items():
+        lo, hi = mixed(r, 0), mixed(r, 1)
+        reach = SPREADS * (hi - lo) + room
+        out.append(F.array(lo - reach if side == "both" else F.lit(float("-inf")), hi + reach).alias(r))
+    return d.select("lang_key", "source_key", F.struct(*out).alias("fences"))
 
 
 def verdict(measured: DataFrame, fences: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
-    """measured with base_failed and kept (both with the prefix). A group without fences (all its documents failed) keeps what the base rules keep."""
+    """measured with base_failed and kept (both with the prefix). Without any document that passes the base rules there are no fences."""
     key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     f = fences.select(F.col("lang_key").alias("__tl_l"), F.col("source_key").alias("__tl_s"), F.col("fences").alias("__tl_f"))
     d = measured.withColumns({"__tl_lk": key(lang_col), "__tl_sk": key(source_col)})
@@ -126,7 +147,7 @@ def verdict(measured: DataFrame, fences: DataFrame, lang_col: str = "lang", sour
     inside = F.lit(True)
     for r, v in ratios(prefix).items():
         lo, hi = (F.col("__tl_f").getField(r).getItem(i) for i in (0, 1))
-        inside = inside & (v >= lo) & (v <= hi)
+        inside = inside & (v >= lo - allowance(r, prefix)) & (v <= hi + allowance(r, prefix))
     d = d.withColumn(f"{prefix}base_failed", base_failed(prefix))
     d = d.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(inside, F.lit(True)))
     return d.drop("__tl_l", "__tl_s", "__tl_f", "__tl_lk", "__tl_sk")
@@ -141,14 +162,11 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     measured = written(features(narrow).drop("text"), "quality-counts")
-    return verdict(measured, thresholds(measured, **options)).drop("lang", "source")
+    return verdict(measured, written(thresholds(measured, **options), "quality-fences")).drop("lang", "source")
 
 
 def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs that are kept, all their columns. Texts aren't shuffled: a second scan counts again and filters."""
-    narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    fences = written(thresholds(features(narrow).drop("text"), **options), "quality-fences")
-    # held by a generator: the filter would go below the counts and work them out again
-    d = features(docs, text_col, "__tl_")
-    d = d.select(F.inline(F.array(F.struct(*d.columns))))
-    return verdict(d, fences, lang_col, source_col, "__tl_").where("__tl_kept").select(*docs.columns)
+    """The rows of docs that are kept, all their columns. Rows are written once with their counts, and not shuffled."""
+    measured = written(features(docs, text_col, "__tl_"), "quality-measured")
+    fences = written(thresholds(measured, lang_col, source_col, "__tl_", **options), "quality-fences")
+    return verdict(measured, fences, lang_col, source_col, "__tl_").where("__tl_kept").select(*docs.columns)

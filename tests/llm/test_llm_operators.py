@@ -465,6 +465,41 @@ def test_quality_thresholds_adapt(spark):
     assert sum(not got[i] for i in range(300)) == 0
 
 
+def test_each_quality_ratio_rejects(spark):
+    """Among plain texts, one that stands out in a single ratio is rejected by the fences, not by the base rules."""
+    r = random.Random(9)
+    words = lambda n: [r.choice(WORDS) for _ in range(n)]
+    rows = [(i, "\n".join(" ".join(words(20)) for _ in range(6)), "en", "a") for i in range(400)]
+    lines = [" ".join(words(12)) for _ in range(10)]
+    again = words(11)
+    odd = {
+        "mean_word": " ".join(w * 3 for w in words(120)),
+        "symbol_ratio": " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(words(120))),
+        "dup_line_ratio": "\n".join([*lines, *[x for x in (" ".join(words(3)),) for _ in range(9)]]),
+        "repeat_ratio": " ".join([*words(60), *again, *words(60), *again]),
+    }
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(odd.values())]
+    got = {x.doc_id: x for x in quality_rules.rated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(not got[i].kept for i in range(400)) == 0
+    for i, name in enumerate(odd):
+        assert not got[1000 + i].base_failed and not got[1000 + i].kept, name
+
+
+def test_quality_fences_are_of_quartiles(spark):
+    """Fences against exact quartiles within the sketches' error; small groups lean on their language, without a step."""
+    g = np.random.default_rng(3)
+    n = 20_000
+    rows = [(int(i), 100, int(c), 0, 0, 0, "en" if i % 2 else "de", "a" if i < n - 50 else f"s{i}") for i, c in enumerate(g.normal(500, 40, n))]
+    d = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, source string")
+    got = {(r.lang_key, r.source_key): r.fences.mean_word for r in quality_rules.thresholds(d).collect()}
+    v = np.sort([r[2] / 100 for r in rows if r[6] == "en" and r[7] == "a"])
+    at = lambda q: v[int(q * len(v))]
+    low, high = (at(0.25 + e) - 3 * (at(0.75 - e) - at(0.25 + e)) - 0.5 for e in (-0.02, 0.02))
+    assert low <= got["=en", "=a"][0] <= high
+    one = next(k for k in got if k[0] == "=en" and k[1] != "=a")
+    assert abs(got[one][0] - got["=en", "=a"][0]) < 0.3
+
+
 # Jaccard
 
 
