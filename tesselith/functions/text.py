@@ -103,7 +103,7 @@ def initial_tool(question: Column, language: Column | None = None) -> Column:
     return F.when(exact, "keyword_search").otherwise("semantic_search")
 
 
-def token_estimate(text: Column, language: Column) -> Column:
+def token_estimate(text: Column, language: Column, cleaned: bool = False) -> Column:
     """Japanese: half the characters that aren't spaces; else words; else a quarter of the characters."""
 
     def of(t: Column) -> Column:
@@ -112,7 +112,7 @@ def token_estimate(text: Column, language: Column) -> Column:
         other = let(words, lambda n: F.when(n > 0, n.cast("long")).otherwise(F.greatest(F.lit(1), F.ceil(F.length(t) / 4.0))))
         return F.when(t == "", F.lit(0).cast("long")).when((F.coalesce(language, F.lit("")) == "ja") | has_japanese(t), F.greatest(F.lit(1), half)).otherwise(other)
 
-    return let(clean(text), of).cast("long")
+    return let(text if cleaned else clean(text), of).cast("long")
 
 
 def snippet(text: Column, most: int = 240) -> Column:

@@ -68,7 +68,7 @@ def scored(chunks: DataFrame, min_quality_score: float = 0.6, target_language: C
     return d.withColumns({"inclusion_reason": F.when(c("included"), "quality_threshold_met").otherwise(""), "exclusion_reason": why})
 
 
-def topics(text: Column) -> Column:
+def topics(text: Column, cleaned: bool = False) -> Column:
     """Topics of which a keyword occurs in the text, in their order; else general, or unknown without meaningful characters."""
 
     def of(low: Column) -> Column:
@@ -76,7 +76,7 @@ def topics(text: Column) -> Column:
         none = F.when(low.rlike(V.MEANINGFUL), F.array(F.lit("general"))).otherwise(F.array(F.lit("unknown")))
         return T.let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(none))
 
-    return T.let(F.lower(T.clean(text)), of)
+    return T.let(F.lower(text if cleaned else T.clean(text)), of)
 
 
 def manifest(chunks: DataFrame, dataset_id: str, dataset_version: str, run_id: str, created_at: str, min_quality_score: float = 0.6) -> DataFrame:
@@ -87,8 +87,8 @@ def manifest(chunks: DataFrame, dataset_id: str, dataset_version: str, run_id: s
         lit(dataset_id).alias("dataset_id"), lit(dataset_version).alias("dataset_version"), lit(run_id).alias("pipeline_run_id"),
         F.format_string("%s:%s:%s:transcript:%06d", lit(dataset_id), lit(dataset_version), F.col("doc_id").cast("string"), F.col("chunk_index")).alias("evidence_id"),
         "doc_id", "title", lit("transcript").alias("source_type"), "chunk_index", "start_sec", "end_sec", "text", "language", "text_length",
-        T.token_estimate(F.col("text"), F.col("language")).alias("token_estimate"), "has_timestamp", "quality_score", "quality_label",
-        topics(F.col("text")).alias("topic_tags"), "included", "inclusion_reason", "exclusion_reason", lit(created_at).alias("created_at"), "reasons",
+        T.token_estimate(F.col("text"), F.col("language"), cleaned=True).alias("token_estimate"), "has_timestamp", "quality_score", "quality_label",
+        topics(F.col("text"), cleaned=True).alias("topic_tags"), "included", "inclusion_reason", "exclusion_reason", lit(created_at).alias("created_at"), "reasons",
     )
 
 

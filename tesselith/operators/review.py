@@ -168,3 +168,57 @@ def anchors_resolved(items: DataFrame, lines: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "item", "segment_index", "source"]).astype({"segment_index": "Int64"})
 
     return items.join(lines.select("doc_id", "lines"), "doc_id").select("doc_id", "items", "lines").mapInPandas(run, "doc_id long, item long, segment_index long, source string")
+
+
+def review_items(results: DataFrame) -> DataFrame:
+    """(review_item_id, feedback_key, query, timestamp_label, rank, score) of results (query, source, chunk_index, start, end, rank, score); without a source none."""
+    q = T.clean(F.col("query"))
+    key = T.chunk_key(F.col("source"), F.col("chunk_index"), F.col("start"), F.greatest("start", F.coalesce("end", "start")))
+    d = results.where(F.trim(F.coalesce("source", F.lit(""))) != "").withColumn("feedback_key", key)
+    return d.select(F.concat(F.substring(F.sha1(q), 1, 10), F.lit(":"), "feedback_key").alias("review_item_id"), "feedback_key", q.alias("query"), T.clock(F.col("start")).alias("timestamp_label"), "rank", "score")
+
+
+def normalised_recommendations(rows: DataFrame) -> DataFrame:
+    """Recommendations with their fields from the row or else its source: (review_item_id, query, source, recommended_label, final_label, confidence, approved).
+
+    rows: these, nullable strings (approved boolean), and `ref`, a struct of review_item_id, query and source. Without a known label, an id, a query or a source a row goes.
+    """
+    blank = lambda c: F.nullif(T.clean(c), F.lit(""))
+    either = lambda n: F.coalesce(blank(F.col(n)), blank(F.col("ref").getField(n)))
+    label = lambda c: F.when(F.lower(T.clean(c)).isin("relevant", "not_relevant", "unclear"), F.lower(T.clean(c)))
+    final = label(F.col("final_label"))
+    sure = F.lower(T.clean(F.col("confidence")))
+    d = rows.select(
+        either("review_item_id").alias("review_item_id"), either("query").alias("query"), either("source").alias("source"),
+        label(F.coalesce(blank(F.col("recommended_label")), blank(F.col("final_label")))).alias("recommended_label"), final.alias("final_label"),
+        F.when(sure.isin("low", "medium", "high"), sure).otherwise("low").alias("confidence"), F.coalesce("approved", F.lit(False)).alias("approved"),
+    )
+    return d.where("recommended_label is not null and review_item_id is not null and query is not null and source is not null")
+
+
+def feedback_payloads(recommendations: DataFrame) -> DataFrame:
+    """(review_item_id, query, source, label): what is stored of normalised recommendations that are approved or have a final label; unclear ones aren't."""
+    label = F.coalesce("final_label", F.when(F.col("approved"), F.col("recommended_label")))
+    return recommendations.select("review_item_id", "query", "source", label.alias("label")).where(F.col("label").isin("relevant", "not_relevant"))
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """(label, n, place): values by count, those of equal counts by name; a null is 'unknown'."""
+    g = rows.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("unknown")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("label"))).cast("long"))
+
+
+def ask_records(rows: DataFrame) -> DataFrame:
+    """Ask-history records in their normal form; those without a video or question go.
+
+    rows: (id, doc_id, question, answer, k, retrieval_mode, provider, status, confidence, created_at), all nullable. Modes and providers are lower-cased; an unknown
+    status is answered, an unknown confidence low; k is 1 at least.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    low = lambda c, d: F.lower(F.trim(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))))
+    held = lambda c, known, d: F.when(low(c, d).isin(*known), low(c, d)).otherwise(d)
+    d = rows.select(
+        "id", "doc_id", text("question").alias("question"), text("answer").alias("answer"), F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("k"), F.lit(0)), F.lit(5))).cast("long").alias("k"),
+        low("retrieval_mode", "hybrid").alias("retrieval_mode"), held("status", ["answered", "insufficient_evidence", "error"], "answered").alias("status"), held("confidence", ["low", "medium", "high"], "low").alias("confidence"), "created_at",
+    )
+    return d.where("doc_id is not null and question <> ''")

@@ -8,7 +8,7 @@ CJK = V.JAPANESE
 _words = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 TOK = "tok AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9_]+') AS tokens FROM documents)"
-QRY = """q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9_]+')[1:8] AS terms FROM benchmark),
+QRY = """q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS terms FROM benchmark),
 qu AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM q) GROUP BY 1, 2)"""
 WEIGHT = "ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (1 + 0.2::DOUBLE * (qtf - 1)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / greatest(al, 1e-9)))"
 
@@ -53,7 +53,7 @@ LINES = """ln0 AS (SELECT doc_id, lang, source, list_filter(string_split(text, c
 ln1 AS (SELECT doc_id, lang, source, unnest(l) AS text, unnest(range(len(l))) AS ord FROM ln0),
 seg AS (SELECT doc_id, lang, source, ord, text, e - 10 - length(text) AS start_ds, e AS end_ds FROM (
   SELECT *, (sum(10 + length(text)) OVER (PARTITION BY doc_id ORDER BY ord))::BIGINT AS e FROM ln1))"""
-GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) WHERE len(regexp_extract_all(lower(substr(b.text, 1, 60)), '[a-z0-9_]+')) >= 4)"
+GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) >= 4)"
 
 
 def scores(rows: str, name: str) -> str:
@@ -146,7 +146,7 @@ def assess(rows: str, name: str, mode: str) -> str:
 
 LOG = "lg AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS level, user_id AS job_id FROM events)"
 CASES = f"""{VQ.format(on="")}, v AS (SELECT vec_id, label::BIGINT AS l FROM embeddings), h AS (SELECT query_id, l, min(rank) AS r FROM vq JOIN v USING (vec_id) WHERE rank <= 10 GROUP BY 1, 2),
-p AS (SELECT query_id, list(l ORDER BY r) AS ranked FROM h WHERE query_id % 60 <> 0 GROUP BY 1),
+p AS (SELECT query_id, list(l ORDER BY r) AS ranked FROM h GROUP BY 1),
 c AS (SELECT vec_id AS query_id, l, CASE WHEN vec_id % 100 = 0 THEN [] ELSE [(l + 1) % 10, (l + 2) % 10] END AS ds FROM v WHERE vec_id % 20 = 0),
 k AS (SELECT query_id, CASE WHEN ranked IS NULL THEN 'missing' ELSE 'scored' END AS status, list_position(ranked, l) AS fr, list_min(list_filter(list_transform(ds, lambda z: list_position(ranked, z)), lambda z: z > 0)) AS fd, len(ds) AS nd FROM c LEFT JOIN p USING (query_id)),
 rc AS (SELECT query_id, status, {", ".join(f"CASE WHEN fr > 0 AND fr <= {x} THEN 1.0::DOUBLE ELSE 0.0 END AS recall_{x}" for x in (1, 3, 5))}, CASE WHEN fr > 0 THEN round(1.0::DOUBLE / fr, 6) ELSE 0.0 END AS mrr,
@@ -212,7 +212,7 @@ SELECT doc_id, w AS "window", min(ord) AS first_ord, count(*) AS n_lines, sum(n)
     "repetition_signals": f"WITH rows0 AS (SELECT doc_id, 0 AS chunk_index, text AS raw, lang AS language, 0.0::DOUBLE AS start_sec, 1.0::DOUBLE AS end_sec FROM documents), {cur('rows0')} SELECT doc_id, round(tc, 4) AS top_char, round(ur, 4) AS unique_ratio, pr AS passes_repetition FROM c3",
     "keywords_topk": f"""WITH {TOK}, k AS (SELECT doc_id, keyword, count(*) AS n, min(pos) AS f FROM (SELECT doc_id, unnest(tokens) AS keyword, unnest(range(len(tokens))) AS pos FROM tok) WHERE length(keyword) BETWEEN 4 AND 18 AND NOT list_contains({_words(V.STOP_WORDS)}, keyword) GROUP BY 1, 2)
 SELECT doc_id, keyword, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f)::INT AS rank FROM k) WHERE rank <= 8""",
-    "query_rewrite": f"""WITH t AS (SELECT conv_id, turn, array_to_string(string_split(text, '.')[1:2], '.') AS t FROM conversations), r AS (SELECT *, array_to_string(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda z: NOT list_contains({_words(V.QUESTION_WORDS)}, z)), ' ') AS n, lower({CLEAN.format(c='t')}) AS o FROM t)
+    "query_rewrite": f"""WITH t AS (SELECT conv_id, turn, text AS t FROM conversations), r AS (SELECT *, array_to_string(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda z: NOT list_contains({_words(V.QUESTION_WORDS)}, z)), ' ') AS n, lower({CLEAN.format(c='t')}) AS o FROM t)
 SELECT conv_id, turn, CASE WHEN n = '' OR n = o OR o = '' THEN NULL ELSE n END AS rewrite FROM r""",
     "tool_choice": f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{JP}') OR regexp_matches(text, '[\"“”「」『』]') OR regexp_matches(text, '\\d') OR regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,}}($|[^\\p{{L}}\\p{{N}}_])') THEN 'keyword_search' ELSE 'semantic_search' END AS tool FROM conversations",
     "english_tokens": f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda z: z <> '' AND NOT list_contains({_words(V.STOP_WORDS)}, z)), ' ') AS tokens FROM documents",
@@ -248,10 +248,10 @@ SELECT al.query_id, CASE WHEN NOT al.sufficient AND (ad.sufficient OR ad.n > al.
 SELECT query_id, citation_id, doc_id, {CLOCK.format(a='%d:%02d:%02d', b='%d:%02d')} || '-' || {CLOCK.format(a='%d:%02d:%02d', b='%d:%02d').replace(' s ', ' e ').replace('s ', 'e ')} AS label, CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 239)) || '…' END AS snippet,
 'Retrieved chunk #' || citation_id || ' for the question.' AS reason, 'https://media.example/watch?v=' || doc_id || '&t=' || s || 's' AS url FROM r""",
     "routing_profiles": f"WITH {PROFILE} SELECT doc_id, overview, n_sections, starts, md5(lexical_text) AS lexical_md5 FROM px",
-    "routing_vector_agg": f"""WITH {VQ.format(on='')}, f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1), h AS (SELECT query_id, e.label::BIGINT AS source_id, f.vec_id IS NOT NULL AS idt, dense_score AS s FROM vq JOIN embeddings e USING (vec_id) LEFT JOIN f ON f.vec_id = e.vec_id WHERE rank <= 50),
+    "routing_vector_agg": f"""WITH {VQ.format(on='')}, f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1), h AS (SELECT query_id, e.label::BIGINT AS source_id, f.vec_id IS NOT NULL AS idt, dense_score AS s FROM vq JOIN embeddings e USING (vec_id) LEFT JOIN f ON f.vec_id = e.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY s DESC) AS r FROM h), g AS (SELECT query_id, source_id, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b, max(s) FILTER (idt) AS i FROM k GROUP BY 1, 2), m AS (SELECT *, CASE WHEN b IS NULL THEN a ELSE 0.7::DOUBLE * a + 0.3::DOUBLE * b END AS mv FROM g)
 SELECT query_id, source_id, round(0.85::DOUBLE * mv + 0.15::DOUBLE * coalesce(i, mv), 9) AS dense_score FROM m""",
-    "routing_search": f"""WITH {ROUTES}, {DENSE}, j AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.doc_id, l.source_id) AS source_id, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + lr) + 0.02::DOUBLE * lexical_score, 0), 6) AS score FROM (SELECT * FROM den WHERE rank <= 50) d FULL JOIN rl l ON d.query_id = l.query_id AND d.doc_id = l.source_id)
+    "routing_search": f"""WITH {ROUTES}, {DENSE}, j AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.doc_id, l.source_id) AS source_id, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + lr) + 0.02::DOUBLE * lexical_score, 0), 6) AS score FROM den d FULL JOIN rl l ON d.query_id = l.query_id AND d.doc_id = l.source_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id)::INT AS rank FROM j) WHERE rank <= 5""",
     "routing_variants": f"""WITH {ROUTES}, {DENSE}, a AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source_id) AS rank, lexical_score AS ls FROM (SELECT *, round(1.0::DOUBLE / (60 + lr) + 0.02::DOUBLE * lexical_score, 6) AS s FROM rl)),
 v AS (SELECT query_id, source_id, 1.0::DOUBLE AS w, rank, ls FROM a WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 1.1::DOUBLE, rank, 0 FROM den WHERE rank <= 10), g AS (SELECT query_id, source_id, round(sum(w * (1.0::DOUBLE / (60 + rank) + 0.02::DOUBLE * ls)), 6) AS score, count(*) AS hits FROM v GROUP BY 1, 2)
@@ -272,13 +272,13 @@ SELECT doc_id, section, focus_score, query_match_count, rank FROM (SELECT *, row
     "source_merge": f"""WITH a AS (SELECT doc_id, {PROVIDER.format(m=4)} AS p, source AS ci, doc_id % 3 <> 0 AS has, {PROVIDER.format(m=7)} AS np, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'new' END AS nci, CASE WHEN doc_id % 2 = 0 THEN 'named' END AS ncn FROM documents),
 b AS (SELECT *, has AND (np NOT IN ('fallback', 'legacy') OR nci IS NOT NULL OR ncn IS NOT NULL) AND {PRIO.format(c='np')} >= {PRIO.format(c='p')} AS take FROM a)
 SELECT doc_id, CASE WHEN take THEN np ELSE p END AS provider, coalesce(CASE WHEN has THEN nci END, ci) AS channel_id, coalesce(CASE WHEN has THEN ncn END, 'old') AS channel_name, CASE WHEN take THEN '2024-02-01' ELSE '2024-01-01' END AS fetched_at FROM b""",
-    "study_quality": f"""WITH {LINES}, c AS (SELECT doc_id AS deck_id, trim(regexp_replace(lower({CLEAN.format(c="substr(text, 1, 40)")}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k, ord % 7 <> 6 AS ev, ord % 7 <> 6 AND ord % 3 <> 2 AND {CLEAN.format(c="text")} <> '' AS an, ord % 5 <> 4 AS ob, length({CLEAN.format(c="text")}) <= 360 AS co,
-  NOT regexp_matches(lower({CLEAN.format(c="substr(text, 1, 40)")}), '(^|[^\\p{{L}}\\p{{N}}_])\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?($|[^\\p{{L}}\\p{{N}}_])') AS un FROM seg),
+    "study_quality": f"""WITH {LINES}, c AS (SELECT doc_id AS deck_id, trim(regexp_replace(lower({CLEAN.format(c="text")}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k, ord % 7 <> 6 AS ev, ord % 7 <> 6 AND ord % 3 <> 2 AND {CLEAN.format(c="text")} <> '' AS an, ord % 5 <> 4 AS ob, length({CLEAN.format(c="text")}) <= 360 AS co,
+  NOT regexp_matches(lower({CLEAN.format(c="text")}), '(^|[^\\p{{L}}\\p{{N}}_])\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?($|[^\\p{{L}}\\p{{N}}_])') AS un FROM seg),
 g AS (SELECT deck_id, count(*) AS cards, round(1 - count(DISTINCT k)::DOUBLE / count(*), 3) AS duplicate_rate, round(avg(ev::INT), 3) AS evidence_rate, round(avg(an::INT), 3) AS answerable_rate, round(avg(co::INT), 3) AS concise_rate, round(avg(un::INT), 3) AS untimed_rate, round(avg(ob::INT), 3) AS o FROM c GROUP BY 1),
 h AS (SELECT *, round(((evidence_rate >= 1)::INT * 2 + (answerable_rate >= 1)::INT + 2 + (untimed_rate >= 1)::INT + (concise_rate >= 0.85)::INT + (o >= 1)::INT + (duplicate_rate <= 0)::INT) / 9.0::DOUBLE, 3) AS score FROM g)
 SELECT deck_id, cards, duplicate_rate, evidence_rate, answerable_rate, concise_rate, untimed_rate, score, CASE WHEN score >= 1 THEN 'pass' ELSE 'review' END AS verdict FROM h""",
     "draft_cases": f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1),
-c AS (SELECT conv_id % 20 AS draft_id, conv_id * 100 + turn AS ord, {CLEAN.format(c="substr(text, 1, 12)")} AS query, ['fact', 'compare', 'summary', 'negative', 'odd'][(conv_id + turn) % 5 + 1] AS ty, turn % 4 <> 3 AS facts, (turn < coalesce(n, 0))::INT + (turn + 40 < coalesce(n, 0))::INT AS ev FROM conversations LEFT JOIN n ON doc_id = conv_id * 2),
+c AS (SELECT conv_id % 20 AS draft_id, conv_id * 100 + turn AS ord, {CLEAN.format(c="text")} AS query, ['fact', 'compare', 'summary', 'negative', 'odd'][(conv_id + turn) % 5 + 1] AS ty, turn % 4 <> 3 AS facts, (turn < coalesce(n, 0))::INT + (turn + 40 < coalesce(n, 0))::INT AS ev FROM conversations LEFT JOIN n ON doc_id = conv_id * 2),
 o AS (SELECT *, query <> '' AND ty <> 'odd' AND ev > 0 AND facts AS ok FROM c), t AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY draft_id, lower(query)) AS tk FROM o),
 r AS (SELECT *, CASE WHEN query = '' OR ord > tk THEN 'blank_or_duplicate' WHEN ty = 'odd' THEN 'invalid_type' WHEN NOT ok THEN 'no_evidence_or_facts' ELSE 'valid' END AS outcome FROM t)
 SELECT draft_id, ord, query, outcome, ev::BIGINT AS n_evidence, outcome = 'valid' AND row_number() OVER (PARTITION BY draft_id, ty, outcome ORDER BY ord) > 1 AS repeated_type FROM r""",

