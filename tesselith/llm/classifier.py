@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import written
+from tesselith.llm.common import small, written
 
 FEATURES, RIDGE, BANDWIDTH, BINS, SEED, THRESHOLD = 256, 1e-3, 4.0, 2048, 7, 0.7
 STATS = [
@@ -221,9 +221,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all their columns, scored at the threshold or more. Only labelled rows are joined; texts aren't shuffled."""
-    known = labels.select(F.col(id_col).alias("__tl_id")).distinct()
-    some = docs.join(known, F.col(id_col) == F.col("__tl_id"), "left_semi").select(id_col, text_col)
+    """The rows of docs, all their columns, scored at the threshold or more. Only labelled rows are joined; texts are shuffled only if the labels are too many to send."""
+    known = written(labels.select(F.col(id_col).alias("__tl_id")).distinct(), "qc-labelled")
+    some = docs.join(small(known), F.col(id_col) == F.col("__tl_id"), "left_semi").select(id_col, text_col)
     stats = with_statistics(some, id_col, text_col)
     model = fit(written(_labelled(stats, labels, id_col, label_col), "qc-train"))
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesselith-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -91,6 +93,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_level
     return root.join(least, "root").select("id", "component")
 
 
+#: Rows that small() lets a plan send to every task.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, to be sent to every task if it has SMALL_ROWS rows or fewer; else as it is, for a join that shuffles both sides."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 #: Keys that hot_keys() finds at most.
 HOT_KEYS = 1000
 

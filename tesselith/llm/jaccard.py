@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import connected_components, drop_written, hot_keys, spread_join, text_bytes, written
+from tesselith.llm.common import connected_components, drop_written, hot_keys, small, spread_join, text_bytes, written
 
 BAND_RATIO = 1.5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -297,7 +297,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 return row[0], m
         return None
 
-    links = written(_streamed(docs.join(roles, "id"), ["id", "text"], against, "a long, b long"), "jac-links")
+    links = written(_streamed(docs.join(small(roles), "id"), ["id", "text"], against, "a long, b long"), "jac-links")
     drop_written(d, roles)
     return links
 
@@ -396,7 +396,7 @@ def _among(groups: DataFrame, docs: DataFrame, k: int, percent: int, block_rows:
 
     A task holds the texts of two blocks of one group and intersects the sets of what bitmaps leave; only links are given out.
     """
-    rows = docs.join(groups, "id").where("text is not null")
+    rows = docs.join(small(groups), "id").where("text is not null")
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum(text_bytes(F.col("text"))).alias("bytes"))
     sizes = written(sizes.select("group", F.expr(f"cast(greatest(1, ceil(rows / {block_rows}), ceil(bytes / {BLOCK_TEXT})) as int)").alias("p")), "jac-sizes")
     d = spread_join(rows, sizes, "group", "id", "inner", count_rows=groups).withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("p")).cast("int"))
@@ -469,5 +469,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """Rows of docs, all their columns, without those in a component with a smaller id. Rows of one id go or stay together; those with a null id stay."""
     id_col = options.get("id_col", "doc_id")
-    gone = jaccard_components(docs, k, percent, **options).where("component_id < doc_id").select(F.col("doc_id").alias("__tl_gone")).distinct()
-    return docs.join(written(gone, "jac-gone"), F.col(id_col) == F.col("__tl_gone"), "left_anti")
+    components = jaccard_components(docs, k, percent, **options)
+    gone = components.where("component_id < doc_id").select(F.col("doc_id").alias("__tl_gone")).distinct()
+    gone = written(gone, "jac-gone")
+    drop_written(components)
+    return docs.join(small(gone), F.col(id_col) == F.col("__tl_gone"), "left_anti")

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ CLASSES = TOP + TAIL
 PAD = CLASSES
 SIDE, EMBED, HIDDEN = 2, 16, 32
 #: ROUNDS of averaging, each over its part of the texts; words of a shard, about; windows of a step.
-ROUNDS, SHARD_WORDS, BATCH, RATE, SEED = 2, 1_500_000, 2048, 0.02, 11
+ROUNDS, SHARD_WORDS, BATCH, RATE, SEED = 2, 3_000_000, 4096, 0.02, 11
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -60,16 +60,18 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-class _Codes(dict):
-    """Codes of the words whose counts are held; other words get their hashed class's, and aren't kept."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words() of each text, all in one binary array, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    keep = pc.not_equal(flat, "")  # white space at an end leaves an empty part
+    before = np.r_[0, np.cumsum(keep.to_numpy(zero_copy_only=False))]
+    counts = np.diff(np.r_[0, before[ends]]) if len(ends) else np.zeros(0, np.int64)
+    return (flat if before[-1] == len(flat) else flat.filter(keep)).cast(pa.binary()), counts
 
-    def __init__(self, own: dict[bytes, int], known: dict[bytes, int], first_rare: int, tail: int):
-        super().__init__(known)
-        self.update(own)
-        self.first_rare, self.tail = first_rare, tail
 
-    def __missing__(self, word: bytes) -> int:
-        return self.first_rare + zlib.crc32(word) % self.tail
+#: Texts that are split together.
+SPLIT = 1000
 
 
 class Vocabulary:
@@ -82,8 +84,8 @@ class Vocabulary:
 
     def __init__(self, own: list[bytes], known: list[tuple[bytes, int]], totals: dict[int, int], top: int = TOP, tail: int = TAIL, complete: bool = True, n_words: int = 0):
         self.n_words, self.top, self.tail, self.n_classes, self.complete = n_words, top, tail, top + tail, complete
-        self.own = {w: i for i, w in enumerate(own)}
-        self.known = {w: self.n_classes + i for i, (w, _) in enumerate(known)}
+        self.own, self.held = own, [*own, *(w for w, _ in known)]
+        self.code_of = np.concatenate([np.arange(len(own)), self.n_classes + np.arange(len(known))]).astype(np.int64)
         self.first_rare = self.n_classes + len(known)
         n = np.ones(tail)
         for t, c in totals.items():
@@ -93,15 +95,17 @@ class Vocabulary:
         self.class_of = np.concatenate([np.arange(self.n_classes), top + of_known, top + np.arange(tail)]).astype(kind)
         self.share_of = np.concatenate([np.zeros(self.n_classes), np.log(np.array([c for _, c in known], np.float64)) - np.log(n[of_known]), -np.log(n)]).astype(np.float32)
 
-    def lookup(self) -> _Codes:
-        return _Codes(self.own, self.known, self.first_rare, self.tail)
+    def codes(self, ws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words, and which of them are rare (not held)."""
+        found = pc.index_in(ws, pa.array(self.held, pa.binary()))
+        rare = found.is_null().to_numpy(zero_copy_only=False)
+        codes = self.code_of.take(pc.fill_null(found, 0).to_numpy(zero_copy_only=False)) if len(self.held) else np.zeros(len(ws), np.int64)
+        if rare.any():
+            codes[rare] = [self.first_rare + zlib.crc32(w) % self.tail for w in ws.filter(pa.array(rare)).to_pylist()]
+        return codes, rare
 
-    @staticmethod
-    def codes(ws: list[bytes], of: _Codes) -> np.ndarray:
-        return np.fromiter(map(of.__getitem__, ws), np.int32, len(ws))
-
-    def encode(self, text: str | None, of: _Codes | None = None) -> np.ndarray:
-        return self.codes(words(text), self.lookup() if of is None else of)
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.codes(split_words(pa.array([text], pa.string()))[0])[0]
 
     def classes(self, codes: np.ndarray) -> np.ndarray:
         return self.class_of.take(codes)
@@ -110,18 +114,23 @@ class Vocabulary:
         return self.share_of.take(codes)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", most: int = 500_000) -> DataFrame:
-    """(word, n) over all texts; tasks count first and never hold more than `most` words."""
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = 4_000_000) -> DataFrame:
+    """(word, n) over all texts; tasks count first, `most` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            c = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            return pa.RecordBatch.from_arrays([c.field(0), c.field(1)], ["word", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-                if len(seen) > most:
+            for lo in range(0, batch.num_rows, SPLIT):
+                held.append(split_words(batch.column(0).slice(lo, SPLIT))[0])
+                size += len(held[-1])
+                if size >= most:
                     yield out()
-                    seen.clear()
+                    held, size = [], 0
         yield out()
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -192,7 +201,7 @@ class Network:
         cuts = np.searchsorted(group, np.arange(self.n_groups + 1)).tolist()
         return [(g, lo, hi, self.last if g == self.n_groups - 1 else self.size) for g, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
 
-    def log_probs(self, ctx: np.ndarray, target: np.ndarray, step: int = 4096) -> np.ndarray:
+    def log_probs(self, ctx: np.ndarray, target: np.ndarray, step: int = 8192) -> np.ndarray:
         """log p(class | both sides) of each target. ctx: (n, 2 * SIDE) classes, PAD outside the text.
 
         Position-wise tables stand for embedding and first layer; targets of one group are taken together.
@@ -310,10 +319,14 @@ def trained(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words_of.value
-        of = v.lookup()
         for batch in batches:
-            codes = [v.classes(v.encode(t, of)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["h", "c"])
+            for lo in range(0, batch.num_rows, SPLIT):
+                part = batch.slice(lo, SPLIT)
+                ws, n = split_words(part.column(1))
+                data = v.classes(v.codes(ws)[0])
+                ends = np.r_[0, np.cumsum(n) * data.itemsize].astype(np.int32)
+                codes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(0), codes], ["h", "c"])
 
     for i in range(rounds):
         start = net.flat.copy()
@@ -375,43 +388,41 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = both.value
-        model, of, row = Network(flat, v.n_classes), v.lookup(), TaskContext.get().partitionId() << 36
+        model, row = Network(flat, v.n_classes), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                texts = [words(t) for t in part.column(1).to_pylist()]
-                codes = [v.codes(ws, of) for ws in texts]
-                n = np.array([len(c) for c in codes])
-                sums = np.zeros(len(codes))
-                if n.sum():
-                    all_codes = np.concatenate(codes)
+            for lo in range(0, batch.num_rows, SPLIT):
+                part = batch.slice(lo, SPLIT)
+                ws, n = split_words(part.column(1))
+                codes, rare = v.codes(ws)
+                sums = np.zeros(len(n))
+                starts = np.r_[0, np.cumsum(n)]
+                for first in range(0, len(n), 64):
+                    k = n[first : first + 64]
+                    own_codes = codes[starts[first] : starts[first] + k.sum()]
+                    if not len(own_codes):
+                        continue
                     # texts one after another with PAD between them
-                    starts = np.r_[0, np.cumsum(n)[:-1]]
-                    at = np.arange(len(all_codes)) + np.repeat(SIDE * (np.arange(len(n)) + 1), n)
-                    padded = np.full(len(all_codes) + SIDE * (len(n) + 1), v.n_classes, v.class_of.dtype)
-                    padded[at] = own = v.classes(all_codes)
+                    at = np.arange(len(own_codes)) + np.repeat(SIDE * (np.arange(len(k)) + 1), k)
+                    padded = np.full(len(own_codes) + SIDE * (len(k) + 1), v.n_classes, v.class_of.dtype)
+                    padded[at] = own = v.classes(own_codes)
                     ctx = np.stack([padded.take(at + i) for i in [*range(-SIDE, 0), *range(1, SIDE + 1)]], 1)
-                    each = (model.log_probs(ctx, own) + v.shares(all_codes)).astype(np.float64)
-                    some = np.flatnonzero(n)
-                    sums[some] = np.add.reduceat(each, starts[some])
-                rare_words, rare_counts, ends = [], [], [0]
-                for ws, c in zip(texts, codes, strict=True):
-                    if not v.complete and len(found := np.flatnonzero(c >= v.first_rare)):
-                        k = Counter([ws[i] for i in found.tolist()])
-                        rare_words += k.keys()
-                        rare_counts += k.values()
-                    ends.append(len(rare_words))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((rare_words, pa.binary()), (rare_counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), *lists], ["row", "doc_id", "n_words", "log_prob", "words", "counts"])
+                    each = (model.log_probs(ctx, own) + v.shares(own_codes)).astype(np.float64)
+                    some = np.flatnonzero(k)
+                    sums[first + some] = np.add.reduceat(each, (starts[first : first + len(k)] - starts[first])[some])
+                if v.complete:
+                    rare = np.zeros(len(ws), bool)
+                ends = np.r_[0, np.cumsum(rare)][starts].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), ws.filter(pa.array(rare)))
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), lists], ["row", "doc_id", "n_words", "log_prob", "words"])
                 row += len(n)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = picked.mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, words array<binary>, counts array<long>")
+    d = picked.mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, words array<binary>")
     if not vocab.complete:
         d = written(d, "lm-scored")
         # words seen once or never have their share already
-        each = d.selectExpr("row", "inline(arrays_zip(words, counts)) as (word, k)").join(counts.where("n > 1"), "word")
-        more = each.groupBy("row").agg(F.sum(F.col("k") * F.log(F.col("n").cast("double"))).alias("more"))
+        each = d.selectExpr("row", "explode(words) as word").join(counts.where("n > 1"), "word")
+        more = each.groupBy("row").agg(F.sum(F.log(F.col("n").cast("double"))).alias("more"))
         d = d.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return d.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 

@@ -166,7 +166,10 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs that are kept, all their columns. Rows are written once with their counts, and not shuffled."""
-    measured = written(features(docs, text_col, "__tl_"), "quality-measured")
-    fences = written(thresholds(measured, lang_col, source_col, "__tl_", **options), "quality-fences")
-    return verdict(measured, fences, lang_col, source_col, "__tl_").where("__tl_kept").select(*docs.columns)
+    """The rows of docs that are kept, all their columns. Texts are neither shuffled nor written: a second scan counts again and filters."""
+    narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    fences = written(thresholds(features(narrow).drop("text"), **options), "quality-fences")
+    # held by a generator: the filter would go below the counts and work them out again
+    d = features(docs, text_col, "__tl_")
+    d = d.select(F.inline(F.array(F.struct(*d.columns))))
+    return verdict(d, fences, lang_col, source_col, "__tl_").where("__tl_kept").select(*docs.columns)

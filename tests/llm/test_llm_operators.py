@@ -735,7 +735,7 @@ def test_lm_scores(spark, docs, rows, empty):
     assert {bytes(r.word): r.n for r in counts.collect()} == truth
     vocab = pseudo_lm.vocabulary(counts)
     top = sorted(truth, key=lambda w: (-truth[w], w))[: pseudo_lm.TOP]
-    assert list(vocab.own) == top
+    assert vocab.own == top
     net = pseudo_lm.trained(docs, vocab)
     got = {r.doc_id: r for r in pseudo_lm.scores(docs, vocab, net).collect()}
     assert len(got) == len(rows)
@@ -776,6 +776,16 @@ def test_lm_weights_depend_on_rows_alone(spark, docs):
     assert pseudo_lm.shards(vocab.n_words, shard_words=5000) > 2 and np.abs(one - two).max() < 1e-5
 
 
+def test_lm_words_are_split_alike():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", " A\tb\n\x0b\x0cc\r", "é\u00a0É x\x1cy", "ÀB  c "]
+    flat, counts = pseudo_lm.split_words(pa.array(texts))
+    want = [pseudo_lm.words(t) for t in texts]
+    assert counts.tolist() == list(map(len, want)) and flat.to_pylist() == [w for ws in want for w in ws]
+    assert pseudo_lm.split_words(pa.array([], pa.string()))[1].tolist() == []
+
+
 def test_lm_probabilities_sum_to_one():
     g = np.random.default_rng(5)
     for classes in (10, 512, 517):
@@ -833,3 +843,48 @@ def test_jaccard_repeats_and_groups(spark):
         want = brute_components([x for x in rows if x[0] is not None], 5, 80)
         assert got == sorted((-1, len(brute_sets(t, 5)), -1) if i is None else (i, *want[i]) for i, t in rows)
     assert {x.doc_id for x in jaccard.one_of_each(d, 5, 80).collect()} == {None} | {i for i, (_, c) in want.items() if c == i}
+
+
+def test_repeated_rows_are_each_returned(spark, docs, rows):
+    """Equal rows, and a null id, in the operators that return a row for each row: repeats have equal results, and places of their own."""
+    again = [rows[4], rows[4], rows[16], (None, *rows[5][1:])]
+    d = docs.union(spark.createDataFrame(again, DOCS)).repartition(4)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0)) for r in rows if r[0] % 2], "doc_id long, quality int")
+    n = len(rows) + len(again)
+    shards = sharding.sharded(d, 5, 64).collect()
+    assert len(shards) == n and len({(r.shard, r.slot) for r in shards}) == n
+    tokens = tokencount.count_tokens(d, tokenizer_path("piece_bpe_32k.model"), 100).collect()
+    rated = quality_rules.rated(d).collect()
+    scored = classifier.scored(d, labels).collect()
+    vocab = pseudo_lm.vocabulary(pseudo_lm.word_counts(d))
+    lm = pseudo_lm.scores(d, vocab, pseudo_lm.Network(classes=vocab.n_classes)).collect()
+    for got in (tokens, rated, scored, lm):
+        assert len(got) == n and sum(r.doc_id is None for r in got) == 1
+        assert len([r for r in got if r.doc_id == rows[4][0]]) == 3 and len({tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in got if r.doc_id == rows[4][0]}) == 1
+    packed = packing.packed(d.coalesce(1), tokenizer_path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in packed if r.doc_id == rows[4][0]) == 3 * next(r.doc_tokens for r in packed if r.doc_id == rows[4][0])
+    assert sum(r.length for r in packed if r.doc_id is None) == next(r.doc_tokens for r in packed if r.doc_id is None)
+
+
+def test_isotonic_against_every_other_rising_line():
+    """Pooled means are the rising values of least squares: no other rising choice of a small grid comes nearer."""
+    import itertools
+
+    g = np.random.default_rng(8)
+    for _ in range(20):
+        t = g.integers(1, 5, 5).astype(float)
+        p = np.array([g.integers(0, k + 1) for k in t.astype(int)], float)
+        pools: list[list[float]] = []
+        for a, b in zip(p, t, strict=True):
+            pools.append([a, b, 1])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+        fit = np.concatenate([np.full(int(k), a / b) for a, b, k in pools])
+        loss = lambda y: float((t * (p / t - np.array(y)) ** 2).sum())  # noqa: B023, E731
+        grid = sorted({*(p / t), *fit})
+        assert loss(fit) <= min(loss(y) for y in itertools.combinations_with_replacement(grid, 5)) + 1e-12
+        x, y = classifier.isotonic(np.arange(5.0), p, t)
+        inner = y[1:-1]
+        prior = (p.sum() + 1) / (t.sum() + 2)
+        assert len(inner) == len(pools) and np.allclose(inner, np.maximum.accumulate([(a + prior) / (b + 1) for a, b, _ in pools]))
