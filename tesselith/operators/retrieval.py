@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,85 +48,88 @@ def ranked(rows: DataFrame, by: str | list[str], order: list[Column], k: int | N
     return d.where(F.col(name) <= k) if k else d
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, scoped: bool = False, digits: int = 6, block: int = 4096) -> DataFrame:
+#: Vectors and queries that meet in one task, at most; vectors at least, where there are cores for more tasks.
+TILE, TILE_LEAST = 65_536, 1024
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, each, schema: str, tile: int = TILE) -> DataFrame:
+    """each(queries, vectors) of every tile of queries with every tile of vectors, as pandas frames without null embeddings.
+
+    vectors: (vec_id, embedding, …); queries: (query_id, embedding, …). Both sides are dealt by hash, each copied as often as the other has tiles: nothing passes the driver.
+    """
+    # columns of their own: both may come from one table
+    v, q = vectors.where("embedding is not null"), queries.toDF(*queries.columns).where("embedding is not null")
+    n = v.count()
+    nv = max(1, math.ceil(n / tile), min(v.sparkSession.sparkContext.defaultParallelism, n // TILE_LEAST))
+    nq = max(1, math.ceil(q.count() / tile))
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    v = v.withColumn("__v", own("vec_id", nv)).withColumn("__q", every(nq))
+    q = q.withColumn("__q", own("query_id", nq)).withColumn("__v", every(nv))
+    return q.groupBy("__v", "__q").cogroup(v.groupBy("__v", "__q")).applyInPandas(lambda x, y: each(x, y), schema)
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows.embedding.to_numpy()).astype(np.float64)
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, scoped: bool = False, digits: int = 6, tile: int = TILE) -> DataFrame:
     """(query_id, vec_id, dense_score, rank): exact inner products of every query with every vector but itself.
 
-    vectors: (vec_id, embedding[, scope]); queries: (query_id, embedding[, scope]). Queries go out in blocks of `block`;
-    for each, tasks multiply in double precision and keep their own best k, so only those are shuffled. Without k all are ranked.
+    vectors: (vec_id, embedding[, scope]); queries: (query_id, embedding[, scope]). Tiles of both meet in tasks, which multiply in
+    double precision and keep their own best k, so only those are shuffled on. Without k all are ranked.
     """
-    spark = vectors.sparkSession
     cols = ["scope"] if scoped else []
-    n = max(1, math.ceil(queries.count() / block))
-    parts = []
-    for b in range(n):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding", *cols).collect()
-        if not own:
-            continue
-        ids = np.array([r["query_id"] for r in own])
-        held = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in own], np.float64), np.array([r["scope"] for r in own]) if scoped else None))
-
-        def best(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q, qv, qs = held.value
-            for f in frames:
-                f = f[f.embedding.notna()]
-                if not len(f):
-                    continue
-                x, v = np.stack(f.embedding.to_numpy()).astype(np.float64), f.vec_id.to_numpy()
-                for lo in range(0, len(q), 256):
-                    s = np.round(qv[lo : lo + 256] @ x.T, digits)
-                    s[q[lo : lo + 256, None] == v[None, :]] = -np.inf
-                    if qs is not None:
-                        s[qs[lo : lo + 256, None] != f.scope.to_numpy()[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
-                    top = np.take_along_axis(s, order, 1)
-                    out = pd.DataFrame({"query_id": np.repeat(q[lo : lo + 256], order.shape[1]), "vec_id": v[order].ravel(), "dense_score": top.ravel()})
-                    yield out[np.isfinite(out.dense_score)]
-
-        parts.append(vectors.select("vec_id", "embedding", *cols).mapInPandas(best, "query_id long, vec_id long, dense_score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, vec_id long, dense_score double, rank int")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            x, ids, names = _matrix(v), v.vec_id.to_numpy(), q.query_id.to_numpy()
+            for lo in range(0, len(q), 256):
+                some = q.iloc[lo : lo + 256]
+                s = np.round(_matrix(some) @ x.T, digits)
+                s[names[lo : lo + 256, None] == ids[None, :]] = -np.inf
+                if scoped:
+                    s[some.scope.to_numpy()[:, None] != v.scope.to_numpy()[None, :]] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k, None] if k and k < s.shape[1] else -np.inf
+                i, j = np.nonzero((s >= least) & np.isfinite(s))
+                order = np.lexsort((ids[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                if k:
+                    i, j = i[place < k], j[place < k]
+                out.append(pd.DataFrame({"query_id": names[lo + i], "vec_id": ids[j], "dense_score": s[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "dense_score": []})
+
+    rows = _tiled(vectors.select("vec_id", "embedding", *cols), queries.select("query_id", "embedding", *cols), best, "query_id long, vec_id long, dense_score double", tile)
     return ranked(rows, "query_id", [F.desc("dense_score"), F.asc("vec_id")], k)
 
 
-def dense_by_source(vectors: DataFrame, queries: DataFrame, digits: int = 6, block: int = 4096) -> DataFrame:
+def dense_by_source(vectors: DataFrame, queries: DataFrame, digits: int = 6, tile: int = TILE) -> DataFrame:
     """(query_id, source_id, vector_type, score): of every query and source, the best two vectors and the identity vectors.
 
     vectors: (vec_id, embedding, source_id, vector_type); queries: (query_id, embedding). All vectors are scored but the query's own;
-    tasks keep the best two of each batch, so a pair may have more rows than the best two of all.
+    tasks keep the best two of each tile, so a pair may have more rows than the best two of all.
     """
-    spark = vectors.sparkSession
-    n = max(1, math.ceil(queries.count() / block))
-    rows = spark.createDataFrame([], "query_id long, source_id long, vector_type string, score double")
-    for b in range(n):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "embedding").collect()
-        if not own:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own]), np.array([r["embedding"] for r in own], np.float64)))
-
-        def best(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q, qv = held.value
-            for f in frames:
-                f = f[f.embedding.notna()].sort_values(["source_id", "vec_id"])
-                if not len(f):
-                    continue
-                x, v, kind = np.stack(f.embedding.to_numpy()).astype(np.float64), f.vec_id.to_numpy(), f.vector_type.to_numpy()
-                of, sources = pd.factorize(f.source_id, use_na_sentinel=False)
-                ends = np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)]
-                for lo in range(0, len(q), 256):
-                    s = np.round(qv[lo : lo + 256] @ x.T, digits)
-                    s[q[lo : lo + 256, None] == v[None, :]] = -np.inf
-                    keep = np.broadcast_to(kind == "identity", s.shape).copy()
-                    for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
-                        np.put_along_axis(keep[:, start:end], np.argsort(-s[:, start:end], axis=1, kind="stable")[:, :2], True, 1)
-                    i, j = np.nonzero(keep & np.isfinite(s))
-                    yield pd.DataFrame({"query_id": q[lo + i], "source_id": np.asarray(sources)[of[j]], "vector_type": kind[j], "score": s[i, j]})
-
-        part = vectors.select("vec_id", "embedding", "source_id", "vector_type").mapInPandas(best, rows.schema)
-        rows = rows.unionByName(part)
-    return rows
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            v = v.sort_values(["source_id", "vec_id"])
+            x, ids, kind, names = _matrix(v), v.vec_id.to_numpy(), v.vector_type.to_numpy(), q.query_id.to_numpy()
+            of, sources = pd.factorize(v.source_id, use_na_sentinel=False)
+            ends = np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)]
+            for lo in range(0, len(q), 256):
+                s = np.round(_matrix(q.iloc[lo : lo + 256]) @ x.T, digits)
+                s[names[lo : lo + 256, None] == ids[None, :]] = -np.inf
+                keep = np.broadcast_to(kind == "identity", s.shape).copy()
+                for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+                    np.put_along_axis(keep[:, start:end], np.argsort(-s[:, start:end], axis=1, kind="stable")[:, :2], True, 1)
+                i, j = np.nonzero(keep & np.isfinite(s))
+                out.append(pd.DataFrame({"query_id": names[lo + i], "source_id": np.asarray(sources)[of[j]], "vector_type": kind[j], "score": s[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "source_id": [], "vector_type": [], "score": []})
+
+    return _tiled(vectors.select("vec_id", "embedding", "source_id", "vector_type"), queries.select("query_id", "embedding"), best, "query_id long, source_id long, vector_type string, score double", tile)
 
 
 def normalised(rows: DataFrame, score: str, by: str = "query_id") -> Column:

@@ -109,7 +109,7 @@ def normalised_cards(raw: DataFrame, fallback: DataFrame, count: int) -> DataFra
     out = d.select(
         "doc_id", "card", F.when(kind.isin(*CARD_TYPES), kind).otherwise(F.col("f_card_type")).alias("card_type"), T.clipped(F.coalesce(blank("question"), "f_question"), QUESTION_CHARS).alias("question"),
         T.clipped(F.coalesce(blank("answer"), "f_answer"), ANSWER_CHARS).alias("answer"), F.when(F.col("its_cue").isNotNull(), F.col("wanted")).otherwise(F.col("f_evidence_id")).alias("evidence_id"),
-        T.clipped(F.coalesce(blank("source_cue"), "its_cue", "f_source_cue"), CUE_CHARS).alias("source_cue"),
+        F.when(blank("source_cue").isNotNull(), T.clipped(F.col("source_cue"), CUE_CHARS)).otherwise(F.coalesce("its_cue", "f_source_cue")).alias("source_cue"),
     )
     instead = fallback.join(size.where("few").select("doc_id"), "doc_id", "left_semi").where(F.col("card") <= count)
     return out.unionByName(instead.select(*out.columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tesselith.functions import vocab as V
-from tesselith.plans.oracles import CAND, CLEAN, DENSE, GOLD, LEX, LINES, RRF, TIME, _words, both, scores
+from tesselith.plans.oracles import CAND, CLEAN, DENSE, GOLD, LEX, LINES, RRF, TIME, _words, both, lexical, scores
 
 EVEN = "CASE WHEN n <= {k} THEN range(n) ELSE list_distinct(list_transform(range({k}), lambda i: round_even(i * (n - 1) / {k1}.0::DOUBLE, 0)::BIGINT)) END"
 MS = "printf('%d:%02d', ({s}) // 60, ({s}) % 60)"
@@ -31,6 +31,9 @@ r0 AS (SELECT i, CASE WHEN i % 4 > 0 THEN 'r' || i END AS rid, [' What  is it ',
 r1 AS (SELECT coalesce(rid, 's' || i) AS review_item_id, coalesce(nullif(trim(regexp_replace(q, '\\s+', ' ', 'g')), ''), rq) AS query, coalesce(src, 'src2') AS source,
   CASE WHEN lower(coalesce(lab, fin)) IN ('relevant', 'not_relevant', 'unclear') THEN lower(coalesce(lab, fin)) END AS recommended_label, lower(fin) AS final_label, CASE WHEN lower(cf) IN ('low', 'medium', 'high') THEN lower(cf) ELSE 'low' END AS confidence, i % 2 = 0 AS approved FROM r0),
 rec AS (SELECT * FROM r1 WHERE recommended_label IS NOT NULL AND query IS NOT NULL)"""
+KANA = """lower({clean}) AS low""".format(clean=CLEAN.format(c="CASE WHEN {i} % 2 = 0 THEN translate(text, 'aeiou', 'あえいおう') ELSE text END"))
+MIXED = """CASE WHEN regexp_matches(low, '[{jp}]') THEN list_concat(CASE WHEN replace(low, ' ', '') = '' THEN [] ELSE list_transform(range(1, greatest(length(replace(low, ' ', '')), 2)), lambda i: substr(replace(low, ' ', ''), i, 2)) END,
+  list_filter(string_split(low, ' '), lambda z: z <> '')) ELSE regexp_extract_all(low, '[a-z0-9_]+') END""".format(jp=V.JAPANESE)
 END = "[.!?。！？]\\s*$"
 VER = "[NULL, 'v1', 'v2'][doc_id % 3 + 1]"
 BASE_ABL = f"{LEX}, {DENSE}, {both()}, {RRF}, {GOLD}, l10 AS (SELECT * FROM lex WHERE rank <= 10), r10 AS (SELECT * FROM rrf WHERE rank <= 10), {scores('l10', 'sl')}, {scores('r10', 'sr')}"
@@ -109,6 +112,8 @@ SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
     "merged_languages": f"""WITH {LEX}, {DENSE}, u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM den WHERE rank <= 10), g AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g) WHERE rank <= 10""",
     "context_blocks": f"WITH {LEX} SELECT query_id, string_agg('【Document ' || doc_id || '】(' || {MS.format(s='n_chars')} || '-' || {MS.format(s='(n_chars + 30)')} || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM lex JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1",
+    "lexical_multilingual": f"""WITH t0 AS (SELECT doc_id, {KANA.format(i='doc_id')} FROM documents), tokm AS (SELECT doc_id, {MIXED} AS tokens FROM t0), q0 AS (SELECT item_id, {KANA.format(i='item_id')} FROM benchmark), q1 AS (SELECT item_id AS query_id, {MIXED} AS terms FROM q0),
+qu AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM q1) GROUP BY 1, 2), {lexical("tokm")} SELECT query_id, doc_id, lexical_score, rank FROM lex WHERE rank <= 10""",
     "review_batch": f"""WITH {LEX}, r AS (SELECT array_to_string(terms, ' ') AS query, source, doc_id, n_chars / 4.0::DOUBLE AS s, greatest(n_chars / 4.0::DOUBLE, n_chars / 5.0::DOUBLE) AS e, rank, lexical_score FROM lex JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 10 AND doc_id % 9 > 0 AND source IS NOT NULL),
 k AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN source || ':' || doc_id ELSE source || ':' || floor(s * 1000)::BIGINT || ':' || floor(e * 1000)::BIGINT END AS feedback_key FROM r)
 SELECT substr(sha1(query), 1, 10) || ':' || feedback_key AS review_item_id, feedback_key, query, {CLOCK.format(s="floor(s)::BIGINT")} AS timestamp_label, rank, lexical_score AS score FROM k""",

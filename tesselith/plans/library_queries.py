@@ -336,6 +336,18 @@ def ask_records(s, d):
     return review.ask_records(c)
 
 
+# search in several scripts
+
+
+@query
+def lexical_multilingual(s, d):
+    """BM25 over tokens of both kinds: half of the documents and items are put into kana, whose tokens are bigrams and the parts between spaces."""
+    put = lambda i: F.when(F.col(i) % 2 == 0, F.translate("text", "aeiou", "あえいおう")).otherwise(F.col("text"))
+    docs = table(s, d, "documents").select("doc_id", T.lexical_tokens(put("doc_id")).alias("tokens"))
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), T.lexical_tokens(put("item_id")).alias("terms"))
+    return retrieval.bm25(docs, q, 10).select("query_id", "doc_id", "lexical_score", "rank")
+
+
 # compositions
 
 

@@ -403,8 +403,8 @@ def thresholds(s, d):
 @query
 def latency_percentiles(s, d):
     e = table(s, d, "events")
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return e.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return metrics.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}).join(mean, "event_type")
 
 
 @query
