@@ -35,6 +35,8 @@ PAD = CLASSES
 SIDE, EMBED, HIDDEN = 2, 16, 32
 #: ROUNDS of averaging, each over its part of the texts; words of a shard, about; windows of a step.
 ROUNDS, SHARD_WORDS, BATCH, RATE, SEED = 2, 3_000_000, 4096, 0.02, 11
+#: Digits after the point of a text's log-probability: what the order of a double sum leaves equal.
+DIGITS = 6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -204,11 +206,13 @@ class Network:
     def log_probs(self, ctx: np.ndarray, target: np.ndarray, step: int = 8192) -> np.ndarray:
         """log p(class | both sides) of each target. ctx: (n, 2 * SIDE) classes, PAD outside the text.
 
-        Position-wise tables stand for embedding and first layer; targets of one group are taken together.
+        Position-wise tables stand for embedding and first layer; targets of one group are taken together. In double precision: products of
+        matrices of other shapes round in other places, and a window's value must not depend on the windows beside it.
         """
         if self.tables is None:
-            self.tables, self.safe = np.matmul(self.e, self.w) + self.b / (2 * SIDE), self._bounded()
-        out = np.empty(len(target), np.float32)
+            e, w, b, u, a, v, c = (x.astype(np.float64) for x in (self.e, self.w, self.b, self.u, self.a, self.v, self.c))
+            self.tables, self.safe, self.double = np.matmul(e, w) + b / (2 * SIDE), self._bounded(), (u, a, v, c)
+        out, (u, a, v, c) = np.empty(len(target)), self.double
         for lo in range(0, len(target), step):
             x, t = ctx[lo : lo + step], target[lo : lo + step]
             group = (t // self.size).astype(np.int16)
@@ -218,10 +222,10 @@ class Network:
             for p in range(1, 2 * SIDE):
                 h += self.tables[p].take(x[:, p], 0)
             np.tanh(h, out=h)
-            z = h @ self.u + self.a
+            z = h @ u + a
             each = z[np.arange(len(t)), group] - _log_sum(z, self.safe)
             for g, first, last, m in self._slices(group):
-                z = h[first:last] @ self.v[g, :, :m] + self.c[g, :m]
+                z = h[first:last] @ v[g, :, :m] + c[g, :m]
                 each[first:last] += z[np.arange(last - first), t[first:last] - g * self.size] - _log_sum(z, self.safe)
             out[lo + order] = each
         return out
@@ -406,7 +410,7 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_
                     padded = np.full(len(own_codes) + SIDE * (len(k) + 1), v.n_classes, v.class_of.dtype)
                     padded[at] = own = v.classes(own_codes)
                     ctx = np.stack([padded.take(at + i) for i in [*range(-SIDE, 0), *range(1, SIDE + 1)]], 1)
-                    each = (model.log_probs(ctx, own) + v.shares(own_codes)).astype(np.float64)
+                    each = model.log_probs(ctx, own) + v.shares(own_codes)
                     some = np.flatnonzero(k)
                     sums[first + some] = np.add.reduceat(each, (starts[first : first + len(k)] - starts[first])[some])
                 if v.complete:
@@ -424,6 +428,7 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_
         each = d.selectExpr("row", "explode(words) as word").join(counts.where("n > 1"), "word")
         more = each.groupBy("row").agg(F.sum(F.log(F.col("n").cast("double"))).alias("more"))
         d = d.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    d = d.withColumn("log_prob", F.round("log_prob", DIGITS))
     return d.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
