@@ -13,7 +13,7 @@ from tesselith.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tesselith.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 COLUMNS = {
     "op1_mixing": "doc_id bigint, source string, size bigint, block bigint, release_slot bigint, deadline_slot bigint, slot bigint, block_offset bigint",
     "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_lm_scoring": "doc_id bigint, n_words bigint, log_prob double, mean_log_prob double",
+    "op11_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op12_centroid_clusters": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -36,8 +39,8 @@ def test_columns_and_sql(spark, name):
         c, t = column.split()
         assert types[c] == t
     rows = [tuple(r) for r in got.collect()]
-    first = {"op4_embedding_dedup": "embeddings", "op5_warc": "pages"}.get(name, "documents")
-    if name != "op8_packing":
+    first = {"op4_embedding_dedup": "embeddings", "op12_centroid_clusters": "embeddings", "op5_warc": "pages"}.get(name, "documents")
+    if name not in ("op8_packing", "op13_lexical_search"):
         assert len(rows) == table(spark, SF, first).count()
     if name in ORACLES:
         con = duckdb.connect()
