@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tesselith.llm.common import drop_written, written
 
 #: Words of a block, about; one text is never cut.
-BLOCK_TERMS = 1 << 19
+BLOCK_TERMS = 1 << 17
 #: Of a term's n postings in a block, tiers end at max(least, n / part).
 TIERS = ((8, 16), (32, 4))
 #: Terms of all items that are searched for at once, about.
