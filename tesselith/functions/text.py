@@ -46,19 +46,30 @@ def latin_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
+def running_totals(a: Column, chunk: int = 512) -> Column:
+    """Of an array of longs, the sum before each element. In chunks: appending to one long array would copy it again and again."""
+    zero = F.array(F.lit(0).cast("long"))
+    fold = lambda xs, by: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + by(x))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda i: fold(F.slice(a, i * chunk + 1, F.lit(chunk)), lambda x: x))
+    whole = lambda ps: F.flatten(F.zip_with(ps, F.slice(fold(ps, lambda p: F.element_at(p, -1)), 1, F.size(ps)), lambda p, base: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + base)))
+    return F.when(F.size(a) > 0, let(parts, whole)).otherwise(F.array().cast("array<bigint>"))
+
+
 def bigrams(c: Column) -> Column:
-    """Pairs of neighbouring characters; a single character is itself."""
-    n = F.length(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(pairs)
+    """Pairs of neighbouring characters; a single character is itself. The text is split once: linear in its length."""
+    pairs = lambda x: F.when(F.size(x) < 2, F.filter(x, lambda y: y != "")).otherwise(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.concat(a, b)))
+    return let(F.split(c, ""), pairs)
 
 
 def lexical_tokens(text: Column, language: Column | None = None) -> Column:
     """Tokens for lexical search: with Japanese, bigrams without spaces and then the parts between spaces; else latin_tokens."""
-    low = F.lower(clean(text))
-    japanese = has_japanese(low) if language is None else (F.coalesce(language, F.lit("")) == "ja") | has_japanese(low)
-    parts = F.filter(F.split(low, " "), lambda x: x != "")
-    return F.when(japanese, F.concat(bigrams(F.replace(low, F.lit(" "), F.lit(""))), parts)).otherwise(latin_tokens(low))
+
+    def of(low: Column) -> Column:
+        japanese = has_japanese(low) if language is None else (F.coalesce(language, F.lit("")) == "ja") | has_japanese(low)
+        parts = F.filter(F.split(low, " "), lambda x: x != "")
+        return F.when(japanese, F.concat(bigrams(F.replace(low, F.lit(" "), F.lit(""))), parts)).otherwise(latin_tokens(low))
+
+    return let(F.lower(clean(text)), of)
 
 
 def routing_tokens(text: Column) -> Column:

@@ -79,11 +79,10 @@ def by_tokens(lines: DataFrame, token_count: int = 256, overlap_fraction: float
     step = max(1, token_count - max(0, int(token_count * overlap_fraction)))
     counted = F.transform("lines", lambda x: F.struct(F.size(T.latin_tokens(x["text"])).cast("long").alias("n"), x.alias("x")))
     d = lines.select("doc_id", counted.alias("c"))
-    spans = F.expr("""aggregate(c, named_struct('at', 0L, 'out', cast(array() as array<struct<lo:bigint,hi:bigint>>)),
-        (a, x) -> named_struct('at', a.at + x.n, 'out', array_append(a.out, named_struct('lo', a.at, 'hi', a.at + x.n))), a -> a)""")
-    d = d.withColumn("s", spans).withColumn("total", F.col("s.at")).where("total > 0")
+    spans = F.zip_with("c", T.running_totals(F.transform("c", lambda x: x["n"])), lambda x, at: F.struct(at.alias("lo"), (at + x["n"]).alias("hi")))
+    d = d.withColumn("o", spans).withColumn("total", F.expr("coalesce(get(o, size(o) - 1).hi, 0L)")).where("total > 0")
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - token_count) / float(step))).cast("long")
-    d = d.select("doc_id", "c", F.col("s.out").alias("o"), "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    d = d.select("doc_id", "c", "o", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
     d = d.withColumn("pos", F.col("i") * step).withColumn("stop", F.least(F.col("pos") + token_count, F.col("total")))
     d = d.withColumn("first", F.expr("size(filter(o, x -> x.hi <= pos))")).withColumn("after", F.expr("size(filter(o, x -> x.lo < stop))"))
     part = F.expr("slice(c, int(first) + 1, int(after) - int(first))")
@@ -114,10 +113,19 @@ def stats(chunks: DataFrame, by: list[str]) -> DataFrame:
 
 def budget_windows(lines: DataFrame, max_chars: int = 7000, each: int = 48) -> DataFrame:
     """(doc_id, window, first_ord, n_lines, chars): lines in turn until a window would exceed max_chars, each line with an allowance."""
-    fold = F.expr(f"""aggregate(lines, named_struct('w', 0L, 'used', 0L, 'out', cast(array() as array<bigint>)), (a, x) ->
-        named_struct('w', if(a.used > 0 and a.used + length(x.text) + {each} > {max_chars}, a.w + 1, a.w),
-                     'used', if(a.used > 0 and a.used + length(x.text) + {each} > {max_chars}, 0, a.used) + length(x.text) + {each},
-                     'out', array_append(a.out, if(a.used > 0 and a.used + length(x.text) + {each} > {max_chars}, a.w + 1, a.w))), a -> a.out)""")
-    d = lines.select("doc_id", "lines", fold.alias("w")).select("doc_id", F.posexplode(F.arrays_zip("lines", "w")).alias("ord", "z"))
-    d = d.select("doc_id", F.col("z.w").alias("window"), "ord", F.length("z.lines.text").alias("n"))
-    return d.groupBy("doc_id", "window").agg(F.min("ord").cast("long").alias("first_ord"), F.count(F.lit(1)).alias("n_lines"), F.sum("n").cast("long").alias("chars"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, sizes in zip(f.doc_id, f.sizes, strict=True):
+                first = used = window = 0
+                for i, n in enumerate(sizes):
+                    if used > 0 and used + n + each > max_chars:
+                        out.append((doc, window, first, i - first, used - each * (i - first)))
+                        first, used, window = i, 0, window + 1
+                    used += int(n) + each
+                if len(sizes):
+                    out.append((doc, window, first, len(sizes) - first, used - each * (len(sizes) - first)))
+            yield pd.DataFrame(out, columns=["doc_id", "window", "first_ord", "n_lines", "chars"])
+
+    return lines.select("doc_id", F.transform("lines", lambda x: F.length(x["text"]).cast("long")).alias("sizes")).mapInPandas(run, "doc_id long, window long, first_ord long, n_lines long, chars long")

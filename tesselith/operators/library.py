@@ -123,7 +123,7 @@ def run_id(at: Column, key: Column) -> Column:
 
 
 def merged_logs(logs: list[DataFrame], limit: int = 200, level: str | None = None, since: str | None = None) -> DataFrame:
-    """Log lines of several files, newest first, at most `limit`, held to 1..5000: a page, which is the feature."""
+    """Log lines of several files, newest first, at most `limit`, held to 1..5000: a page, which is the feature. Lines of one time follow each other by their content."""
     rows = logs[0]
     for other in logs[1:]:
         rows = rows.unionByName(other, allowMissingColumns=True)
@@ -131,7 +131,7 @@ def merged_logs(logs: list[DataFrame], limit: int = 200, level: str | None = Non
         rows = rows.where(F.lower("level") == level.strip().lower())
     if since:
         rows = rows.where(F.col("ts") >= since)
-    return rows.orderBy(F.desc("ts")).limit(max(1, min(int(limit), 5000)))
+    return rows.orderBy(F.desc("ts"), *[F.asc(c) for c in sorted(rows.columns)]).limit(max(1, min(int(limit), 5000)))
 
 
 def index_vectors(chunks: DataFrame, path: str, embed, dimension: int) -> DataFrame:

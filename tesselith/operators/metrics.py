@@ -94,7 +94,7 @@ def with_quality(runs: DataFrame, digits: int = 6) -> DataFrame:
     return d.withColumn("selected", F.coalesce(best["run"] == F.col("run"), F.lit(False)))
 
 
-def threshold_checks(base: DataFrame, candidates: DataFrame, targets: dict[str, tuple[float, float]], n_queries: int, min_relative: int = 20, latency_rise: float = 0.20, allowed_failed: int = 0, digits: int = 6) -> DataFrame:
+def threshold_checks(base: DataFrame, candidates: DataFrame, targets: dict[str, tuple[float, float]], n_queries: int | Column, min_relative: int = 20, latency_rise: float = 0.20, allowed_failed: int = 0, digits: int = 6) -> DataFrame:
     """(run, metric, baseline, candidate, passed): targets are metric -> (absolute, relative); few queries check the absolute only.
 
     base: one run; candidates: runs. A rise over a baseline of 0 is infinite.
@@ -105,7 +105,7 @@ def threshold_checks(base: DataFrame, candidates: DataFrame, targets: dict[str,
     for m, (absolute, relative) in targets.items():
         c, o = F.col(m), F.col(f"b_{m}")
         rise = F.when(o == 0, F.when(c > 0, float("inf")).otherwise(0.0)).otherwise((c - o) / F.abs(o))
-        ok = c >= absolute if n_queries < min_relative else (c >= absolute) | (rise >= relative)
+        ok = (c >= absolute) | ((F.lit(n_queries) >= min_relative) & (rise >= relative))
         rows.append(F.struct(F.lit(m).alias("metric"), o.alias("baseline"), c.alias("candidate"), ok.alias("passed")))
     p95 = F.col("p95_latency_ms")
     rows.append(F.struct(F.lit("p95_latency_ms").alias("metric"), F.col("b_p95").alias("baseline"), p95.alias("candidate"), ((F.col("b_p95") <= 0) | (p95 <= F.col("b_p95") * (1 + latency_rise))).alias("passed")))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.functions import vocab as V
+from tesselith.sources.scratch import written
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -19,26 +23,62 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").cast("long").alias("cf"))
 
 
+#: Wanted terms that tasks hold, and rows of (query, term) that go to every task; with more, both sides are shuffled.
+HELD = 200_000
+
+
+def counted_terms(tokens: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(scope, doc_id, len, terms, tfs) over (scope, doc_id, tokens): each row's distinct terms, of those wanted, and their numbers. Counted within the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else pa.array(wanted, pa.string())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                lists = part.column(2)
+                flat, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                if known is None:
+                    coded = flat.dictionary_encode()
+                    names, code = coded.dictionary, coded.indices.to_numpy()
+                else:
+                    at = pc.index_in(flat, value_set=known)
+                    some = pc.is_valid(at)
+                    names, code, row = known, at.filter(some).to_numpy(), row[some.to_numpy(zero_copy_only=False)]
+                key, tf = np.unique(row.astype(np.int64) * max(1, len(names)) + code, return_counts=True)
+                row, code = np.divmod(key, max(1, len(names)))
+                ends = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+                lists_of = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(code)), pa.array(tf, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), *lists_of], ["scope", "doc_id", "len", "terms", "tfs"])
+
+    kinds = dict(tokens.dtypes)
+    return tokens.select("scope", "doc_id", "tokens").mapInArrow(run, f"scope {kinds['scope']}, doc_id {kinds['doc_id']}, len int, terms array<string>, tfs array<int>")
+
+
 def bm25(tokens: DataFrame, queries: DataFrame, k: int | None, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, lexical_score, rank) of queries (query_id, terms[, scope]) over (doc_id, tokens[, scope]).
 
-    With a scope column on both sides, statistics and results are of the query's scope. Only postings of query terms are
-    grouped. A term repeated in the query weighs a fifth more each time. Ties go to the smaller doc_id; k bounds the ranks.
+    With a scope column on both sides, statistics and results are of the query's scope. Texts are read once: their wanted terms are counted
+    within the row and written, a row a document. A term repeated in the query weighs a fifth more each time. Ties go to the smaller doc_id; k bounds the ranks.
     """
     if "scope" not in tokens.columns:
         tokens, queries = tokens.withColumn("scope", F.lit(0)), queries.withColumn("scope", F.lit(0))
-    stats = tokens.groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens").cast("double")).alias("avg_len"))
     q = queries.select("scope", "query_id", F.explode("terms").alias("term")).groupBy("scope", "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = q.select("scope", "term").distinct()
-    post = tokens.select("scope", "doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, ["scope", "term"], "left_semi")
-    post = post.groupBy("scope", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = post.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    q = written(q, "bm25-queries")
+    n = q.count()
+    few = n <= HELD
+    wanted = [r["term"] for r in q.select("term").distinct().collect()] if few else None  # HELD terms at most
+    rows = written(counted_terms(tokens, wanted), "bm25-terms")
+    stats = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.col("len").cast("double")).alias("avg_len"))
+    df = rows.select("scope", F.explode("terms").alias("term")).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     terms = q.join(df, ["scope", "term"]).join(stats, "scope")
     idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("scope", "term", "query_id", (idf * (1.0 + V.QUERY_REPEAT * (F.col("qtf") - 1))).alias("w"), "avg_len")
-    tf = F.col("tf").cast("double")
+    post = rows.select("scope", "doc_id", "len", F.inline(F.arrays_zip("terms", "tfs"))).withColumnRenamed("terms", "term")
+    tf = F.col("tfs").cast("double")
     part = F.col("w") * (tf * (V.K1 + 1.0)) / (tf + V.K1 * (1.0 - V.B + V.B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9))))
-    scored = post.join(terms, ["scope", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("lexical_score")).where("lexical_score > 0")
+    both = post.join(F.broadcast(terms) if few else terms, ["scope", "term"])
+    scored = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("lexical_score")).where("lexical_score > 0")
     return ranked(scored, "query_id", [F.desc("lexical_score"), F.asc("doc_id")], k)
 
 

@@ -75,7 +75,7 @@ SELECT doc_id, section, CASE WHEN greatest(a, b, c) = 0 THEN 'estimated' WHEN a
     "library_list": f"""WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1), h AS (SELECT user_id AS doc_id, count(*) AS c, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS l FROM events GROUP BY 1)
 SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN 'Document ' ELSE 'Video ' END || doc_id AS title, coalesce(lang, 'ja') AS language, coalesce(n, 0) AS num_chunks, coalesce({VER}, 'unknown') AS chunking_version, coalesce({VER}, 'unknown') <> 'v2' AS chunking_stale, coalesce(c, 0) AS ask_history_count, l AS last_ask_at
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)""",
-    "ingest_actions": f"""WITH t AS (SELECT DISTINCT user_id AS doc_id FROM events), s AS (SELECT doc_id, coalesce({VER}, 'unknown') AS v FROM documents WHERE doc_id % 4 <> 0)
+    "ingest_actions": f"""WITH t AS (SELECT DISTINCT user_id AS doc_id FROM events), s AS (SELECT doc_id, coalesce({VER}, 'unknown') AS v FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT doc_id, CASE WHEN v IS NULL THEN 'created' WHEN v <> 'v2' THEN 'reingest_stale' ELSE 'already_indexed' END AS action FROM t LEFT JOIN s USING (doc_id)""",
     "caption_tracks": """WITH t AS (SELECT conv_id AS doc_id, turn AS ord, ['fr', 'ja-JP', 'en-GB', 'de', 'en'][(conv_id + turn * 2) % 5 + 1] AS code FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE code WHEN 'ja' THEN 0 WHEN 'en' THEN 1 ELSE CASE WHEN starts_with(code, 'ja') THEN 10 WHEN starts_with(code, 'en') THEN 11 ELSE 20 END END, ord) AS p FROM t) SELECT doc_id, ord, code FROM r WHERE p = 1""",
@@ -90,8 +90,8 @@ SELECT doc_id, frame, doc_id || ':' || frame || ':ocr' AS id, string_agg(t, chr(
     "query_texts": f"""SELECT item_id, 'query: ' || {T} || CASE WHEN item_id % 2 = 0 THEN chr(10) || array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({T}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda z: z <> '' AND NOT list_contains({_words(V.STOP_WORDS)}, z)), ' ') ELSE '' END AS query_text, text AS passage_text FROM benchmark""",
     "run_ids": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') || '_' || substr(sha256(event_id::VARCHAR), 1, 8) AS run_id FROM events",
     "finite_values": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id + 0.5::DOUBLE END AS value FROM events",
-    "merged_log_page": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM events WHERE event_type = 'click' ORDER BY ts DESC LIMIT 100",
-    "prediction_checks": """WITH p AS (SELECT event_id AS ord, CASE WHEN event_id % 11 = 0 THEN '' ELSE user_id::VARCHAR END AS query_id, event_id % 7 AS r, event_id % 5 AS l FROM events), k AS (SELECT DISTINCT user_id::VARCHAR AS query_id, true AS known FROM events WHERE user_id % 3 <> 0),
+    "merged_log_page": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM events WHERE event_type = 'click' ORDER BY events.ts DESC, event_id LIMIT 100",
+    "prediction_checks": """WITH p AS (SELECT event_id AS ord, CASE WHEN event_id % 11 = 0 THEN '' ELSE user_id::VARCHAR END AS query_id, event_id % 7 AS r, event_id % 5 AS l FROM events), k AS (SELECT DISTINCT user_id::VARCHAR AS query_id, true AS known FROM events WHERE event_type = 'click'),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS copy FROM p)
 SELECT ord, query_id, CASE WHEN query_id = '' THEN 'no_query_id' WHEN copy > 1 THEN 'duplicate_prediction' WHEN known IS NULL THEN 'unknown_query' WHEN r = 0 THEN 'ranked_missing' WHEN r = 1 THEN 'ranked_blank' WHEN r = 2 THEN 'ranked_repeats' WHEN l >= 2 THEN 'latency' ELSE 'valid' END AS status FROM c LEFT JOIN k USING (query_id)""",
     "chunk_recall": f"""WITH {LEX}, {GOLD}, r AS (SELECT DISTINCT query_id, doc_id // 10 AS d, doc_id % 10 AS c FROM lex WHERE rank <= 5), g AS (SELECT DISTINCT query_id, doc_id // 10 AS d, doc_id % 10 AS c FROM gold)
@@ -106,7 +106,7 @@ b4 AS (SELECT doc_id, c, unnest(CASE WHEN c >= n THEN range(n) ELSE list_distinc
 b5 AS (SELECT doc_id, c FROM b4 JOIN b1 USING (doc_id, p) GROUP BY 1, 2 HAVING sum(length(t)) <= 1500), b6 AS (SELECT doc_id, max(c) AS c FROM b5 GROUP BY 1)
 SELECT doc_id, ord AS chunk_index, t AS text FROM b1 LEFT JOIN b6 USING (doc_id) WHERE total <= 1500 OR (c IS NULL AND p = n // 2) OR (c IS NOT NULL AND EXISTS (SELECT 1 FROM b4 WHERE b4.doc_id = b1.doc_id AND b4.c = b6.c AND b4.p = b1.p))""",
     "fixture_dense": f"""WITH {LEX}, qd AS (SELECT query_id, list_distinct(terms) AS t FROM q), dd AS (SELECT doc_id, list_distinct(tokens) AS t FROM tok), qe AS (SELECT query_id, len(t) AS qn, unnest(t) AS w FROM qd), de AS (SELECT doc_id, len(t) AS dn, unnest(t) AS w FROM dd),
-n AS (SELECT query_id, doc_id, qn, dn, count(*) AS b FROM qe JOIN de USING (w) GROUP BY ALL), g AS (SELECT doc_id % 40 AS query_id, doc_id, 0.3::DOUBLE AS score FROM labels WHERE quality = 1),
+n AS (SELECT query_id, doc_id, qn, dn, count(*) AS b FROM qe JOIN de USING (w) GROUP BY ALL), g AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS query_id, doc_id, 0.3::DOUBLE AS score FROM labels WHERE quality = 1),
 s AS (SELECT query_id, doc_id, round(coalesce(score, 0.05::DOUBLE + 0.75::DOUBLE * (b::DOUBLE / (qn + dn - b))), 6) AS score FROM n LEFT JOIN g USING (query_id, doc_id))
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id % 7, doc_id DESC)::INT AS rank FROM s) WHERE rank <= 10""",
     "merged_languages": f"""WITH {LEX}, {DENSE}, u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM den WHERE rank <= 10), g AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesselith.functions import text as T
 from tesselith.operators import chunking, embedding, evaluation, library, metrics, retrieval, review, study, summaries
 from tesselith.plans import pipelines
-from tesselith.plans.queries import dense30, doc_tokens, lexical30, lexical_scores, lines
+from tesselith.plans.queries import both_scores, dense_top, doc_tokens, lexical_top, lines
 from tesselith.plans.queries import gold as gold_of
 from tesselith.sources import adapters
 from tesselith.sources.tables import table
@@ -156,7 +156,8 @@ def library_list(s, d):
 @query
 def ingest_actions(s, d):
     targets = table(s, d, "events").select(F.col("user_id").alias("doc_id"))
-    stored = table(s, d, "documents").where("doc_id % 4 <> 0").select("doc_id", version("doc_id").alias("chunking_version"))
+    # stored are the documents with labels
+    stored = table(s, d, "documents").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", version("doc_id").alias("chunking_version"))
     return library.ingest_plan(targets, stored, "v2")
 
 
@@ -199,7 +200,7 @@ def dominant_languages(s, d):
 
 @query
 def result_languages(s, d):
-    r = lexical30(s, d, 10).join(table(s, d, "documents").select("doc_id", F.col("lang").alias("language")), "doc_id")
+    r = lexical_top(s, d, 10).join(table(s, d, "documents").select("doc_id", F.col("lang").alias("language")), "doc_id")
     return library.result_language(r)
 
 
@@ -237,20 +238,20 @@ def prediction_checks(s, d):
     ranked = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("array<string>")).when(F.col("event_id") % 7 == 1, F.array(u, F.lit(" "))).when(F.col("event_id") % 7 == 2, F.array(u, F.concat(F.lit(" "), u))).otherwise(F.array(u))
     late = F.element_at(F.array(F.lit(None).cast("string"), F.lit("12.5"), F.lit("-1"), F.lit("soon"), F.lit("NaN")), (F.col("event_id") % 5 + 1).cast("int"))
     p = e.select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 11 == 0, " ").otherwise(u).alias("query_id"), ranked.alias("ranked"), late.alias("latency_ms"))
-    return evaluation.checked_predictions(p, e.where("user_id % 3 <> 0").select(F.col("user_id").alias("query_id")))
+    return evaluation.checked_predictions(p, e.where("event_type = 'click'").select(F.col("user_id").alias("query_id")))
 
 
 @query
 def chunk_recall(s, d):
     place = lambda c: (F.floor(F.col(c) / 10).cast("long").alias("doc_id"), (F.col(c) % 10).alias("chunk_index"))
-    r = lexical30(s, d, 10).select("query_id", "rank", *place("doc_id"))
+    r = lexical_top(s, d, 10).select("query_id", "rank", *place("doc_id"))
     return evaluation.chunk_recall(r, gold_of(s, d).select("query_id", *place("doc_id")))
 
 
 @query
 def ablation_report(s, d):
-    h = metrics.query_scores(retrieval.fused_rrf(dense30(s, d), lexical30(s, d), 10), gold_of(s, d), adapters.query_table(s, d))
-    return evaluation.ablation(h, lexical_scores(s, d), ["r_1", "r_5", "mrr"])
+    lexical, hybrid = both_scores(s, d)
+    return evaluation.ablation(hybrid, lexical, ["r_1", "r_5", "mrr"])
 
 
 @query
@@ -261,7 +262,7 @@ def eval_requests(s, d):
 
 @query
 def slim_results(s, d):
-    r = lexical30(s, d, 10).select("query_id", "rank", "doc_id", F.col("lexical_score").alias("score")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    r = lexical_top(s, d, 10).select("query_id", "rank", "doc_id", F.col("lexical_score").alias("score")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return evaluation.slim_results(r)
 
 
@@ -280,13 +281,13 @@ def fixture_dense(s, d):
 
 @query
 def merged_languages(s, d):
-    return evaluation.merged_languages([lexical30(s, d, 10), dense30(s, d, 10)], 10)
+    return evaluation.merged_languages([lexical_top(s, d, 10), dense_top(s, d, 10)], 10)
 
 
 @query
 def context_blocks(s, d):
     t = table(s, d, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("n_chars").cast("double").alias("start"), (F.col("n_chars") + 30).cast("double").alias("end"), "text")
-    return evaluation.context_block(lexical30(s, d, 5).join(t, "doc_id"))
+    return evaluation.context_block(lexical_top(s, d, 5).join(t, "doc_id"))
 
 
 # review
@@ -296,7 +297,7 @@ def context_blocks(s, d):
 def review_batch(s, d):
     q = adapters.query_table(s, d).select("query_id", "query")
     t = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("chunk_index"), (F.col("n_chars") / 4.0).alias("start"), (F.col("n_chars") / 5.0).alias("end"))
-    r = lexical30(s, d, 10).join(q, "query_id").join(t, "doc_id")
+    r = lexical_top(s, d, 10).join(q, "query_id").join(t, "doc_id")
     return review.review_items(r.withColumn("score", F.col("lexical_score")))
 
 
@@ -379,18 +380,20 @@ def overlap_scores(queries, texts):
 
 @query
 def rerank(s, d):
-    x = lexical30(s, d).join(adapters.query_table(s, d).select("query_id", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    x = lexical_top(s, d).join(adapters.query_table(s, d).select("query_id", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return retrieval.reranked(x.withColumn("score", F.col("lexical_score")), overlap_scores, 20)
 
 
 @query
 def chunk_search(s, d):
     """Documents cut by time, embedded by hashing, and searched exactly with the benchmark items."""
-    c = chunking.by_time(lines(s, d), 60, 15).select((F.col("doc_id") * 10_000 + F.col("chunk_index")).alias("doc_id"), F.col("raw_text").alias("text"))
+    # chunks are named by a hash of (doc_id, chunk_index), which is looked up again
+    c = chunking.by_time(lines(s, d), 60, 15).select("doc_id", "chunk_index", F.xxhash64("doc_id", "chunk_index").alias("name"), F.col("raw_text").alias("text"))
+    names, c = c.select("name", "doc_id", "chunk_index"), c.select(F.col("name").alias("doc_id"), "text")
     v = embedding.hash_embeddings(c, 64).select(F.col("doc_id").alias("vec_id"), "embedding")
     q = embedding.hash_embeddings(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 64).select(F.col("doc_id").alias("query_id"), "embedding")
     r = retrieval.dense_topk(v, q, 5)
-    return r.select("query_id", F.floor(F.col("vec_id") / 10_000).cast("long").alias("doc_id"), (F.col("vec_id") % 10_000).alias("chunk_index"), F.round("dense_score", 4).alias("score"), "rank")
+    return r.withColumnRenamed("vec_id", "name").join(names, "name").select("query_id", "doc_id", "chunk_index", F.round("dense_score", 4).alias("score"), "rank")
 
 
 QUERIES = dict(Q)

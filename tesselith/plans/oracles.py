@@ -32,7 +32,7 @@ VQ = """vq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense
   FROM embeddings x JOIN embeddings y ON y.vec_id <> x.vec_id {on} WHERE x.vec_id % 20 = 0))"""
 
 
-def both(d: int = 30, x: int = 30) -> str:
+def both(d: int = 80, x: int = 80) -> str:
     return f"""d AS (SELECT * FROM den WHERE rank <= {d}), x AS (SELECT * FROM lex WHERE rank <= {x}),
 j AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.doc_id, x.doc_id) AS doc_id, dense_score, lexical_score, d.rank AS dense_rank, x.rank AS lexical_rank
   FROM d FULL JOIN x ON d.query_id = x.query_id AND d.doc_id = x.doc_id)"""
@@ -40,7 +40,7 @@ j AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.doc_id, x.
 
 RRF = """rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, coalesce(dense_score, 0) DESC, coalesce(lexical_score, 0) DESC, doc_id)::INT AS rank FROM (
   SELECT *, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 6) AS hybrid_score FROM j))"""
-FB = "fb AS (SELECT doc_id AS chunk_id, doc_id % 40 AS query_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'not_relevant' END AS label, 1700000000 + (doc_id % 2000) * 3600 AS upd FROM labels)"
+FB = "fb AS (SELECT doc_id AS chunk_id, doc_id % (SELECT count(*) FROM benchmark) AS query_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'not_relevant' END AS label, 1700000000 + (doc_id % 2000) * 3600 AS upd FROM labels)"
 ADJ = f"""adj AS (SELECT query_id, doc_id, round(greatest(-0.35, least(0.35, 0.30::DOUBLE * coalesce(vs / ws, 0) + 0.10::DOUBLE * (r - n) / (r + n + 2))), 6) AS adjustment, m AS query_matches, r AS relevant_count, n AS not_relevant_count FROM (
   SELECT query_id, doc_id, sum(w) AS ws, sum(w * v) AS vs, count(w) AS m, count(*) FILTER (v > 0) AS r, count(*) FILTER (v < 0) AS n FROM (
     SELECT c.query_id, c.doc_id, CASE WHEN label = 'relevant' THEN 1.0::DOUBLE ELSE -1.0 END AS v,
@@ -53,7 +53,7 @@ LINES = """ln0 AS (SELECT doc_id, lang, source, list_filter(string_split(text, c
 ln1 AS (SELECT doc_id, lang, source, unnest(l) AS text, unnest(range(len(l))) AS ord FROM ln0),
 seg AS (SELECT doc_id, lang, source, ord, text, e - 10 - length(text) AS start_ds, e AS end_ds FROM (
   SELECT *, (sum(10 + length(text)) OVER (PARTITION BY doc_id ORDER BY ord))::BIGINT AS e FROM ln1))"""
-GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) >= 4)"
+GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def scores(rows: str, name: str) -> str:
@@ -117,7 +117,7 @@ po AS (SELECT doc_id, rtrim(substr(string_agg(t, ' ' ORDER BY ord), 1, 2400)) AS
 pg AS (SELECT *, list_filter(range(0, least(5, n)), lambda g: ord >= g * n // least(5, n) AND ord < (g + 1) * n // least(5, n))[1] AS g FROM pl),
 ps AS (SELECT doc_id, g, min(start_ds) AS start_ds, rtrim(substr(string_agg(t, ' ' ORDER BY ord), 1, 1800)) AS t FROM pg GROUP BY 1, 2),
 pa AS (SELECT doc_id, count(*) AS n, string_agg(start_ds::VARCHAR, ',' ORDER BY g) AS starts, string_agg(t, chr(10) ORDER BY g) AS st FROM ps GROUP BY 1),
-pf AS (SELECT d.doc_id, substr(d.text, 1, 40) AS title, coalesce(nullif(o, ''), substr(d.text, 1, 40)) AS overview, coalesce(n, 0) AS n_sections, coalesce(starts, '') AS starts, coalesce(st, '') AS st FROM documents d LEFT JOIN po USING (doc_id) LEFT JOIN pa USING (doc_id)),
+pf AS (SELECT d.doc_id, split_part(coalesce(d.text, ''), chr(10), 1) AS title, coalesce(nullif(o, ''), split_part(coalesce(d.text, ''), chr(10), 1)) AS overview, coalesce(n, 0) AS n_sections, coalesce(starts, '') AS starts, coalesce(st, '') AS st FROM documents d LEFT JOIN po USING (doc_id) LEFT JOIN pa USING (doc_id)),
 px AS (SELECT *, title || chr(10) || overview || chr(10) || st AS lexical_text FROM pf)"""
 ROUTES = f"""{PROFILE}, {QRY}, rt AS (SELECT doc_id AS source_id, list_distinct(list_concat(regexp_extract_all(lower(lexical_text), '[a-z0-9_]+'), [])) AS tokens FROM px),
 ro AS (SELECT query_id, source_id, round(count(*) / sqrt(any_value(qn)::DOUBLE * any_value(sn)), 6) AS lexical_score FROM (SELECT source_id, len(tokens) AS sn, unnest(tokens) AS t FROM rt)
@@ -166,8 +166,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score
     "dense_exact_topk": f"WITH {VQ.format(on='')} SELECT query_id, vec_id, dense_score, rank FROM vq WHERE rank <= 10",
     "dense_scoped_topk": f"WITH {VQ.format(on='AND y.label = x.label')} SELECT query_id, vec_id, dense_score, rank FROM vq WHERE rank <= 5",
     "hybrid_rrf": f"WITH {LEX}, {DENSE}, {both()}, {RRF} SELECT query_id, doc_id, hybrid_score, dense_rank, lexical_rank, rank FROM rrf WHERE rank <= 10",
-    "hybrid_weighted": f"""WITH {LEX}, {DENSE}, d AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (dense_score - lo) / (hi - lo) END AS dn FROM (SELECT *, min(dense_score) OVER w AS lo, max(dense_score) OVER w AS hi FROM den WHERE rank <= 30 WINDOW w AS (PARTITION BY query_id))),
-x AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (lexical_score - lo) / (hi - lo) END AS ln FROM (SELECT *, min(lexical_score) OVER w AS lo, max(lexical_score) OVER w AS hi FROM lex WHERE rank <= 30 WINDOW w AS (PARTITION BY query_id))),
+    "hybrid_weighted": f"""WITH {LEX}, {DENSE}, d AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (dense_score - lo) / (hi - lo) END AS dn FROM (SELECT *, min(dense_score) OVER w AS lo, max(dense_score) OVER w AS hi FROM den WHERE rank <= 80 WINDOW w AS (PARTITION BY query_id))),
+x AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (lexical_score - lo) / (hi - lo) END AS ln FROM (SELECT *, min(lexical_score) OVER w AS lo, max(lexical_score) OVER w AS hi FROM lex WHERE rank <= 80 WINDOW w AS (PARTITION BY query_id))),
 j AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.doc_id, x.doc_id) AS doc_id, dense_score, lexical_score, d.rank AS dr, x.rank AS lr,
   round(0.475::DOUBLE * coalesce(dn, 0) + 0.475::DOUBLE * coalesce(ln, 0) + CASE WHEN dn IS NOT NULL AND ln IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END, 6) AS hybrid_score FROM d FULL JOIN x ON d.query_id = x.query_id AND d.doc_id = x.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, coalesce(lexical_score, 0) DESC, coalesce(dense_score, 0) DESC, lr NULLS LAST, dr NULLS LAST, doc_id)::INT AS rank FROM j)
@@ -241,7 +241,7 @@ SELECT query_id, round(h / 10.0::DOUBLE, 6) AS precision, round(h::DOUBLE / null
     "distractor_errors": f"WITH {CASES} SELECT * FROM rc",
     "routing_eval_report": f"WITH {CASES} SELECT count(*) AS n, count(*) FILTER (status = 'scored') AS scored, {', '.join(f'round(avg({m}) FILTER (status = {chr(39)}scored{chr(39)}), 6) AS {m}' for m in ('recall_1', 'recall_3', 'recall_5', 'mrr'))}, round(avg(distractor_error::INT) FILTER (status = 'scored'), 6) AS distractor_error_rate, CASE WHEN count(*) FILTER (status = 'scored') = 0 THEN 'empty' WHEN count(*) FILTER (status = 'scored') < count(*) THEN 'partial' ELSE 'complete' END AS coverage FROM rc",
     "dataset_violations": f"WITH {GOLD} SELECT 'unknown_document' AS problem, doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'no_gold', item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)",
-    "evidence_assessment": f"WITH {LEX}, {DENSE}, {both()}, {RRF}, r5 AS (SELECT query_id, doc_id, rank, dense_score, lexical_score FROM rrf WHERE rank <= 5), {assess('r5', 'ev', 'hybrid')} SELECT query_id, sufficient, confidence_cap, reason_code, top_strength FROM ev",
+    "evidence_assessment": f"WITH {LEX}, {DENSE}, {both(40, 40)}, {RRF}, r5 AS (SELECT query_id, doc_id, rank, dense_score, lexical_score FROM rrf WHERE rank <= 5), {assess('r5', 'ev', 'hybrid')} SELECT query_id, sufficient, confidence_cap, reason_code, top_strength FROM ev",
     "tool_policy": f"""WITH {LEX}, {DENSE}, l5 AS (SELECT query_id, doc_id, rank, NULL::DOUBLE AS dense_score, lexical_score FROM lex WHERE rank <= 5), d5 AS (SELECT query_id, doc_id, rank, dense_score, NULL::DOUBLE AS lexical_score FROM den WHERE rank <= 5), {assess('l5', 'al', 'lexical')}, {assess('d5', 'ad', 'dense')}
 SELECT al.query_id, CASE WHEN NOT al.sufficient AND (ad.sufficient OR ad.n > al.n) THEN 'semantic_search' ELSE 'keyword_search' END AS tool, CASE WHEN al.sufficient THEN 1 ELSE 2 END AS attempts FROM al JOIN ad USING (query_id)""",
     "citations": f"""WITH {LEX}, r AS (SELECT l.query_id, rank AS citation_id, l.doc_id, n_chars AS s, n_chars + 30 AS e, {CLEAN.format(c='text')} AS t FROM lex l JOIN documents USING (doc_id) WHERE rank <= 5)
@@ -269,7 +269,7 @@ SELECT doc_id, section, focus_score, query_match_count, rank FROM (SELECT *, row
     "log_filter_since": f"WITH {LOG} SELECT event_id, ts FROM lg WHERE ts >= '2024-01-10T00:00:00' AND level = 'click'",
     "log_latest_job": f"WITH {LOG} SELECT event_id, ts, level, job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k FROM lg) WHERE k = 1",
     "history_top20": f"WITH {LOG} SELECT job_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM lg) WHERE rank <= 20",
-    "source_merge": f"""WITH a AS (SELECT doc_id, {PROVIDER.format(m=4)} AS p, source AS ci, doc_id % 3 <> 0 AS has, {PROVIDER.format(m=7)} AS np, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'new' END AS nci, CASE WHEN doc_id % 2 = 0 THEN 'named' END AS ncn FROM documents),
+    "source_merge": f"""WITH a AS (SELECT doc_id, {PROVIDER.format(m=4)} AS p, source AS ci, doc_id IN (SELECT doc_id FROM labels) AS has, {PROVIDER.format(m=7)} AS np, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'new' END AS nci, CASE WHEN doc_id % 2 = 0 THEN 'named' END AS ncn FROM documents),
 b AS (SELECT *, has AND (np NOT IN ('fallback', 'legacy') OR nci IS NOT NULL OR ncn IS NOT NULL) AND {PRIO.format(c='np')} >= {PRIO.format(c='p')} AS take FROM a)
 SELECT doc_id, CASE WHEN take THEN np ELSE p END AS provider, coalesce(CASE WHEN has THEN nci END, ci) AS channel_id, coalesce(CASE WHEN has THEN ncn END, 'old') AS channel_name, CASE WHEN take THEN '2024-02-01' ELSE '2024-01-01' END AS fetched_at FROM b""",
     "study_quality": f"""WITH {LINES}, c AS (SELECT doc_id AS deck_id, trim(regexp_replace(lower({CLEAN.format(c="text")}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k, ord % 7 <> 6 AS ev, ord % 7 <> 6 AND ord % 3 <> 2 AND {CLEAN.format(c="text")} <> '' AS an, ord % 5 <> 4 AS ob, length({CLEAN.format(c="text")}) <= 360 AS co,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.operators import answers, chunking, curation, drafts, embedding, metrics, retrieval, review
+from tesselith.plans.pipelines import candidate_count
 from tesselith.sources import adapters
 from tesselith.sources.tables import table
 
@@ -23,11 +24,15 @@ def doc_tokens(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "source", T.latin_tokens(F.col("text")).alias("tokens"))
 
 
-def lexical30(s: SparkSession, d: str, k: int = 30) -> DataFrame:
+#: Candidates of a side for ten results, and for five.
+TEN, FIVE = candidate_count(10)[1], candidate_count(5)[1]
+
+
+def lexical_top(s: SparkSession, d: str, k: int = 30) -> DataFrame:
     return retrieval.bm25(doc_tokens(s, d).drop("source"), adapters.query_table(s, d), k)
 
 
-def dense30(s: SparkSession, d: str, k: int | None = 30) -> DataFrame:
+def dense_top(s: SparkSession, d: str, k: int | None = 30) -> DataFrame:
     """Benchmark items search by the vector of their own number; vectors stand for the documents of their number."""
     v = table(s, d, "embeddings").select("vec_id", "embedding")
     q = v.join(table(s, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
@@ -54,13 +59,13 @@ def feedback_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    x = lexical30(s, d).withColumn("score", F.col("lexical_score"))
+    x = lexical_top(s, d).withColumn("score", F.col("lexical_score"))
     return x.join(adapters.query_table(s, d).select("query_id", F.col("terms").alias("query_tokens")), "query_id")
 
 
 def candidate_rows(s: SparkSession, d: str) -> DataFrame:
     t = doc_tokens(s, d).withColumn("start", (F.col("doc_id") * 5).cast("double"))
-    return lexical30(s, d).select("query_id", "doc_id", "rank").join(t, "doc_id")
+    return lexical_top(s, d).select("query_id", "doc_id", "rank").join(t, "doc_id")
 
 
 def gold(s: SparkSession, d: str) -> DataFrame:
@@ -69,13 +74,16 @@ def gold(s: SparkSession, d: str) -> DataFrame:
     Items are the stated query set. Pairs meet on the second and third token of the item: no document is compared with every item.
     """
     b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("p"))
-    b = b.withColumn("t", T.latin_tokens(F.col("p"))).where("size(t) >= 4").withColumn("key", F.array_join(F.slice("t", 2, 2), " "))
+    b = b.where("p is not null").withColumn("t", T.latin_tokens(F.col("p")))
+    # shorter items have no two tokens that a document must hold as they are: those few meet all documents
+    short, b = b.where("size(t) < 4"), b.where("size(t) >= 4").withColumn("key", F.array_join(F.slice("t", 2, 2), " "))
     docs = table(s, d, "documents").select("doc_id", "text")
     t = T.latin_tokens(F.col("text"))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1))))
     keys = docs.select("doc_id", t.alias("t")).where("size(t) >= 2").select("doc_id", F.explode(pairs).alias("key"))
     hit = keys.join(b, "key").select("doc_id", "query_id", "p").distinct()
-    return hit.join(docs, "doc_id").where(F.contains("text", F.col("p"))).select("query_id", "doc_id")
+    found = hit.join(docs, "doc_id").where(F.contains("text", F.col("p"))).select("query_id", "doc_id")
+    return found.union(docs.join(short.select("query_id", "p"), F.contains("text", F.col("p"))).select("query_id", "doc_id"))
 
 
 # search
@@ -83,7 +91,7 @@ def gold(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_bm25_topk(s, d):
-    return lexical30(s, d, 10).select("query_id", "doc_id", "lexical_score", "rank")
+    return lexical_top(s, d, 10).select("query_id", "doc_id", "lexical_score", "rank")
 
 
 @query
@@ -111,23 +119,23 @@ def dense_scoped_topk(s, d):
 
 @query
 def hybrid_rrf(s, d):
-    return retrieval.fused_rrf(dense30(s, d), lexical30(s, d), 10).select("query_id", "doc_id", "hybrid_score", "dense_rank", "lexical_rank", "rank")
+    return retrieval.fused_rrf(dense_top(s, d, TEN), lexical_top(s, d, TEN), 10).select("query_id", "doc_id", "hybrid_score", "dense_rank", "lexical_rank", "rank")
 
 
 @query
 def hybrid_weighted(s, d):
-    return retrieval.fused_weighted(dense30(s, d), lexical30(s, d), 10).select("query_id", "doc_id", "hybrid_score", "rank")
+    return retrieval.fused_weighted(dense_top(s, d, TEN), lexical_top(s, d, TEN), 10).select("query_id", "doc_id", "hybrid_score", "rank")
 
 
 @query
 def minmax_normalise(s, d):
-    x = lexical30(s, d)
+    x = lexical_top(s, d)
     return x.select("query_id", "doc_id", F.round(retrieval.normalised(x, "lexical_score"), 6).alias("normalised"))
 
 
 @query
 def multimodal_merge(s, d):
-    x = lexical30(s, d, 10).select("query_id", F.col("doc_id"), F.col("lexical_score").alias("score"), F.lit("transcript").alias("kind"))
+    x = lexical_top(s, d, 10).select("query_id", F.col("doc_id"), F.col("lexical_score").alias("score"), F.lit("transcript").alias("kind"))
     pages = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), T.latin_tokens(F.regexp_replace("html", "<[^>]*>", " ")).alias("tokens"))
     y = retrieval.bm25(pages, adapters.query_table(s, d), 10).select("query_id", "doc_id", F.col("lexical_score").alias("score"), F.lit("page").alias("kind"))
     return retrieval.merged_evidence(x, y, k=10)
@@ -359,7 +367,13 @@ def page_title(s, d):
 
 
 def lexical_scores(s, d):
-    return metrics.query_scores(lexical30(s, d, 10), gold(s, d), adapters.query_table(s, d))
+    return metrics.query_scores(lexical_top(s, d, 10), gold(s, d), adapters.query_table(s, d))
+
+
+def both_scores(s, d):
+    """Scores of lexical search and of the fusion, from one lexical search."""
+    lexical, g, q = lexical_top(s, d, TEN), gold(s, d), adapters.query_table(s, d)
+    return metrics.query_scores(lexical.where("rank <= 10"), g, q), metrics.query_scores(retrieval.fused_rrf(dense_top(s, d, TEN), lexical, 10), g, q)
 
 
 @query
@@ -377,8 +391,7 @@ def interval_gold_scores(s, d):
 
 
 def runs(s, d):
-    q = lexical_scores(s, d)
-    h = metrics.query_scores(retrieval.fused_rrf(dense30(s, d), lexical30(s, d), 10), gold(s, d), adapters.query_table(s, d))
+    q, h = both_scores(s, d)
     scores = q.withColumn("run", F.lit("lexical")).unionByName(h.withColumn("run", F.lit("hybrid")))
     e = table(s, d, "events").select(F.when(F.col("event_id") % 2 == 0, "lexical").otherwise("hybrid").alias("run"), F.round(F.coalesce("value", F.lit(0.0)), 3).alias("latency_ms"), F.lit(False).alias("failed"))
     return metrics.run_summary(scores, e, ["p_5", "r_5", "mrr", "ndcg"])
@@ -397,7 +410,7 @@ def run_select(s, d):
 @query
 def thresholds(s, d):
     r = runs(s, d)
-    return metrics.threshold_checks(r.where("run = 'hybrid'"), r.where("run = 'lexical'"), {"r_5": (0.85, 0.10), "mrr": (0.70, 0.10), "ndcg": (0.75, 0.05)}, 40)
+    return metrics.threshold_checks(r.where("run = 'hybrid'"), r.where("run = 'lexical'"), {"r_5": (0.85, 0.10), "mrr": (0.70, 0.10), "ndcg": (0.75, 0.05)}, adapters.query_table(s, d).select(F.count(F.lit(1))).scalar())
 
 
 @query
@@ -410,15 +423,14 @@ def latency_percentiles(s, d):
 @query
 def labelled_metrics(s, d):
     y = adapters.feedback(s, d).select(F.col("chunk_id").alias("doc_id"), "label")
-    return metrics.labelled_scores(lexical30(s, d, 30).join(y, "doc_id", "left"))
+    return metrics.labelled_scores(lexical_top(s, d, 30).join(y, "doc_id", "left"))
 
 
 @query
 def run_compare(s, d):
     q = adapters.query_table(s, d).select("query_id", "query").dropDuplicates(["query"])
-    a = lexical_scores(s, d).join(q, "query_id")
-    b = metrics.query_scores(retrieval.fused_rrf(dense30(s, d), lexical30(s, d), 10), gold(s, d), adapters.query_table(s, d)).join(q, "query_id")
-    return metrics.compared(a, b, ["r_5", "mrr", "ndcg"])
+    a, b = both_scores(s, d)
+    return metrics.compared(a.join(q, "query_id"), b.join(q, "query_id"), ["r_5", "mrr", "ndcg"])
 
 
 @query
@@ -462,7 +474,7 @@ def dataset_violations(s, d):
 
 @query
 def evidence_assessment(s, d):
-    x = retrieval.fused_rrf(dense30(s, d), lexical30(s, d), 5)
+    x = retrieval.fused_rrf(dense_top(s, d, FIVE), lexical_top(s, d, FIVE), 5)
     q = adapters.query_table(s, d).select("query_id", F.col("terms").alias("query_tokens"))
     rows = x.join(doc_tokens(s, d).select("doc_id", F.array_distinct("tokens").alias("row_tokens")), "doc_id").join(q, "query_id")
     return answers.with_no_results(answers.assessed(rows, "hybrid"), q)
@@ -472,8 +484,8 @@ def evidence_assessment(s, d):
 def tool_policy(s, d):
     q = adapters.query_table(s, d).select("query_id", F.col("terms").alias("query_tokens"))
     t = doc_tokens(s, d).select("doc_id", F.array_distinct("tokens").alias("row_tokens"))
-    lex = lexical30(s, d, 5).withColumn("dense_score", F.lit(None).cast("double"))
-    den = dense30(s, d, 5).withColumn("lexical_score", F.lit(None).cast("double"))
+    lex = lexical_top(s, d, 5).withColumn("dense_score", F.lit(None).cast("double"))
+    den = dense_top(s, d, 5).withColumn("lexical_score", F.lit(None).cast("double"))
 
     def side(rows, mode, tool):
         a = answers.assessed(rows.join(t, "doc_id").join(q, "query_id"), mode)
@@ -485,12 +497,13 @@ def tool_policy(s, d):
 
 @query
 def citations(s, d):
-    c = lexical30(s, d, 5).join(table(s, d, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("start")), "doc_id")
+    c = lexical_top(s, d, 5).join(table(s, d, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("start")), "doc_id")
     return answers.citations(c.withColumns({"end": F.col("start") + 30.0, "url": F.concat(F.lit("https://media.example/watch?v="), F.col("doc_id").cast("string"))}))
 
 
 def titles(s, d):
-    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"))
+    """The first line."""
+    return table(s, d, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
 
 
 @query
@@ -520,14 +533,14 @@ def lexical_routes(s, d):
 
 @query
 def routing_search(s, d):
-    dense = dense30(s, d, None).select("query_id", F.col("doc_id").alias("source_id"), "dense_score")
+    dense = dense_top(s, d, None).select("query_id", F.col("doc_id").alias("source_id"), "dense_score")
     return answers.routed(dense, lexical_routes(s, d), 5).select("query_id", "source_id", "score", "rank")
 
 
 @query
 def routing_variants(s, d):
     a = answers.routed(None, lexical_routes(s, d), 10).select("query_id", F.lit("original").alias("kind"), "source_id", "rank", "lexical_score")
-    b = dense30(s, d, 10).select("query_id", F.lit("translated").alias("kind"), F.col("doc_id").alias("source_id"), "rank", F.lit(None).cast("double").alias("lexical_score"))
+    b = dense_top(s, d, 10).select("query_id", F.lit("translated").alias("kind"), F.col("doc_id").alias("source_id"), "rank", F.lit(None).cast("double").alias("lexical_score"))
     return answers.routed_variants(a.unionByName(b), 5)
 
 
@@ -599,7 +612,7 @@ def source_merge(s, d):
     t = table(s, d, "documents")
     provider = lambda m: F.element_at(F.array(F.lit("data_api"), F.lit("oembed"), F.lit("fallback"), F.lit("legacy")), (F.col("doc_id") % m % 4 + 1).cast("int"))
     a = t.select("doc_id", provider(4).alias("provider"), F.col("source").alias("channel_id"), F.lit("old").alias("channel_name"), F.lit("2024-01-01").alias("fetched_at"))
-    b = t.where("doc_id % 3 <> 0").select("doc_id", provider(7).alias("provider"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.lit("new")).alias("channel_id"), F.when(F.col("doc_id") % 2 == 0, "named").alias("channel_name"), F.lit("2024-02-01").alias("fetched_at"))
+    b = t.join(table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", provider(7).alias("provider"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.lit("new")).alias("channel_id"), F.when(F.col("doc_id") % 2 == 0, "named").alias("channel_name"), F.lit("2024-02-01").alias("fetched_at"))
     return review.merged_sources(a, b)
 
 

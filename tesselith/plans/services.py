@@ -87,10 +87,10 @@ def best_effort(call: Callable[[], dict], reason: str = "unavailable") -> dict:
 def query_variants(queries: DataFrame, languages: DataFrame, translate: Callable[[str, str, list[str]], dict[str, str]]) -> DataFrame:
     """(query_id, language, query, query_language, kind): each query as it is and once for every other language of the corpus.
 
-    queries: (query_id, query, language); languages: (language), few. translate(query, language, targets) gives texts by language; what it lacks or
+    queries: (query_id, query, language); languages: (language). translate(query, language, targets) gives texts by language; what it lacks or
     fails at stays as it was, marked untranslated_fallback. A query's failure is its own.
     """
-    known = sorted(r["language"] for r in languages.where("language is not null").distinct().limit(64).collect())
+    known = sorted(r["language"] for r in languages.where("language is not null").distinct().collect())
 
     def run(frames: Iterable) -> Iterable:
         import pandas as pd

@@ -12,14 +12,12 @@ from tesselith.sources.tables import table
 def with_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, source, lines): the lines of a text that aren't blank, with start and end in tenths of a second.
 
-    A line takes a second and a tenth per character; lines follow each other. A fold within the row: nothing is shuffled.
+    A line takes a second and a tenth per character; lines follow each other. Running totals within the row: nothing is shuffled.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    spans = F.expr("""
-        aggregate(lines, named_struct('at', 0L, 'out', cast(array() as array<struct<start_ds:bigint,end_ds:bigint,text:string>>)),
-          (a, x) -> named_struct('at', a.at + 10 + length(x), 'out', array_append(a.out, named_struct('start_ds', a.at, 'end_ds', a.at + 10 + length(x), 'text', x))),
-          a -> a.out)""")
-    return documents.select("doc_id", "lang", "source", lines.alias("lines")).withColumn("lines", spans)
+    took = lambda x: (F.length(x) + 10).cast("long")
+    timed = lambda ls: F.zip_with(ls, T.running_totals(F.transform(ls, took)), lambda x, at: F.struct(at.alias("start_ds"), (at + took(x)).alias("end_ds"), x.alias("text")))
+    return documents.select("doc_id", "lang", "source", T.let(lines, timed).alias("lines"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +34,11 @@ def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback records from labels: good quality is relevant; the query is a benchmark item by id; updated hours after a fixed time."""
+    """Feedback records from labels: good quality is relevant; the query is the benchmark item of the id modulo their number; updated hours after a fixed time."""
     y = table(spark, sf_dir, "labels")
+    items = table(spark, sf_dir, "benchmark").select(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     return y.select(
-        F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 40).alias("query_id"),
+        F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % items).alias("query_id"),
         F.when(F.col("quality") == 1, "relevant").otherwise("not_relevant").alias("label"),
         F.expr("timestamp_seconds(1700000000 + (doc_id % 2000) * 3600)").alias("updated_at"),
     )
