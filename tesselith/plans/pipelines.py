@@ -101,21 +101,25 @@ def routed_retrieval(route: Callable[[int], list], search: Callable[[list | None
 def curate(chunks: DataFrame, path: str, dataset_id: str, version: str, run_id: str, started: str, min_quality_score: float = 0.6, dry_run: bool = False) -> DataFrame:
     """A curation run: manifest, inferences and quality report written under path, and the run's row, which is returned.
 
-    A dry run writes nothing. The manifest is read back for the other artifacts, so chunks are scored once.
+    A dry run writes nothing. The manifest is read back for the other artifacts, so chunks are scored once. Rows that can't be read become failed
+    inferences, and the run completed_with_errors.
     """
     if not 0 <= min_quality_score <= 1:
         raise ValueError("min_quality_score must be from 0 to 1")
-    rows = curation.manifest(chunks, dataset_id, version, run_id, started, min_quality_score)
+    read = curation.checked(chunks)
+    rows = curation.manifest(read.where("error is null").drop("error", "raw_id"), dataset_id, version, run_id, started, min_quality_score)
+    failed = curation.failures(read, dataset_id, version, run_id, started)
     if not dry_run:
         rows.write.mode("overwrite").parquet(f"{path}/manifest")
         rows = chunks.sparkSession.read.parquet(f"{path}/manifest")
     report = curation.report(rows).select(F.lit(run_id).alias("pipeline_run_id"), F.lit(dataset_id).alias("dataset_id"), F.lit(version).alias("dataset_version"), "*")
+    n_failed = failed.count()
     run = report.select(
-        "pipeline_run_id", F.lit("evidence_curation").alias("pipeline_name"), "dataset_id", "dataset_version", F.col("total_records").alias("input_record_count"), F.col("total_records").alias("output_record_count"),
-        F.col("eligible_records").alias("eligible_record_count"), F.col("excluded_records").alias("excluded_record_count"), F.lit(0).alias("failed_record_count"), F.lit("completed").alias("status"), F.lit(started).alias("started_at"),
+        "pipeline_run_id", F.lit("evidence_curation").alias("pipeline_name"), "dataset_id", "dataset_version", (F.col("total_records") + n_failed).alias("input_record_count"), F.col("total_records").alias("output_record_count"),
+        F.col("eligible_records").alias("eligible_record_count"), F.col("excluded_records").alias("excluded_record_count"), F.lit(n_failed).alias("failed_record_count"), F.lit("completed_with_errors" if n_failed else "completed").alias("status"), F.lit(started).alias("started_at"),
     )
     if not dry_run:
-        curation.inferences(rows).write.mode("overwrite").json(f"{path}/inferences")
+        curation.inferences(rows).unionByName(failed).write.mode("overwrite").json(f"{path}/inferences")
         report.write.mode("overwrite").json(f"{path}/report")
         run.write.mode("append").json(f"{path}/runs")
     return run

@@ -277,7 +277,11 @@ def curate_topics(s, d):
 
 @query
 def curate_inference(s, d):
-    return curation.inferences(manifest(s, d)).select("inference_run_id", "status", "score", "label", F.get_json_object("output_json", "$.exclusion_reason").alias("exclusion_reason"))
+    """Raw chunks whose times are text: every seventh line's start can't be read, and every eleventh's end."""
+    raw = line_chunks(s, d)
+    raw = raw.withColumns({"start_sec": F.when(F.col("chunk_index") % 7 == 6, "soon").otherwise(F.col("start_sec").cast("string")), "end_sec": F.when(F.col("chunk_index") % 11 == 10, "late").otherwise(F.col("end_sec").cast("string"))})
+    _, rows = curation.curated(raw, "corpus", "v1", "run-1", "2024-01-01T00:00:00Z")
+    return rows.select("inference_run_id", "status", "score", "label", F.get_json_object("output_json", "$.exclusion_reason").alias("exclusion_reason"), "error_message")
 
 
 @query

@@ -60,6 +60,11 @@ def test_curation_run(spark, tmp_path):
     assert not (tmp_path / "x").exists()
     pipelines.curate(rows, str(tmp_path / "x"), "d", "v", "r", "now")
     assert spark.read.json(str(tmp_path / "x/inferences")).count() == 2 and spark.read.json(str(tmp_path / "x/runs")).first().status == "completed"
+    raw = spark.createDataFrame([("1", "0", "t", "The committee reviewed how systems shape the pacing of stories.", "en", "0", "5.0"), ("1", "1", "t", "x", "en", "soon", None), ("x", "2", "t", "x", "en", None, None), (None, "3", "t", "x", "en", None, None), ("2", "-1", "t", "x", "en", "1", "2"), ("2", "4", "t", None, None, None, None)], "doc_id string, chunk_index string, title string, text string, language string, start_sec string, end_sec string")
+    run = pipelines.curate(raw, str(tmp_path / "y"), "d", "v", "r", "now").first()
+    assert (run.status, run.input_record_count, run.output_record_count, run.failed_record_count) == ("completed_with_errors", 6, 2, 4)
+    bad = {r.evidence_id: r.error_message for r in spark.read.json(str(tmp_path / "y/inferences")).where("status = 'failed'").collect()}
+    assert bad == {"d:v:1:transcript:000001": "ValueError: start_sec is not a number: soon", "d:v:x:transcript:000002": "ValueError: doc_id is not a number: x", "d:v:unknown:transcript:000003": "KeyError: doc_id and chunk_index are required", "d:v:2:transcript:-00001": "ValueError: chunk_index is negative"}
     with pytest.raises(ValueError):
         pipelines.curate(rows, "x", "d", "v", "r", "now", min_quality_score=2)
 
