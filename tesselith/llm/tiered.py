@@ -35,8 +35,9 @@ CHUNK_TERMS = 200_000
 K1, B, UNIT = 12, 25, 1_000_000_000
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPLIT = 1000
-_TIER = "struct<starts:array<int>,rows:array<int>,impacts:array<int>,rest:array<int>>"
-INDEX = "block long, n_docs long, n_terms long, ids array<long>, terms array<binary>, df array<int>, " + ", ".join(f"t{i} {_TIER}" for i in range(len(TIERS) + 1))
+#: Lists of a block are bytes of 32-bit numbers; terms are their bytes one after another, and where each ends.
+_TIER = "struct<starts:binary,rows:binary,impacts:binary,rest:binary>"
+INDEX = "block long, n_docs long, n_terms long, ids array<long>, term_ends binary, term_bytes binary, df binary, " + ", ".join(f"t{i} {_TIER}" for i in range(len(TIERS) + 1))
 
 
 def split_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -82,14 +83,25 @@ def block_row(block: int, n_docs: int, n_terms: int, ids: pa.Array, flat: pa.Arr
     place = np.arange(len(term)) - first[term]
     ends = [np.minimum(df, np.maximum(least, -(-df // part))) for least, part in tiers] + [df]
     columns, begin = [], np.zeros(len(df), np.int64)
-    ints = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+    ints = lambda x: pa.array([x.astype(np.int32).tobytes()], pa.binary())
     for end in ends:
         here = (place >= begin[term]) & (place < end[term])
         rest = np.where(end < df, impact[np.minimum(first[:-1] + end, max(0, len(impact) - 1))] if len(impact) else 0, 0)
         columns.append(pa.StructArray.from_arrays([ints(np.r_[0, np.cumsum(end - begin)]), ints(row[here]), ints(impact[here]), ints(rest)], ["starts", "rows", "impacts", "rest"]))
         begin = end
-    arrays = [pa.array([block]), pa.array([n_docs]), pa.array([n_terms]), pa.ListArray.from_arrays([0, len(ids)], ids), pa.ListArray.from_arrays([0, len(df)], coded.dictionary), ints(df), *columns]
-    return pa.RecordBatch.from_arrays(arrays, ["block", "n_docs", "n_terms", "ids", "terms", "df", *[f"t{i}" for i in range(len(ends))]])
+    names = coded.dictionary.to_pylist()
+    arrays = [pa.array([block]), pa.array([n_docs]), pa.array([n_terms]), pa.ListArray.from_arrays([0, len(ids)], ids), ints(np.cumsum([0, *map(len, names)])), pa.array([b"".join(names)], pa.binary()), ints(df), *columns]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "n_docs", "n_terms", "ids", "term_ends", "term_bytes", "df", *[f"t{i}" for i in range(len(ends))]])
+
+
+def numbers(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.int32)
+
+
+def terms_of(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """The terms of the block in row i."""
+    ends = batch.column("term_ends")[i].as_buffer()
+    return pa.Array.from_buffers(pa.binary(), ends.size // 4 - 1, [None, ends, batch.column("term_bytes")[i].as_buffer()])
 
 
 def tiered_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -142,17 +154,16 @@ class Block:
     """A block's tiers, as far as they were read, and its terms by their numbers in a vocabulary."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, vocab: pa.Array):
-        list_of = lambda c: c.values.slice(c.offsets[i].as_py(), c.offsets[i + 1].as_py() - c.offsets[i].as_py())
-        own = pc.index_in(list_of(batch.column("terms")), value_set=vocab).to_numpy(zero_copy_only=False)
+        own = pc.index_in(terms_of(batch, i), value_set=vocab).to_numpy(zero_copy_only=False)
         known = np.flatnonzero(~np.isnan(own.astype(np.float64)))
         self.at = np.full(len(vocab), -1)
         self.at[own[known].astype(np.int64)] = known
-        self.ids = list_of(batch.column("ids"))
+        self.ids = batch.column("ids")[i].values
         self.tiers = []
         for t in range(len(TIERS) + 1):
             if f"t{t}" in batch.schema.names:
                 c = batch.column(f"t{t}")
-                self.tiers.append([list_of(c.field(name)).to_numpy(zero_copy_only=False) for name in ("starts", "rows", "impacts", "rest")])
+                self.tiers.append([numbers(c.field(name)[i]) for name in ("starts", "rows", "impacts", "rest")])
 
     def partial(self, term: np.ndarray, weight: np.ndarray, tiers: int) -> tuple[np.ndarray, int]:
         """Each document's score by the first `tiers` tiers, and the bound of all documents' whole scores."""
@@ -259,13 +270,14 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
         def counted(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(held), np.int64)
             for batch in batches:
-                at = pc.index_in(batch.column(0).flatten(), value_set=held)
-                wanted = pc.is_valid(at)
-                np.add.at(total, at.filter(wanted).to_numpy(), batch.column(1).flatten().filter(wanted).to_numpy())
+                for i in range(batch.num_rows):
+                    at = pc.index_in(terms_of(batch, i), value_set=held)
+                    wanted = pc.is_valid(at)
+                    np.add.at(total, at.filter(wanted).to_numpy(), numbers(batch.column("df")[i])[wanted.to_numpy(zero_copy_only=False)])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["t", "df"])
 
-        df = {r["t"]: r["df"] for r in index.select("terms", "df").mapInArrow(counted, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).collect()}
+        df = {r["t"]: r["df"] for r in index.select("term_ends", "term_bytes", "df").mapInArrow(counted, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).collect()}
         weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for t, d in df.items()}
         rows = sorted((r["key"], t, r["n"] * weight[t]) for r in own if weight.get(t := number[bytes(r["term"])], 0) > 0)
         keys, start = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True)
@@ -273,10 +285,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
         best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         ranked = lambda d: d.withColumn("rank", F.row_number().over(best))  # noqa: B023, E731
         schema = "key long, doc_id long, score long"
-        probe = ranked(index.select("ids", "terms", "t0").mapInArrow(_searches(one, k, None), schema)).where(F.col("rank") == k)
+        probe = ranked(index.select("ids", "term_ends", "term_bytes", "t0").mapInArrow(_searches(one, k, None), schema)).where(F.col("rank") == k)
         known = {r["key"]: r["score"] for r in probe.collect()}  # a row an item of the chunk
         floor = np.array([known.get(key, 0) for key in keys.tolist()], np.int64)
-        part = ranked(index.select("ids", "terms", *[f"t{i}" for i in range(len(TIERS) + 1)]).mapInArrow(_searches(one, k, floor), schema)).where(F.col("rank") <= k)
+        part = ranked(index.select("ids", "term_ends", "term_bytes", *[f"t{i}" for i in range(len(TIERS) + 1)]).mapInArrow(_searches(one, k, floor), schema)).where(F.col("rank") <= k)
         part = written(part, "tier-found")
         found = part if found is None else found.union(part)
     named = terms.select("key", "item_id").distinct()
