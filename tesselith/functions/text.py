@@ -55,6 +55,19 @@ def running_totals(a: Column, chunk: int = 512) -> Column:
     return F.when(F.size(a) > 0, let(parts, whole)).otherwise(F.array().cast("array<bigint>"))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """The leftmost matches that don't overlap, as (start, end, s): start and end in characters. What lies between them gives their places, so it is linear."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
+
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(lengths(x["m"]), lengths(x["b"]), lambda m, b: m + b)
+        starts = F.zip_with(running_totals(steps), x["b"], lambda at, b: at + F.length(b))
+        return F.zip_with(starts, x["m"], lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("s")))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.struct(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("b")), placed)
+
+
 def bigrams(c: Column) -> Column:
     """Pairs of neighbouring characters; a single character is itself. The text is split once: linear in its length."""
     pairs = lambda x: F.when(F.size(x) < 2, F.filter(x, lambda y: y != "")).otherwise(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.concat(a, b)))
