@@ -27,11 +27,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation. options are Parquet's."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

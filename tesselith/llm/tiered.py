@@ -35,6 +35,8 @@ CHUNK_TERMS = 200_000
 K1, B, UNIT = 12, 25, 1_000_000_000
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPLIT = 1000
+#: Parquet would look at the size of pages and row groups after 100 rows only, and compress what doesn't shrink, in buffers outside the heap.
+_FEW_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.enable.dictionary": "false", "compression": "none"}
 #: Lists of a block are bytes of 32-bit numbers; terms are their bytes one after another, and where each ends.
 _TIER = "struct<starts:binary,rows:binary,impacts:binary,rest:binary>"
 INDEX = "block long, n_docs long, n_terms long, ids array<long>, term_ends binary, term_bytes binary, df binary, " + ", ".join(f"t{i} {_TIER}" for i in range(len(TIERS) + 1))
@@ -136,7 +138,7 @@ def tiered_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if sum(len(f) for _, f, _ in held):
             yield out()
 
-    return written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX), "tier-index")
+    return written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX), "tier-index", **_FEW_LARGE_ROWS)
 
 
 @dataclass
