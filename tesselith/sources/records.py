@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from tesselith.functions import text as T
 from tesselith.operators.retrieval import keep_latest
+from tesselith.sources import loose, published
 
 SEGMENT = "struct<start:double,end:double,text:string>"
 CHUNK = "struct<start:double,end:double,raw_text:string,embed_text:string>"
@@ -57,9 +57,26 @@ def chunks_of(records: DataFrame, language: str | None = None, ids: list[str] |
     return d.select("video_id", "title", "language", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.raw_text").alias("text"), T.timed_url(F.col("url"), F.coalesce("c.start", F.lit(0.0))).alias("url"))
 
 
-def write_library(records: DataFrame, path: str) -> None:
-    """Records partitioned by id; ids that are gone lose their files."""
-    records.write.mode("overwrite").partitionBy("video_id").parquet(path)
+def write_library(records: DataFrame, path: str) -> dict:
+    """The library under path brought up to `records`: what is new or changed is written, ids that are gone leave, and readers see it before or after. Returns how many of each.
+
+    A record is unchanged if the hash of all its columns is. Only buckets that hold a change are written.
+    """
+    spark = records.sparkSession
+    now = records.withColumn("record_hash", F.xxhash64(F.to_json(F.struct(*sorted(records.columns)))))
+    if published.manifest(spark, path) is None:
+        m = published.publish(now, path, ["video_id"])
+        return {"written": now.count(), "removed": 0, "generation": m["generation"]}
+    have = published.read(spark, path).select("video_id", "record_hash")
+    changed, gone = now.join(have, ["video_id", "record_hash"], "left_anti").select(*now.columns), have.join(now, "video_id", "left_anti").select("video_id")
+    n, m = (changed.count(), gone.count()), published.manifest(spark, path)
+    if any(n):
+        m = published.merge(changed, path, ["video_id"], lambda old, new: old.unionByName(new), gone.union(changed.select("video_id")))
+    return {"written": n[0], "removed": n[1], "generation": m["generation"]}
+
+
+def stored_library(spark: SparkSession, path: str) -> DataFrame:
+    return published.read(spark, path).drop("record_hash")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = True) -> DataFrame:
@@ -113,6 +130,16 @@ def normalised_feedback(rows: DataFrame, token_version: str = "latin_v1") -> Dat
     return keep_latest(d, ["key"], order)
 
 
+def read_feedback(spark: SparkSession, path: str, token_version: str = "latin_v1") -> tuple[DataFrame, DataFrame]:
+    """(normalised feedback, entries that can't be read) of a store that is a list, an object by key, or JSON lines; times may stand in timestamp_range."""
+    rows = spark.read.text(path, wholetext=True).select(F.lit(0).alias("file"), F.col("value").alias("json"))
+    found, bad = loose.records(rows, "label")
+    fields = [x.split(" ", 1) for x in FEEDBACK.split(", ")]
+    paths = {"start": ("$.start", "$.timestamp_range.start"), "end": ("$.end", "$.timestamp_range.end")}
+    d = found.select("ord", *[loose.got("record", kind, *paths.get(name, (f"$.{name}",))).alias(name) for name, kind in fields])
+    return normalised_feedback(d, token_version), bad
+
+
 def upserted(store: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
     """The store with incoming records by key: id and created_at stay, the rest and updated_at are new."""
     old = store.select("key", F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
@@ -133,17 +160,16 @@ def deleted(store: DataFrame, video_id: str | None = None, label: str | None = N
     return store.where(~hit), store.where(hit)
 
 
-def write_json_object(value: dict, path: str) -> None:
-    """One small object, by way of a temporary name, on the driver's file system."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+def write_json_object(spark: SparkSession, value: dict, path: str) -> None:
+    """One small object, by way of a temporary name, on any file system that Spark writes to."""
+    folder, _, name = path.rpartition("/")
+    published.write_file(spark, folder, name, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True))
 
 
-def read_config(path: str) -> dict:
-    """A run configuration: JSON, or YAML where a parser for it is installed."""
-    with open(path, encoding="utf-8") as f:
-        raw = f.read()
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A run configuration on any file system that Spark reads: JSON, or YAML where a parser for it is installed."""
+    folder, _, name = path.rpartition("/")
+    raw = published.read_file(spark, folder, name)
     try:
         return json.loads(raw)
     except ValueError:

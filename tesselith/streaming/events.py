@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tesselith.operators.retrieval import keep_latest, ranked
+from tesselith.sources import published
 
 LOG = "ts string, level string, event string, job_id string, message string"
 
@@ -22,26 +23,23 @@ def windowed_counts(events: DataFrame, time: str = "ts", window: str = "10 minut
 
 
 def keep_newest(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: str) -> StreamingQuery:
-    """Each batch is merged into a table of the newest row per key. A batch that runs twice gives the same table: versions are named by batch."""
-    return _merging(stream, path, checkpoint, lambda d: keep_latest(d, key, [F.desc(order)]))
+    """Each batch is merged into a published store of the newest row per key: only the buckets that hold its keys are written. A batch that runs twice is merged once."""
+    return _merging(stream, path, checkpoint, key, lambda d: keep_latest(d, key, [F.desc(order)]))
 
 
 def bounded_history(stream: DataFrame, path: str, checkpoint: str, by: str, order: str, keep: int = 20) -> StreamingQuery:
-    return _merging(stream, path, checkpoint, lambda d: ranked(d, by, [F.desc(order)], keep).drop("rank"))
+    """The same with the newest `keep` rows per key."""
+    return _merging(stream, path, checkpoint, [by], lambda d: ranked(d, by, [F.desc(order)], keep).drop("rank"))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written under `path`."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    names = [s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
-    return spark.read.parquet(f"{path}/v{max(int(n[1:]) for n in names if n[:1] == 'v' and n[1:].isdigit())}")
+    """The store as of its newest batch."""
+    return published.read(spark, path)
 
 
-def _merging(stream: DataFrame, path: str, checkpoint: str, reduce) -> StreamingQuery:
+def _merging(stream: DataFrame, path: str, checkpoint: str, key: list[str], reduce) -> StreamingQuery:
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.sparkSession.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        reduce(batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        published.merge(batch, path, key, lambda old, new: reduce(old.unionByName(new)), generation=number + 1)
+        published.prune(batch.sparkSession, path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
