@@ -1,8 +1,8 @@
 """Ranked lexical search by a tiered index.
 
 Documents are dealt to blocks in the order they are read. A block lists each of its terms' postings by falling impact, the part of the score that doesn't
-depend on the query, and cuts the list into tiers: those of highest impact first. Beside each tier stands the term's residual bound, the largest
-impact that lower tiers hold. The index is a written table, a row a block and a column a tier, so a search that needs the first tier reads no more.
+depend on the query, and cuts the list into tiers: those of highest impact first, where they end following from the list's length. Beside a tier stand the residual bounds
+of the terms that go on below it, the largest impact that lower tiers hold. The index is a written table, a row a block and a column a tier, so a search that needs the first tier reads no more.
 
 A search probes the first tier of all blocks: the k-th best of these partial scores is a score that k documents reach. Then each item goes through a block's tiers:
 what a tier has seen plus the bounds of what it hasn't limits every document of the block from above. While that limit is below the k-th best
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tesselith.llm.common import drop_written, written
 
 #: Words of a block, about; one text is never cut.
-BLOCK_TERMS = 1 << 17
+BLOCK_TERMS = 1 << 18
 #: Of a term's n postings in a block, tiers end at max(least, n / part).
 TIERS = ((8, 16), (32, 4))
 #: Terms of all items that are searched for at once, about.
@@ -35,10 +35,10 @@ CHUNK_TERMS = 200_000
 K1, B, UNIT = 12, 25, 1_000_000_000
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPLIT = 1000
-#: Parquet would look at the size of pages and row groups after 100 rows only, and compress what doesn't shrink, in buffers outside the heap.
-_FEW_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.enable.dictionary": "false", "compression": "none"}
-#: Lists of a block are bytes of 32-bit numbers; terms are their bytes one after another, and where each ends.
-_TIER = "struct<starts:binary,rows:binary,impacts:binary,rest:binary>"
+#: Parquet would look at the size of pages and row groups after 100 rows only, and hold a large row group in memory while it writes or reads it.
+_FEW_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
+#: Lists of a block are bytes of 32-bit numbers, rows of 16-bit numbers where they suffice; terms are their bytes one after another, and where each ends.
+_TIER = "struct<rows:binary,impacts:binary,rest:binary>"
 INDEX = "block long, n_docs long, n_terms long, ids array<long>, term_ends binary, term_bytes binary, df binary, " + ", ".join(f"t{i} {_TIER}" for i in range(len(TIERS) + 1))
 
 
@@ -70,6 +70,15 @@ def length_stats(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return r["n"], r["l"]
 
 
+def tier_ends(df: np.ndarray, tiers: tuple = TIERS) -> list[np.ndarray]:
+    """Where each tier ends in lists of these lengths."""
+    return [np.minimum(df, np.maximum(least, -(-df // part))) for least, part in tiers] + [df]
+
+
+def row_kind(n_docs: int) -> type:
+    return np.uint16 if n_docs <= 1 << 16 else np.int32
+
+
 def block_row(block: int, n_docs: int, n_terms: int, ids: pa.Array, flat: pa.Array, counts: np.ndarray, tiers: tuple = TIERS) -> pa.RecordBatch:
     """The index of one block: counts[i] of the terms `flat` belong to the document ids[i]."""
     coded = flat.dictionary_encode()
@@ -83,21 +92,21 @@ def block_row(block: int, n_docs: int, n_terms: int, ids: pa.Array, flat: pa.Arr
     df = np.bincount(term, minlength=len(coded.dictionary))
     first = np.r_[0, np.cumsum(df)]
     place = np.arange(len(term)) - first[term]
-    ends = [np.minimum(df, np.maximum(least, -(-df // part))) for least, part in tiers] + [df]
+    ends = tier_ends(df, tiers)
     columns, begin = [], np.zeros(len(df), np.int64)
-    ints = lambda x: pa.array([x.astype(np.int32).tobytes()], pa.binary())
+    ints = lambda x, kind=np.int32: pa.array([x.astype(kind).tobytes()], pa.binary())
     for end in ends:
         here = (place >= begin[term]) & (place < end[term])
-        rest = np.where(end < df, impact[np.minimum(first[:-1] + end, max(0, len(impact) - 1))] if len(impact) else 0, 0)
-        columns.append(pa.StructArray.from_arrays([ints(np.r_[0, np.cumsum(end - begin)]), ints(row[here]), ints(impact[here]), ints(rest)], ["starts", "rows", "impacts", "rest"]))
+        rest = impact[(first[:-1] + end)[end < df]]
+        columns.append(pa.StructArray.from_arrays([ints(row[here], row_kind(len(ids))), ints(impact[here]), ints(rest)], ["rows", "impacts", "rest"]))
         begin = end
     names = coded.dictionary.to_pylist()
     arrays = [pa.array([block]), pa.array([n_docs]), pa.array([n_terms]), pa.ListArray.from_arrays([0, len(ids)], ids), ints(np.cumsum([0, *map(len, names)])), pa.array([b"".join(names)], pa.binary()), ints(df), *columns]
     return pa.RecordBatch.from_arrays(arrays, ["block", "n_docs", "n_terms", "ids", "term_ends", "term_bytes", "df", *[f"t{i}" for i in range(len(ends))]])
 
 
-def numbers(cell: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), np.int32)
+def numbers(cell: pa.Scalar, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
 
 
 def terms_of(batch: pa.RecordBatch, i: int) -> pa.Array:
@@ -161,18 +170,22 @@ class Block:
         self.at = np.full(len(vocab), -1)
         self.at[own[known].astype(np.int64)] = known
         self.ids = batch.column("ids")[i].values
-        self.tiers = []
-        for t in range(len(TIERS) + 1):
+        df = numbers(batch.column("df")[i]).astype(np.int64)
+        self.tiers, begin = [], np.zeros(len(df), np.int64)
+        for t, end in enumerate(tier_ends(df)):
             if f"t{t}" in batch.schema.names:
                 c = batch.column(f"t{t}")
-                self.tiers.append([numbers(c.field(name)[i]) for name in ("starts", "rows", "impacts", "rest")])
+                rest = np.zeros(len(df), np.int64)
+                rest[end < df] = numbers(c.field("rest")[i])
+                self.tiers.append((np.r_[0, np.cumsum(end - begin)], numbers(c.field("rows")[i], row_kind(len(self.ids))), numbers(c.field("impacts")[i]), rest))
+            begin = end
 
     def partial(self, term: np.ndarray, weight: np.ndarray, tiers: int) -> tuple[np.ndarray, int]:
         """Each document's score by the first `tiers` tiers, and the bound of all documents' whole scores."""
         at = self.at[term]
         here = at >= 0
         at, weight = at[here], weight[here].astype(np.int64)
-        rest = self.tiers[tiers - 1][3][at].astype(np.int64)
+        rest = self.tiers[tiers - 1][3][at]
         rows, seen, over = [], [], []
         for starts, row, impact, _ in self.tiers[:tiers]:
             n = starts[at + 1] - starts[at]
@@ -287,10 +300,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
         best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         ranked = lambda d: d.withColumn("rank", F.row_number().over(best))  # noqa: B023, E731
         schema = "key long, doc_id long, score long"
-        probe = ranked(index.select("ids", "term_ends", "term_bytes", "t0").mapInArrow(_searches(one, k, None), schema)).where(F.col("rank") == k)
+        probe = ranked(index.select("ids", "term_ends", "term_bytes", "df", "t0").mapInArrow(_searches(one, k, None), schema)).where(F.col("rank") == k)
         known = {r["key"]: r["score"] for r in probe.collect()}  # a row an item of the chunk
         floor = np.array([known.get(key, 0) for key in keys.tolist()], np.int64)
-        part = ranked(index.select("ids", "term_ends", "term_bytes", *[f"t{i}" for i in range(len(TIERS) + 1)]).mapInArrow(_searches(one, k, floor), schema)).where(F.col("rank") <= k)
+        part = ranked(index.select("ids", "term_ends", "term_bytes", "df", *[f"t{i}" for i in range(len(TIERS) + 1)]).mapInArrow(_searches(one, k, floor), schema)).where(F.col("rank") <= k)
         part = written(part, "tier-found")
         found = part if found is None else found.union(part)
     named = terms.select("key", "item_id").distinct()

@@ -170,15 +170,18 @@ def test_search(spark, library):
 def test_index_holds_every_posting_by_falling_impact(spark, library):
     index = tiered.tiered_index(spark.createDataFrame(library[0], "doc_id long, text string").coalesce(1), block_terms=4000).collect()
     assert len(index) > 3 and sum(len(b["ids"]) for b in index) == sum(1 for _, t in library[0] if re.search(r"[^\W_]|[^\x00-\x7f]", t or ""))
-    ints = lambda x: np.frombuffer(x, np.int32).tolist()
+    import pyarrow as pa
+
     for b in index:
-        b = b.asDict(recursive=True) | {f"t{t}": {k: ints(v) for k, v in b[f"t{t}"].asDict().items()} for t in range(3)}
-        assert sum(ints(b["df"])) == sum(len(b[f"t{t}"]["rows"]) for t in range(3))
-        for i in range(len(ints(b["df"]))):
-            lists = [b[f"t{t}"]["impacts"][b[f"t{t}"]["starts"][i] : b[f"t{t}"]["starts"][i + 1]] for t in range(3)]
-            assert sum(lists, []) == sorted(sum(lists, []), reverse=True)
+        row = pa.RecordBatch.from_pylist([b.asDict(recursive=True)])
+        block = tiered.Block(row, 0, tiered.terms_of(row, 0))
+        df = tiered.numbers(row.column("df")[0])
+        assert df.sum() == sum(len(rows) for _, rows, _, _ in block.tiers)
+        for i in range(len(df)):
+            lists = [impacts[starts[i] : starts[i + 1]].tolist() for starts, _, impacts, _ in block.tiers]
+            assert sum(lists, []) == sorted(sum(lists, []), reverse=True) and len(sum(lists, [])) == df[i]
             for t in range(3):
-                assert b[f"t{t}"]["rest"][i] == max(sum(lists[t + 1 :], []), default=0)
+                assert block.tiers[t][3][i] == max(sum(lists[t + 1 :], []), default=0)
 
 
 def test_bounds_prove_blocks_empty_of_results(spark, library):
