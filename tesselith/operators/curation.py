@@ -213,6 +213,25 @@ def filtered(rows: DataFrame, doc_id=None, quality: str | None = None, included:
     return rows
 
 
+def browsed(rows: DataFrame, doc_id=None, quality: str | None = None, included: bool | None = None, topic: str | None = None, text: str | None = None) -> DataFrame:
+    """What a browser of the manifest shows: equality, a topic as it is written, and a substring (any case) of id, document, title, text, label or topics."""
+    rows = filtered(rows, doc_id, quality, included)
+    if topic:
+        rows = rows.where(F.array_contains("topic_tags", topic))
+    if text and text.strip():
+        hay = F.concat_ws(" ", "evidence_id", F.col("doc_id").cast("string"), "title", "text", "quality_label", F.array_join("topic_tags", " "))
+        rows = rows.where(F.contains(F.lower(hay), F.lit(text.strip().lower())))
+    return rows
+
+
+def inferences_of(rows: DataFrame, evidence_id: str | None = None, run_id: str | None = None) -> DataFrame:
+    """Inference rows of an evidence id, a run, both, or all."""
+    for c, v in (("evidence_id", evidence_id), ("pipeline_run_id", run_id)):
+        if v and v.strip():
+            rows = rows.where(F.col(c) == v.strip())
+    return rows
+
+
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 1000) -> DataFrame:
     """A page of rows in a total order."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

@@ -156,6 +156,13 @@ def usable_index(spark, path: str, dimension: int) -> DataFrame | None:
     return vectors if m and m["dimension"] == dimension and vectors.count() == m["vectors"] else None
 
 
+def chunk_count(records: DataFrame, scope: list | None = None) -> DataFrame:
+    """One row: how many chunks the records (doc_id, chunks) in scope have, all without a scope; 0 without any."""
+    if scope is not None:
+        records = records.where(F.col("doc_id").isin(scope))
+    return records.agg(F.coalesce(F.sum(F.size(F.coalesce("chunks", F.array().cast(records.schema["chunks"].dataType)))), F.lit(0)).cast("long").alias("chunks"))
+
+
 def latest_first(rows: DataFrame, by: str, time: str, key: str) -> DataFrame:
     """rows with `place` in their group, newest first."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time), F.asc(key))))

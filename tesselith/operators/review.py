@@ -196,6 +196,16 @@ def normalised_recommendations(rows: DataFrame) -> DataFrame:
     return d.where("recommended_label is not null and review_item_id is not null and query is not null and source is not null")
 
 
+def in_review_order(items: DataFrame) -> DataFrame:
+    """Review items (query_index, query, rank, review_item_id, …) with `place` from 1: by their query's number, its text in any case, rank and id.
+
+    The window is of one query's items: a batch has few queries, each with few results.
+    """
+    before = items.groupBy("query_index").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("query_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("query_index").orderBy(F.lower("query"), F.coalesce("rank", F.lit(0)), "review_item_id"))
+    return items.join(before.select("query_index", "before"), "query_index").withColumn("place", F.col("before") + own).drop("before")
+
+
 def feedback_payloads(recommendations: DataFrame) -> DataFrame:
     """(review_item_id, query, source, label): what is stored of normalised recommendations that are approved or have a final label; unclear ones aren't."""
     label = F.coalesce("final_label", F.when(F.col("approved"), F.col("recommended_label")))

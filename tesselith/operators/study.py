@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
+from tesselith.operators.speakers import attributed
 from tesselith.operators.review import even_positions
 
 # Kinds of cards, in turn; fillers that are no sentence; characters of a sentence at least, of a cut-off text, a cue, a question and an answer.
@@ -122,3 +123,31 @@ def marked_profiles(sections: DataFrame, markers: dict[str, list[str]]) -> DataF
     d = sections.withColumn("__best", best)
     hit = F.col("__best.n") > 0
     return d.select("doc_id", "section", F.when(hit, F.col("__best.k")).otherwise("estimated").alias("section_type"), F.when(hit, "matched_markers").otherwise("estimated_keywords").alias("confidence"))
+
+
+def summary_sections(items: DataFrame, lines: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Study sections of a cached summary: (doc_id, section, rank, title, tldr, key_points, anchor_text, start_ds, end_ds, evidence_ord, speaker, speaker_role, speaker_confidence).
+
+    items: (doc_id, items array<struct<ord, rank, title, tldr, anchor, start_ds, end_ds>>); lines: (doc_id, lines); episodes: (doc_id, participants, primary_subject, role_claims). An item's
+    evidence is the line that begins nearest to it, the first of equals; what an item lacks comes from there. Documents without lines have no sections. All within the row.
+    """
+    d = items.join(lines.select("doc_id", "lines"), "doc_id").join(episodes.select("doc_id", "participants", "primary_subject", "role_claims"), "doc_id", "left").where("size(lines) > 0")
+    d = d.select("doc_id", "lines", "participants", "primary_subject", "role_claims", F.posexplode("items").alias("pos", "x"))
+    start = F.coalesce("x.start_ds", F.lit(0).cast("long"))
+    near = F.array_min(F.transform("lines", lambda line, i: F.struct(F.abs(line["start_ds"] - F.coalesce(F.col("x.start_ds"), F.lit(0).cast("long"))).alias("apart"), i.alias("i"))))
+    d = d.withColumns({"section": F.col("pos") + 1, "evidence_ord": near["i"], "start_ds": start, "end_ds": F.coalesce("x.end_ds", start)})
+    blank = lambda c: F.nullif(T.clean(c), F.lit(""))
+    title = T.clipped(F.coalesce(blank(F.col("x.title")), F.concat(F.lit("Theme "), F.col("section").cast("string"))), 140)
+    d = d.withColumns({"title": title, "tldr": T.clipped(F.col("x.tldr"), 600), "anchor_text": T.clipped(F.coalesce(blank(F.col("x.anchor")), F.get("lines", F.col("evidence_ord"))["text"]), 220), "rank": F.coalesce("x.rank", "section")})
+    d = d.withColumns({"key_points": F.transform(F.slice(sentences(F.col("tldr")), 1, 4), lambda p: T.clipped(p, 180)), "value": T.clean(F.concat_ws(" ", "title", "tldr", "anchor_text"))})
+    none = {"participants": "array<string>", "role_claims": "array<struct<name:string,role:string>>"}
+    d = d.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()})
+    return attributed(d).select("doc_id", "section", "rank", "title", "tldr", "key_points", "anchor_text", "start_ds", "end_ds", "evidence_ord", "speaker", "speaker_role", "speaker_confidence")
+
+
+def section_topics(sections: DataFrame) -> DataFrame:
+    """Topics of sections as summary_sections() gives them, in their order: (doc_id, rank, title, tldr, key_points, anchor_text, start_ds, end_ds, timestamp, evidence_text)."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))
+    d = sections.withColumn("place", place)
+    text = F.coalesce(F.nullif("anchor_text", F.lit("")), F.nullif("tldr", F.lit("")), F.lit(""))
+    return d.select("doc_id", F.col("place").alias("rank"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Section "), F.col("place").cast("string"))).alias("title"), "tldr", "key_points", "anchor_text", "start_ds", "end_ds", T.clock(F.col("start_ds") / 10.0).alias("timestamp"), text.alias("evidence_text"))

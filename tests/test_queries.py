@@ -4,11 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from tesselith.plans import library_oracles, library_queries, oracles, people_queries, store_queries
+from tesselith.plans import library_oracles, library_queries, oracles, people_queries, search_queries, store_queries
 from tesselith.plans import queries as Q
 
-QUERIES = Q.QUERIES | library_queries.QUERIES | people_queries.QUERIES | store_queries.QUERIES
-ORACLES = oracles.ORACLES | library_oracles.ORACLES | people_queries.ORACLES | store_queries.ORACLES
+QUERIES = Q.QUERIES | library_queries.QUERIES | people_queries.QUERIES | store_queries.QUERIES | search_queries.QUERIES
+ORACLES = oracles.ORACLES | library_oracles.ORACLES | people_queries.ORACLES | store_queries.ORACLES | search_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
