@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselith.operators import answers, router
+from tesselith.functions import text as T
+from tesselith.operators import answers, retrieval, router, segmenter
 from tesselith.plans.oracles import PROFILE
 from tesselith.plans.queries import AS_OF, lines, titles
-from tesselith.sources import loose, published
+from tesselith.sources import connector, loose, published
 from tesselith.sources.scratch import scratch_path
 from tesselith.sources.tables import table
 from tesselith.streaming import jobs
@@ -61,6 +62,38 @@ def loose_records(s, d):
     return rows.union(bad.select("conv_id", F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit("unreadable")))
 
 
+def _from_api(ids):
+    """Stands for a batched service: it fails where a batch holds an id that ends in 13, and knows ids that don't end in 3."""
+    if any(i.endswith("13") for i in ids):
+        raise OSError("quota")
+    return {i: {"title": f"Title {i}", "channel_id": f"c{i[-1]}", "channel_name": None} for i in ids if not i.endswith("3")}
+
+
+def _from_page(ids):
+    """Stands for a page read an id at a time: it knows even numbers and those that end in 13."""
+    return {i: {"title": f"Page {i}"} for i in ids if int(i[1:]) % 2 == 0 or i.endswith("13")}
+
+
+@query
+def metadata_enriched(s, d):
+    """Documents' metadata by a service that takes one id a call here, so that what fails doesn't depend on the batches, and by pages; calls aren't returned."""
+    ids = table(s, d, "documents").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"))
+    return connector.enriched(ids, [("data_api", 1, _from_api), ("page", 1, _from_page)]).select("video_id", "title", "channel_id", "provider", "error")
+
+
+@query
+def segmented_search(s, d):
+    """Conversations without their spaces, cut into words by a lexicon of the benchmark's words (the frequent are cheap), and searched with the benchmark's items."""
+    joined = lambda c: F.replace(F.lower(T.clean(F.col(c))), F.lit(" "), F.lit(""))
+    b = table(s, d, "benchmark")
+    words = b.select(F.explode(F.split(F.lower(T.clean(F.col("text"))), " ")).alias("surface")).where("surface <> ''").groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = words.select("surface", F.greatest(F.lit(1), 12 - F.floor(F.log2("n"))).cast("long").alias("cost"))
+    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), joined("text").alias("text"))
+    docs = segmenter.segmented(c, lexicon, 15).select(F.col("id").alias("doc_id"), F.col("words").alias("tokens"))
+    q = segmenter.segmented(b.select(F.col("item_id").alias("id"), joined("text").alias("text")), lexicon, 15).select(F.col("id").alias("query_id"), F.col("words").alias("terms"))
+    return retrieval.bm25(docs, q, 5).select("query_id", "doc_id", "lexical_score", "rank")
+
+
 QUERIES = dict(Q)
 
 _SECTIONS = PROFILE + ", vs AS (SELECT doc_id, unnest(range(n_sections)) AS section FROM pf)"
@@ -78,6 +111,9 @@ j AS (SELECT job_id, n, a, b, c, coalesce(c, b, a) AS l FROM (SELECT job_id, cou
 z AS (SELECT *, l IS NOT NULL AND l[3] >= 3 AND l[1] + 21600000000 < epoch_us(TIMESTAMP '{AS_OF}') AS stalled FROM j)
 SELECT job_id, CASE WHEN l IS NULL THEN 'unknown' WHEN stalled THEN 'failed' ELSE ['completed', 'failed', 'queued', 'running'][l[3]] END AS status, CASE WHEN stalled THEN 'stalled' ELSE '' END AS reason,
   CASE WHEN stalled THEN l[1] + 21600000000 ELSE l[1] END AS changed_at, ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT)::BIGINT AS applied, n - ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT)::BIGINT AS rejected FROM z""",
+    "metadata_enriched": """WITH i AS (SELECT DISTINCT 'v' || doc_id AS video_id, doc_id FROM documents), k AS (SELECT *, right(video_id, 2) = '13' AS bad, right(video_id, 1) <> '3' AS api, doc_id % 2 = 0 OR right(video_id, 2) = '13' AS page FROM i)
+SELECT video_id, CASE WHEN api AND NOT bad THEN 'Title ' || video_id WHEN page THEN 'Page ' || video_id END AS title, CASE WHEN api AND NOT bad THEN 'c' || right(video_id, 1) END AS channel_id,
+  CASE WHEN api AND NOT bad THEN 'data_api' WHEN page THEN 'page' ELSE 'fallback' END AS provider, CASE WHEN bad THEN 'OSError: quota' ELSE '' END AS error FROM k""",
     "loose_records": """SELECT conv_id, CASE WHEN bad THEN NULL ELSE turn END AS turn, CASE WHEN bad THEN NULL ELSE role END AS role, CASE WHEN bad THEN 'unreadable' ELSE 'read' END AS outcome
 FROM (SELECT *, conv_id % 3 = 2 AND turn = 1 AS bad FROM conversations)""",
 }

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselith.operators import router
-from tesselith.sources import loose, published, records
+from tesselith.operators import router, segmenter
+from tesselith.sources import connector, loose, published, records
 from tesselith.streaming import jobs
 
 
@@ -132,3 +132,47 @@ def test_loose_json(spark, tmp_path):
         p.write_text(text)
         good, unread = records.read_feedback(spark, str(p))
         assert [(r.id, r.label, r.start, r.query_tokens) for r in good.collect()] == [("1", "relevant", 2.5, ["red", "fox"])] and unread.count() == (i == 2)
+
+
+def test_services_in_batches_with_retries_and_fallbacks(spark):
+    calls, ids = spark.sparkContext.accumulator(0), [(f"v{i}",) for i in range(130)] + [("v1",), (None,), (" ",)]
+
+    def api(batch):
+        calls.add(1)
+        assert len(batch) <= 50
+        if "v7" in batch:
+            raise ValueError("down")
+        return {i: {"title": i.upper()} for i in batch if not i.endswith("5")}
+
+    def page(batch):
+        assert len(batch) == 1
+        return {i: {"title": "page"} for i in batch if i != "v15"}
+
+    got = {r.video_id: r for r in connector.enriched(spark.createDataFrame(ids, "video_id string"), [("api", 50, api), ("page", 1, page)], retries=2, partitions=1).collect()}
+    assert set(got) == {f"v{i}" for i in range(130)} and calls.value == 5  # two good batches, and one three times
+    down = {k for k, r in got.items() if r.error}
+    assert "v7" in down and len(down) in (30, 50) and all(got[k].error == "ValueError: down" and got[k].provider == ("fallback" if k == "v15" else "page") and got[k].calls == 4 for k in down)
+    assert got["v15"].provider == "fallback" and got["v15"].title is None and all(got[k].provider == ("page" if k.endswith("5") else "api") for k in set(got) - down - {"v15"})
+
+
+def brute_split(text, costs, unknown):
+    """The best of all ways to cut a text."""
+    ways = []
+    for mask in range(1 << max(0, len(text) - 1)):
+        cuts = [0, *[i + 1 for i in range(len(text) - 1) if mask >> i & 1], len(text)]
+        words = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        if all(w in costs or len(w) == 1 for w in words):
+            ways.append((sum(costs.get(w, unknown) for w in words), len(words), [-len(w) for w in words], words))
+    return min(ways)[3]
+
+
+def test_words_of_texts_without_spaces(spark):
+    r = random.Random(6)
+    lexicon = [("東京", 3), ("京都", 3), ("東京都", 4), ("都", 5), ("に", 1), ("住む", 4), ("ab", 2), ("abc", 2), ("c", 1), ("bc", 2), ("a", 2), ("aa", 3), ("都に", 7), ("ab", 9), (" ", 1), (None, 1), ("x", None)]
+    costs = {"東京": 3, "京都": 3, "東京都": 4, "都": 5, "に": 1, "住む": 4, "ab": 2, "abc": 2, "c": 1, "bc": 2, "a": 2, "aa": 3, "都に": 7}
+    texts = [(i, "".join(r.choice("東京都に住む" if i % 2 else "aabcd") for _ in range(r.randint(0, 11)))) for i in range(60)] + [(100, None), (101, "東京都に 住むab\nx"), (102, "a" * 30_000)]
+    got = {x.id: x.words for x in segmenter.segmented(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(lexicon, "surface string, cost long"), 6).collect()}
+    for i, t in texts[:60]:
+        assert got[i] == (brute_split(t, costs, 6) if t else [])
+    assert got[100] == [] and got[101] == ["東京都", "に", "住む", "ab", "x"] and "".join(got[102]) == "a" * 30_000
+    assert {x.id: x.words for x in segmenter.segmented(spark.createDataFrame([(1, "ab")], "id long, text string"), spark.createDataFrame([], "surface string, cost long")).collect()} == {1: ["a", "b"]}
