@@ -484,19 +484,20 @@ def evidence_assessment(s, d):
     return answers.with_no_results(answers.assessed(rows, "hybrid"), q)
 
 
-@query
-def tool_policy(s, d):
+def tool_side(s, d, rows, mode, tool):
+    """What a tool's results (query_id, doc_id, rank and its score) are worth: (query_id, tool, sufficient, n_rows)."""
     q = adapters.query_table(s, d).select("query_id", F.col("terms").alias("query_tokens"))
     t = doc_tokens(s, d).select("doc_id", F.array_distinct("tokens").alias("row_tokens"))
-    lex = lexical_top(s, d, 5).withColumn("dense_score", F.lit(None).cast("double"))
-    den = dense_top(s, d, 5).withColumn("lexical_score", F.lit(None).cast("double"))
+    other = "dense_score" if mode == "lexical" else "lexical_score"
+    rows = rows.withColumn(other, F.lit(None).cast("double"))
+    a = answers.assessed(rows.join(t, "doc_id").join(q, "query_id"), mode)
+    n = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return answers.with_no_results(a, q).join(n, "query_id", "left").select("query_id", F.lit(tool).alias("tool"), "sufficient", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
-    def side(rows, mode, tool):
-        a = answers.assessed(rows.join(t, "doc_id").join(q, "query_id"), mode)
-        n = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"))
-        return answers.with_no_results(a, q).join(n, "query_id", "left").select("query_id", F.lit(tool).alias("tool"), "sufficient", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
-    return answers.tool_choice(side(lex, "lexical", "keyword_search"), side(den, "dense", "semantic_search"))
+@query
+def tool_policy(s, d):
+    return answers.tool_choice(tool_side(s, d, lexical_top(s, d, 5), "lexical", "keyword_search"), tool_side(s, d, dense_top(s, d, 5), "dense", "semantic_search"))
 
 
 @query

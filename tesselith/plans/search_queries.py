@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.operators import answers, curation, evaluation, library, metrics, multimodal, retrieval, review, speakers, study
-from tesselith.plans.oracles import CLEAN, CUR, GOLD, LEX, LINES, PROFILE, QRY
+from tesselith.plans.oracles import CLEAN, CUR, DENSE, GOLD, LEX, LINES, PROFILE, QRY, RRF, assess, both, scores
 from tesselith.plans.people_queries import episodes
-from tesselith.plans.queries import gold, lexical_top, lines, manifest, titles
-from tesselith.sources import adapters
+from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titles, tool_side
+from tesselith.sources import adapters, fixtures
 from tesselith.sources.tables import table
 
 Q = {}
@@ -106,6 +106,39 @@ def study_section_topics(s, d):
     return study.section_topics(_sections(s, d)).select("doc_id", "rank", "title", "timestamp", "evidence_text")
 
 
+@query
+def baseline_runs(s, d):
+    """The five runs of the baseline configuration over the benchmark: dense, lexical, both fusions, and the agent that goes by its tool policy; one search of each kind."""
+    lexical, dense, q = lexical_top(s, d, TEN), dense_top(s, d, TEN), adapters.query_table(s, d)
+    policy = answers.tool_choice(tool_side(s, d, lexical.where("rank <= 5"), "lexical", "keyword_search"), tool_side(s, d, dense.where("rank <= 5"), "dense", "semantic_search"))
+    ten = lambda x: x.where("rank <= 10").select("query_id", "doc_id", "rank")
+    of = lambda tool, x: ten(x).join(policy.where(F.col("tool") == tool).select("query_id"), "query_id", "left_semi")
+    runs = {
+        "dense": ten(dense), "lexical": ten(lexical), "hybrid_baseline": ten(retrieval.fused_rrf(dense, lexical, 10)), "optimized_hybrid": ten(retrieval.fused_weighted(dense, lexical, 10)),
+        "agentic": of("keyword_search", lexical).union(of("semantic_search", dense)),
+    }
+    g, rows = gold(s, d), None
+    for name, r in runs.items():
+        x = metrics.query_scores(r, g, q).withColumn("run", F.lit(name))
+        rows = x if rows is None else rows.union(x)
+    m = rows.groupBy("run").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("p_5", "r_5", "mrr", "ndcg")])
+    return m.withColumn("quality", F.round(0.40 * F.col("r_5") + 0.35 * F.col("mrr") + 0.25 * F.col("ndcg"), 5))
+
+
+@query
+def fixture_corpora(s, d):
+    """Ten documents as a fixture corpus: their first lines are chunks, with a score for a benchmark item and another; some ids are blank or repeated, some scores null."""
+    i = F.col("doc_id")
+    score = F.create_map(F.concat(F.lit("q"), (i % 40).cast("string")), F.when(i % 6 > 0, i / 1000.0), F.when(i % 5 == 0, "  ").otherwise("other"), F.lit(0.5))
+    chunk = lambda t: F.struct((t["start_ds"] / 10.0).alias("start"), t["text"].alias("text"), score.alias("dense_scores"))
+    name = F.when(i % 10 == 9, "").otherwise(F.concat(F.lit("v"), F.when(i % 10 == 8, i - 8).otherwise(i).cast("string")))
+    one = F.to_json(F.struct(name.alias("video_id"), F.transform(F.slice("lines", 1, 2), chunk).alias("chunks")), {"ignoreNullFields": "false"})
+    g = lines(s, d).select(F.floor(i / 10).cast("string").alias("corpus"), F.struct(i.alias("n"), one.alias("v")).alias("x")).groupBy("corpus").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    t = fixtures.corpus(g.select("corpus", F.concat(F.lit('{"videos":['), F.array_join(F.transform("x", lambda y: y["v"]), ","), F.lit("]}")).alias("json")))
+    counted = [t[name].groupBy("corpus", *(["problem"] if name == "problems" else [])).agg(F.count(F.lit(1)).alias("n")).select("corpus", (F.col("problem") if name == "problems" else F.lit(name)).alias("what"), "n") for name in ("videos", "chunks", "dense_scores", "problems")]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
 QUERIES = dict(Q)
 
 _VS = "(SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (SELECT x.vec_id AS query_id, y.vec_id, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS score FROM embeddings x JOIN embeddings y ON y.vec_id <> x.vec_id AND {on} WHERE x.vec_id % 20 = 0))"
@@ -130,6 +163,25 @@ ss AS (SELECT doc_id, section::INT AS section, CASE section WHEN 2 THEN 9 ELSE s
 ORACLES: dict[str, str] = {
     "multimodal_two_indexes": f"""WITH u AS (SELECT query_id, vec_id AS doc_id, score, 'transcript' AS kind, 0 AS side FROM {_VS.format(on="y.label % 2 = 0")} WHERE r <= 10 UNION ALL SELECT query_id, vec_id, score, 'frame', 1 FROM {_VS.format(on="y.label % 2 = 1 AND y.label NOT IN (3, 5)")} WHERE r <= 10)
 SELECT query_id, doc_id, score, kind, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, side, doc_id)::INT AS rank FROM u QUALIFY rank <= 5""",
+    "baseline_runs": f"""WITH {LEX}, {DENSE}, {both()}, {RRF}, {GOLD},
+l5 AS (SELECT query_id, doc_id, rank, NULL::DOUBLE AS dense_score, lexical_score FROM lex WHERE rank <= 5), d5 AS (SELECT query_id, doc_id, rank, dense_score, NULL::DOUBLE AS lexical_score FROM den WHERE rank <= 5), {assess('l5', 'al', 'lexical')}, {assess('d5', 'ad', 'dense')},
+tp AS (SELECT al.query_id, NOT al.sufficient AND (ad.sufficient OR ad.n > al.n) AS semantic FROM al JOIN ad USING (query_id)),
+wd AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (dense_score - lo) / (hi - lo) END AS dn FROM (SELECT *, min(dense_score) OVER w AS lo, max(dense_score) OVER w AS hi FROM den WHERE rank <= 80 WINDOW w AS (PARTITION BY query_id))),
+wx AS (SELECT *, CASE WHEN hi - lo <= 1e-12 THEN (hi > 0)::INT ELSE (lexical_score - lo) / (hi - lo) END AS ln FROM (SELECT *, min(lexical_score) OVER w AS lo, max(lexical_score) OVER w AS hi FROM lex WHERE rank <= 80 WINDOW w AS (PARTITION BY query_id))),
+wj AS (SELECT coalesce(wd.query_id, wx.query_id) AS query_id, coalesce(wd.doc_id, wx.doc_id) AS doc_id, dense_score, lexical_score, wd.rank AS dr, wx.rank AS lr,
+  round(0.475::DOUBLE * coalesce(dn, 0) + 0.475::DOUBLE * coalesce(ln, 0) + CASE WHEN dn IS NOT NULL AND ln IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END, 6) AS hybrid_score FROM wd FULL JOIN wx ON wd.query_id = wx.query_id AND wd.doc_id = wx.doc_id),
+w10 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, coalesce(lexical_score, 0) DESC, coalesce(dense_score, 0) DESC, lr NULLS LAST, dr NULLS LAST, doc_id) AS rank FROM wj QUALIFY rank <= 10),
+l10 AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 10), d10 AS (SELECT query_id, doc_id, rank FROM den WHERE rank <= 10), r10 AS (SELECT query_id, doc_id, rank FROM rrf WHERE rank <= 10),
+a10 AS (SELECT query_id, doc_id, rank FROM l10 JOIN tp USING (query_id) WHERE NOT semantic UNION ALL SELECT query_id, doc_id, rank FROM d10 JOIN tp USING (query_id) WHERE semantic),
+{scores("d10", "sd")}, {scores("l10", "sl")}, {scores("r10", "sr")}, {scores("w10", "sw")}, {scores("a10", "sa")},
+sc AS (SELECT 'dense' AS run, * FROM sd UNION ALL SELECT 'lexical', * FROM sl UNION ALL SELECT 'hybrid_baseline', * FROM sr UNION ALL SELECT 'optimized_hybrid', * FROM sw UNION ALL SELECT 'agentic', * FROM sa),
+m AS (SELECT run, round(avg(p_5), 6) AS p_5, round(avg(r_5), 6) AS r_5, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM sc GROUP BY 1)
+SELECT *, round(0.40::DOUBLE * r_5 + 0.35::DOUBLE * mrr + 0.25::DOUBLE * ndcg, 5) AS quality FROM m""",
+    "fixture_corpora": f"""WITH {LINES}, dd AS (SELECT doc_id, (doc_id // 10)::VARCHAR AS source, least(2, (SELECT count(*) FROM seg WHERE seg.doc_id = documents.doc_id)) AS n FROM documents),
+k AS (SELECT *, doc_id % 10 = 9 AS blank, doc_id % 10 = 8 AND doc_id - 8 IN (SELECT doc_id FROM documents) AS twice FROM dd), ok AS (SELECT * FROM k WHERE NOT blank AND NOT twice)
+SELECT source AS corpus, 'videos' AS what, count(*) AS n FROM ok GROUP BY 1 UNION ALL SELECT source, 'chunks', sum(n)::BIGINT FROM ok GROUP BY 1 HAVING sum(n) > 0 UNION ALL
+SELECT source, 'dense_scores', sum(n * ((doc_id % 6 > 0)::INT + (doc_id % 5 > 0)::INT))::BIGINT FROM ok GROUP BY 1 HAVING sum(n * ((doc_id % 6 > 0)::INT + (doc_id % 5 > 0)::INT)) > 0 UNION ALL SELECT source, 'no video_id', count(*) FROM k WHERE blank GROUP BY 1 UNION ALL SELECT source, 'video_id repeated', count(*) FROM k WHERE twice GROUP BY 1
+UNION ALL SELECT source, 'score not usable', sum(n * ((doc_id % 6 = 0)::INT + (doc_id % 5 = 0)::INT))::BIGINT FROM ok GROUP BY 1 HAVING sum(n * ((doc_id % 6 = 0)::INT + (doc_id % 5 = 0)::INT)) > 0""",
     "transcript_side_alone": f"WITH {LEX} SELECT query_id, doc_id, lexical_score AS score, 'transcript' AS kind, rank FROM lex WHERE rank <= 5",
     "inference_filter": f"WITH {CUR} SELECT 'run-1:' || evidence_id AS inference_run_id, qs AS score FROM ce WHERE evidence_id = 'corpus:v1:1:transcript:000000'",
     "manifest_browse": f"""WITH {CUR} SELECT evidence_id, qs AS quality_score FROM ce WHERE inc AND list_contains(tags, 'technology')

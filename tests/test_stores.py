@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselith.operators import router, segmenter
-from tesselith.sources import connector, loose, published, records
+from tesselith.sources import connector, fixtures, loose, published, records
 from tesselith.streaming import jobs
 
 
@@ -176,3 +176,20 @@ def test_words_of_texts_without_spaces(spark):
         assert got[i] == (brute_split(t, costs, 6) if t else [])
     assert got[100] == [] and got[101] == ["東京都", "に", "住む", "ab", "x"] and "".join(got[102]) == "a" * 30_000
     assert {x.id: x.words for x in segmenter.segmented(spark.createDataFrame([(1, "ab")], "id long, text string"), spark.createDataFrame([], "surface string, cost long")).collect()} == {1: ["a", "b"]}
+
+
+def test_fixture_corpora(spark, tmp_path):
+    good = {"name": "x", "videos": [
+        {"video_id": "a", "title": "A", "language": "en", "transcript_segments": [{"start": 0, "end": 2.5, "text": " one "}, {"start": 3, "text": " "}, {"start": 4, "text": "two"}],
+         "chunks": [{"start": 0, "end": 5, "text": "one", "dense_scores": {"q1": 0.5, "q2": None, " ": 1}}, {"text": "", "embed_text": "e", "semantic_terms": ["t"]}]},
+        {"video_id": " "}, {"video_id": "a", "title": "again"}, {"video_id": "b"},
+    ]}
+    for name, text in (("g.json", json.dumps(good)), ("broken.json", "{"), ("none.json", '{"videos": []}')):
+        (tmp_path / name).write_text(text)
+    t = fixtures.read_corpora(spark, str(tmp_path))
+    rows = lambda name: sorted(tuple(r) for r in t[name].collect())
+    assert rows("videos") == [("g.json", "a", "A", "https://media.example/watch?v=a", "en", 2), ("g.json", "b", "Video b", "https://media.example/watch?v=b", "ja", 0)]
+    assert rows("segments") == [("g.json", "a", 0, 0.0, 2.5, "one"), ("g.json", "a", 1, 4.0, 4.0, "two")]
+    assert rows("chunks") == [("g.json", "a", 0, 0.0, 5.0, "one", "one", []), ("g.json", "a", 1, 0.0, 0.0, "", "e", ["t"])]
+    assert rows("dense_scores") == [("g.json", "a", 0, "q1", 0.5)]
+    assert rows("problems") == [("broken.json", "", "no videos"), ("g.json", "1", "no video_id"), ("g.json", "2", "video_id repeated"), ("g.json", "a:0", "score not usable"), ("g.json", "a:0", "score not usable"), ("g.json", "a:1", "chunk without text"), ("none.json", "", "no videos")]
