@@ -221,7 +221,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all their columns, scored at the threshold or more. Only labelled rows are joined; texts are shuffled only if the labels are too many to send."""
+    """The rows of docs, all their columns, scored at the threshold or more, as scored() scores them. Only labelled rows are joined; texts are shuffled only if the labels are too many to send.
+
+    Null and empty texts are scored as texts without words, null ids count for no label and stay or go by their text, equal rows stay or go together, and an empty table gives an empty result. Columns may have any names.
+    """
     known = written(labels.select(F.col(id_col).alias("__tl_id")).distinct(), "qc-labelled")
     some = docs.join(small(known), F.col(id_col) == F.col("__tl_id"), "left_semi").select(id_col, text_col)
     stats = with_statistics(some, id_col, text_col)

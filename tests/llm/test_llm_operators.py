@@ -706,13 +706,42 @@ def test_classifier(spark):
     assert {x.score for x in classifier.scored(d.limit(5), y.limit(0)).collect()} == {0.5}
 
 
-def test_isotonic_is_least_squares():
+def test_isotonic_rises():
     g = np.random.default_rng(1)
     p, t = g.integers(0, 6, 30).astype(float), np.full(30, 6.0)
     x, y = classifier.isotonic(np.arange(30.0), p, t)
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
 
 
+def test_classifier_against_a_direct_fit(spark):
+    """The scores are those of one ridge regression over all labelled rows at once, in double precision, and of shares counted in plain bins."""
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice(WORDS).upper() if i % 3 == 0 else r.choice(WORDS) for _ in range(r.randint(0, 80)))) for i in range(600)]
+    labels = {i: int((i % 3 > 0) != (r.random() < 0.1)) for i in range(600) if i % 7}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.score for x in classifier.scored(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in rows}
+    stats = np.array([classifier.statistics(t) for _, t in rows])
+    train = [i for i in labels if part[i] in (0, 1)]
+    x, y = stats[train], np.array([labels[i] for i in train], float)
+    g = np.random.default_rng(classifier.SEED)
+    width = x.shape[1]
+    waves, phases = g.normal(size=(width, classifier.FEATURES)) / classifier.BANDWIDTH, g.uniform(0, 2 * np.pi, classifier.FEATURES)
+    z = np.clip((stats - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    z = np.hstack([np.sqrt(2 / len(phases)) * np.cos(z @ waves + phases), z * 0.05, np.ones((len(z), 1))])
+    # ridge as least squares over more rows
+    root = np.sqrt(np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
+    a = np.vstack([z[train] * root[:, None], np.sqrt(classifier.RIDGE) * np.eye(z.shape[1])])
+    raw = z @ np.linalg.lstsq(a, np.r_[y * root, np.zeros(z.shape[1])], rcond=None)[0]
+    bins = defaultdict(list)
+    for i in labels:
+        if part[i] == 3:
+            bins[min(classifier.BINS - 1, max(0, int((raw[i] + 0.5) / 2 * classifier.BINS)))].append(i)
+    knots = classifier.isotonic(*(np.array([f(bins[b]) for b in sorted(bins)]) for f in (lambda k: raw[k].mean(), lambda k: float(sum(labels[i] for i in k)), lambda k: float(len(k)))))
+    want = np.clip(np.interp(raw, *knots), 0, 1)
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 # pseudo-likelihood
 
 
