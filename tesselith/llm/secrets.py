@@ -8,11 +8,10 @@ distinct string trains once, and no origin weighs more than a set mass. The text
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselith.functions import text as T
 from tesselith.llm.common import written
 
 #: Fixed patterns, by kind; a match counts from so many characters of its value.
@@ -40,19 +39,6 @@ PARTS = (
 _SPAN = "array<struct<start:bigint,end:bigint,s:string>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def running_totals(a: Column, chunk: int = 512) -> Column:
-    """Of an array of longs, the sum before each element. In chunks: appending to one long array would copy it again and again."""
-    zero = F.array(F.lit(0).cast("long"))
-    fold = lambda xs, by: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + by(x))))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda i: fold(F.slice(a, i * chunk + 1, F.lit(chunk)), lambda x: x))
-    whole = lambda ps: F.flatten(F.zip_with(ps, F.slice(fold(ps, lambda p: F.element_at(p, -1)), 1, F.size(ps)), lambda p, base: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + base)))
-    return F.when(F.size(a) > 0, _let(parts, whole)).otherwise(F.array().cast("array<bigint>"))
-
-
 def spans(text: Column, pattern: str, value_group: int = 0) -> Column:
     """The leftmost matches that don't overlap: start and end in characters, and the value (a group of the match). What lies between them gives their places."""
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
@@ -61,12 +47,12 @@ def spans(text: Column, pattern: str, value_group: int = 0) -> Column:
 
     def placed(x: Column) -> Column:
         steps = F.zip_with(x["m"], x["b"], lambda m, b: m + b)
-        starts = F.zip_with(running_totals(steps), x["b"], lambda at, b: at + b)
+        starts = F.zip_with(T.running_totals(steps), x["b"], lambda at, b: at + b)
         ends = F.zip_with(starts, x["m"], lambda at, m: F.struct(at.alias("start"), (at + m).alias("end")))
         return F.zip_with(ends, values, lambda e, s: F.struct(e["start"].alias("start"), e["end"].alias("end"), s.alias("s")))
 
     both = F.struct(lengths(found).alias("m"), F.slice(lengths(between), F.lit(1), F.size(found)).alias("b"))
-    return F.when(text.rlike(pattern), _let(both, placed)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+    return F.when(text.rlike(pattern), T.let(both, placed)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
 def runs(text: Column) -> Column:
@@ -75,7 +61,7 @@ def runs(text: Column) -> Column:
     def apart(text: Column) -> Column:
         gaps, found = F.split(text, ASSIGN, -1), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
         steps = F.zip_with(F.transform(gaps, F.length), F.transform(found, F.length), lambda g, m: (g + F.coalesce(m, F.lit(0))).cast("long"))
-        at = F.arrays_zip(running_totals(steps).alias("o"), gaps.alias("g"))
+        at = F.arrays_zip(T.running_totals(steps).alias("o"), gaps.alias("g"))
         each = lambda x: F.transform(spans(x["g"], RUN), lambda m: F.struct((m["start"] + x["o"]).alias("start"), (m["end"] + x["o"]).alias("end"), m["s"].alias("s")))
         return F.flatten(F.transform(at, each))
 
@@ -125,7 +111,7 @@ def ratios(samples: DataFrame) -> list[float]:
 def log_ratio(s: Column, model: list[float]) -> Column:
     """The log-likelihood ratio of a string of ALPHABET's characters."""
     held = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
-    step = lambda acc, c: _let(_state(c), lambda b: F.struct(b.alias("a"), (acc["x"] + F.coalesce(F.get(held, acc["a"] * STATES + b), F.lit(0.0))).alias("x")))
+    step = lambda acc, c: T.let(_state(c), lambda b: F.struct(b.alias("a"), (acc["x"] + F.coalesce(F.get(held, acc["a"] * STATES + b), F.lit(0.0))).alias("x")))
     return F.aggregate(F.split(s, ""), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("x")), step, lambda acc: acc["x"])
 
 
