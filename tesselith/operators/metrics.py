@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,19 +142,35 @@ def routing_report(scores: DataFrame, digits: int = 6) -> DataFrame:
     return d.withColumn("coverage", F.when(F.col("scored") == 0, "empty").when(F.col("scored") < F.col("n"), "partial").otherwise("complete"))
 
 
+#: Ranks on either side of a percentile that are looked at, as a share of the group; sketches err by a tenth of it at most.
+BRACKET, ACCURACY = 0.001, 10_000
+
+
 def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], digits: int = 6) -> DataFrame:
     """(by, *shares): percentiles of the values that aren't null, interpolated between neighbours; null in a group without any.
 
-    A sort within each group, which spills; no buffer holds a group's values.
+    Exact, without sorting groups: mergeable sketches give a bracket around each percentile, values below it are counted, and only those inside, a five-hundredth of a
+    large group, are numbered. Of groups of less than ACCURACY values the sketch holds all.
     """
-    d = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
-    n = rows.groupBy(by).agg(F.count(value).alias("n"))
-    d = d.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("v")) - 1).join(n.where("n > 0"), by)
-    place = lambda q: (F.col("n") - 1) * F.lit(q)
-    near = [F.floor(place(q)) == F.col("at") for q in shares.values()] + [F.ceil(place(q)) == F.col("at") for q in shares.values()]
-    d = d.where(reduce(or_, near))
-    pick = lambda c: F.max(F.when(c == F.col("at"), F.col("v")))
-    g = d.groupBy(by).agg(F.first("n").alias("n"), *[x for k, q in shares.items() for x in (pick(F.floor(place(q))).alias(f"{k}_lo"), pick(F.ceil(place(q))).alias(f"{k}_hi"))])
-    between = lambda k, q: F.col(f"{k}_lo") + (place(q) - F.floor(place(q))) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))
-    out = g.select(by, *[F.round(between(k, q), digits).alias(k) for k, q in shares.items()])
-    return n.select(by).join(out, by, "left")
+    names = list(shares)
+    d = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("group"), F.col(value).cast("double").alias("v"))
+    ends = [min(1.0, max(0.0, q + e)) for q in shares.values() for e in (-BRACKET, BRACKET)]
+    g = d.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("ends"))
+    # a small sketch may end a bracket between the two neighbours that are interpolated: the neighbours beyond are counted and kept as well
+    x = d.join(g, "group")
+    low, high = (lambda i: F.get("ends", F.lit(2 * i))), (lambda i: F.get("ends", F.lit(2 * i + 1)))
+    around = x.groupBy("group").agg(
+        *[F.count_if(F.col("v") < low(i)).alias(f"below_{i}") for i in range(len(names))], *[F.max(F.when(F.col("v") < low(i), F.col("v"))).alias(f"before_{i}") for i in range(len(names))],
+        *[F.count_if(F.col("v") <= high(i)).alias(f"to_{i}") for i in range(len(names))], *[F.min(F.when(F.col("v") > high(i), F.col("v"))).alias(f"after_{i}") for i in range(len(names))],
+    )
+    inside = F.filter(F.array(*[F.when((F.col("v") >= low(i)) & (F.col("v") <= high(i)), F.lit(i)) for i in range(len(names))]), lambda k: k.isNotNull())
+    few = x.select("group", "n", "v", F.explode(inside).alias("k"))
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("group", "k").orderBy("v")) - 1).join(around, "group")
+    of = lambda name: F.element_at(F.array(*[F.col(f"{name}_{i}") for i in range(len(names))]), F.col("k") + 1)
+    spot = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in shares.values()]), F.col("k") + 1)
+    few = few.withColumns({"at": of("below") + F.col("place"), "spot": spot, "before": of("before"), "below": of("below"), "after": of("after"), "to": of("to")})
+    pick = lambda c: F.coalesce(F.max(F.when(c == F.col("at"), F.col("v"))), F.max(F.when(c == F.col("below") - 1, F.col("before"))), F.max(F.when(c == F.col("to"), F.col("after"))), F.raise_error(F.lit("a percentile outside its bracket")).cast("double"))
+    z = few.groupBy("group", "k").agg(pick(F.floor("spot")).alias("lo"), pick(F.ceil("spot")).alias("hi"), F.first("spot").alias("spot"))
+    between = F.round(F.col("lo") + (F.col("spot") - F.floor("spot")) * (F.col("hi") - F.col("lo")), digits)
+    out = z.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, between)).alias(name) for i, name in enumerate(names)])
+    return rows.select(by).distinct().join(out.withColumnRenamed("group", by), by, "left")

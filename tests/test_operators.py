@@ -240,3 +240,24 @@ def test_streams(spark, tmp_path):
     (src / "2.json").write_text(json.dumps({"ts": "2024-01-01T00:09:00", "level": "info", "event": "e", "job_id": "j0", "message": "9"}) + "\n" + json.dumps({"ts": "2023-01-01T00:00:00", "level": "info", "event": "e", "job_id": "j1", "message": "late"}))
     run()
     assert {r.job_id: r.message for r in events.current(spark, str(tmp_path / "t")).collect()} == {"j0": "9", "j1": "3"}
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    """Against numpy: ties, few values, one group that holds most rows, brackets of a few ranks, nulls."""
+    import numpy as np
+
+    from tesselith.operators import metrics
+
+    g = np.random.default_rng(4)
+    groups = {"hot": np.r_[np.full(4000, 7.0), g.normal(size=9000) * 100], "ties": g.integers(0, 3, 500).astype(float), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "few": g.normal(size=37)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("few", None)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    shares = {"low": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    for bracket, accuracy in ((metrics.BRACKET, metrics.ACCURACY), (0.05, 100)):
+        monkeypatch.setattr(metrics, "BRACKET", bracket)
+        monkeypatch.setattr(metrics, "ACCURACY", accuracy)
+        got = {r.k: r for r in metrics.percentiles(d, "k", "v", shares).collect()}
+        for k, vs in groups.items():
+            for name, q in shares.items():
+                assert abs(got[k][name] - np.percentile(vs, 100 * q)) < 1e-6, (k, name)
+        assert got["none"].p50 is None and len(got) == 6
