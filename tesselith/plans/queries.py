@@ -587,8 +587,9 @@ def even_sampling(s, d):
 
 @query
 def anchor_timestamps(s, d):
-    x = lines(s, d).where("size(lines) >= 3")
-    at = "named_struct('item', {i}L, 'anchor', substring(lines[{p}].text, 5, 40), 'at_ds', lines[{p}].start_ds)"
+    """Each document's first, middle and last lines as items, their whole text as anchors."""
+    x = lines(s, d).where("size(lines) > 0")
+    at = "named_struct('item', {i}L, 'anchor', lines[{p}].text, 'at_ds', lines[{p}].start_ds)"
     items = x.select("doc_id", F.expr(f"array({at.format(i=0, p=0)}, {at.format(i=1, p='size(lines) div 2')}, {at.format(i=2, p='size(lines) - 1')})").alias("items"))
     return review.anchors_resolved(items, x)
 

@@ -261,3 +261,47 @@ def test_percentiles_are_exact(spark, monkeypatch):
             for name, q in shares.items():
                 assert abs(got[k][name] - np.percentile(vs, 100 * q)) < 1e-6, (k, name)
         assert got["none"].p50 is None and len(got) == 6
+
+
+def test_tokens_take_time_by_their_length(spark):
+    """As many characters in ten times longer texts take about as long: nothing is quadratic."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tesselith.functions import text as T
+
+    def seconds(n, rows):
+        d = spark.range(rows).select(F.concat(F.lit("あ"), F.repeat(F.concat(F.lit("いろは ab"), F.col("id").cast("string")), n // 7)).alias("t")).coalesce(1)
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            d.select(F.size(T.lexical_tokens(F.col("t"))), F.size(T.routing_tokens(F.col("t")))).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(60_000, 10) < 4 * seconds(3_000, 200) + 0.5
+    got = spark.createDataFrame([("東京都 x",), ("あ",), ("",), (None,), ("😀あ",)], "t string").select(T.lexical_tokens(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [["東京", "京都", "都x", "東京都", "x"], ["あ", "あ"], [], [], ["😀あ", "😀あ"]]
+
+
+def test_characters_and_topics_of_batches(spark):
+    """The commonest meaningful character, and topics, against a count in Python."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tesselith.functions import vocab as V
+    from tesselith.operators import curation
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("aAbB1 .,é東あ漫画Ω😀") for _ in range(r.randint(0, 60))) for _ in range(300)] + ["", None, "...", "The API of the Company", "aaaa" * 4000, "マンガの企業"]
+    d = spark.createDataFrame([(i, t, "en", 0.0, 1.0) for i, t in enumerate(texts)], "i long, text string, language string, start_sec double, end_sec double").repartition(2)
+    good = lambda c: ("a" <= c <= "z") or ("A" <= c <= "Z") or ("0" <= c <= "9") or any(lo <= ord(c) <= hi for lo, hi in curation._JAPANESE)
+    for x in curation.signals(d).withColumn("topics", curation.topics(F.col("text"), cleaned=True)).collect():
+        text = " ".join((texts[x.i] or "").split())
+        n = Counter(c for c in text.lower() if good(c))
+        assert x.meaningful == sum(map(good, text)) and abs(x.top_char - (max(n.values()) / sum(n.values()) if n else 1.0)) < 1e-12
+        found = [t for t, ws in V.TOPICS.items() if any(w.lower() in text.lower() for w in ws)]
+        assert x.topics == (found or (["general"] if n else ["unknown"]))
