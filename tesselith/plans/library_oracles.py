@@ -112,6 +112,11 @@ SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
     "merged_languages": f"""WITH {LEX}, {DENSE}, u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM den WHERE rank <= 10), g AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM g) WHERE rank <= 10""",
     "context_blocks": f"WITH {LEX} SELECT query_id, string_agg('【Document ' || doc_id || '】(' || {MS.format(s='n_chars')} || '-' || {MS.format(s='(n_chars + 30)')} || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM lex JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1",
+    "rerank": f"""WITH {LEX}, r AS (SELECT query_id, doc_id, lexical_score AS base_score, rank AS prior_rank, CASE WHEN rank <= 20 THEN len(list_intersect(list_distinct(terms), string_split_regex(lower(text), '\\s+')))::DOUBLE / greatest(1, len(list_distinct(terms))) END AS m
+  FROM lex JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 30),
+f AS (SELECT *, greatest(0, min(m) OVER w) AS fl, count(*) FILTER (prior_rank > 20) OVER w AS n FROM r WINDOW w AS (PARTITION BY query_id)),
+s AS (SELECT query_id, doc_id, base_score, prior_rank, round(coalesce(m, fl * (n - (prior_rank - 21)) / (n + 1)), 6) AS rerank_score FROM f)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, prior_rank)::INT AS rank FROM s""",
     "lexical_multilingual": f"""WITH t0 AS (SELECT doc_id, {KANA.format(i='doc_id')} FROM documents), tokm AS (SELECT doc_id, {MIXED} AS tokens FROM t0), q0 AS (SELECT item_id, {KANA.format(i='item_id')} FROM benchmark), q1 AS (SELECT item_id AS query_id, {MIXED} AS terms FROM q0),
 qu AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM q1) GROUP BY 1, 2), {lexical("tokm")} SELECT query_id, doc_id, lexical_score, rank FROM lex WHERE rank <= 10""",
     "review_batch": f"""WITH {LEX}, r AS (SELECT array_to_string(terms, ' ') AS query, source, doc_id, n_chars / 4.0::DOUBLE AS s, greatest(n_chars / 4.0::DOUBLE, n_chars / 5.0::DOUBLE) AS e, rank, lexical_score FROM lex JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 10 AND doc_id % 9 > 0 AND source IS NOT NULL),
