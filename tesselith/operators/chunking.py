@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +17,37 @@ CHUNK = "doc_id long, chunk_index long, start_ds long, end_ds long, first_ord lo
 _END = re.compile(r"[.!?。！？]\s*$")
 
 
-def _mapped(lines: DataFrame, cut) -> DataFrame:
-    """cut: list of (start, end, text) -> list of (first, last + 1)."""
+#: Documents whose lines are Python objects at once, and characters of chunks that are kept back for a batch.
+DOCS, CHARS = 64, 1 << 21
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for doc, rows in zip(f.doc_id, f.lines, strict=True):
-                rows = [(r["start_ds"], r["end_ds"], r["text"]) for r in rows]
-                for i, (a, b) in enumerate(cut(rows)):
-                    out.append((doc, i, rows[a][0], rows[b - 1][1], a, b - a, " ".join(r[2].strip() for r in rows[a:b]).strip()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
 
-    return lines.select("doc_id", "lines").mapInPandas(run, CHUNK)
+def _mapped(lines: DataFrame, cut) -> DataFrame:
+    """cut: list of (start, end, text) -> list of (first, last + 1). Memory is a batch of Arrow, and a few documents and chunks: batches are read and written in parts."""
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    kinds = pa.schema([(n, pa.string() if n == "raw_text" else pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DOCS):
+                part = batch.slice(lo, DOCS)
+                x = part.column(1).flatten()
+                rows = list(zip(*(x.field(c).to_pylist() for c in ("start_ds", "end_ds", "text")), strict=True))
+                at = 0
+                for doc, n in zip(part.column(0).to_pylist(), pc.list_value_length(part.column(1)).to_pylist(), strict=True):
+                    mine, at = rows[at : at + (n or 0)], at + (n or 0)
+                    for i, (a, b) in enumerate(cut(mine)):
+                        out.append((doc, i, mine[a][0], mine[b - 1][1], a, b - a, " ".join(r[2].strip() for r in mine[a:b]).strip()))
+                        held += len(out[-1][-1])
+                        if held > CHARS:
+                            yield batch_of(out)
+                            out, held = [], 0
+            if out:
+                yield batch_of(out)
+                out, held = [], 0
+
+    return lines.select(F.col("doc_id").cast("long").alias("doc_id"), "lines").mapInArrow(run, CHUNK)
 
 
 def by_time(lines: DataFrame, window: float = 60, overlap: float = 15) -> DataFrame:

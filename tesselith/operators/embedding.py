@@ -7,11 +7,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts whose vectors are made at once.
+PART = 512
+
+
 def hash_vector(text: str | None, dim: int = 768, seen: dict | None = None) -> list[float]:
     """Each character of the cleaned text adds or takes one at a place, both from its 8-byte BLAKE2b digest; then unit length."""
     seen = {} if seen is None else seen
@@ -29,12 +33,16 @@ def hash_vector(text: str | None, dim: int = 768, seen: dict | None = None) -> l
 def hash_embeddings(texts: DataFrame, dim: int = 768) -> DataFrame:
     """(doc_id, embedding) of (doc_id, text)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "embedding": [hash_vector(t, dim, seen) for t in f.text]})
-
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, embedding array<double>")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PART):
+                part = batch.slice(lo, PART)
+                x = np.array([hash_vector(t, dim, seen) for t in part.column(1).to_pylist()])
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], ["doc_id", "embedding"])
+
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, embedding array<double>")
 
 
 def unit(v: Column) -> Column:

@@ -76,3 +76,28 @@ def test_days_of_jobs_round_as_in_sql(spark, tmp_path):
     got, result = QUERIES["job_state_table"](spark, str(tmp_path)), c.execute(ORACLES["job_state_table"])
     columns = [d[0] for d in result.description]
     assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_chunks_are_cut_in_parts_of_a_batch(spark, monkeypatch):
+    lines = [(i, [(10 * j, 10 * j + 10, f" Line {j}. " if j % 2 else "word") for j in range(i % 5)]) for i in range(300)]
+    d = spark.createDataFrame(lines, "doc_id long, lines array<struct<start_ds:long,end_ds:long,text:string>>").coalesce(1)
+    got = Q.chunking.by_sentence(d, 12)
+    assert "MapInArrow" in plan(got) and "MapInPandas" not in plan(got)
+    texts = lambda rows: sorted((r.doc_id, r.chunk_index, r.first_ord, r.n_lines, r.start_ds, r.end_ds, r.raw_text) for r in rows)
+    whole = texts(got.collect())
+    assert [x for x in whole if x[0] == 4] == [(4, 0, 0, 2, 0, 20, "word Line 1."), (4, 1, 2, 2, 20, 40, "word Line 3.")] and {x[0] for x in whole} == {i for i in range(300) if i % 5}
+    monkeypatch.setattr(Q.chunking, "DOCS", 1)
+    monkeypatch.setattr(Q.chunking, "CHARS", 1)
+    assert texts(Q.chunking.by_sentence(d, 12).collect()) == whole
+
+
+def test_dense_scores_a_few_queries_at_a_time(spark, monkeypatch):
+    """A block of scores is bounded whatever the tile, and rows without a scope match none, as in SQL."""
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], None if i % 4 == 0 else i % 3) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, scope long")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    plain_top = lambda: sorted(tuple(r) for r in Q.retrieval.dense_topk(v, q, 3, scoped=True).collect())
+    whole = plain_top()
+    assert {x[0] for x in whole} == {i for i in range(60) if i % 4}
+    monkeypatch.setattr(Q.retrieval, "SCORES", 1)
+    assert plain_top() == whole
