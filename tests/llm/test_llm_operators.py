@@ -713,6 +713,24 @@ def test_isotonic_rises():
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
 
 
+def test_classifier_adds_arrays_whole(spark, monkeypatch):
+    """Partial sums of partitions are added as arrays: taken apart, they'd be a row a number and partition."""
+
+    def refused(*_):
+        raise AssertionError("exploded")
+
+    monkeypatch.setattr(classifier.F, "posexplode", refused)
+    rows = spark.range(100).selectExpr("cast(id as double) as x").repartition(7)
+
+    def run(batches):
+        s = sum(sum(b.column(0).to_pylist()) for b in batches)
+        yield classifier.pa.RecordBatch.from_arrays([classifier.pa.array([0, 1], classifier.pa.int32()), classifier.pa.array([[s, 1.0, 0.5], [2 * s]], classifier.pa.list_(classifier.pa.float64()))], ["i", "x"])
+
+    got = classifier._summed(rows, run, 2)
+    assert got[0].tolist() == [4950.0, 7.0, 3.5] and got[1].tolist() == [9900.0]
+    assert classifier._summed(rows.limit(0), lambda batches: iter(()), 2) == {}
+
+
 def test_classifier_against_a_direct_fit(spark):
     """The scores are those of one ridge regression over all labelled rows at once, in double precision, and of shares counted in plain bins."""
     r = random.Random(11)
