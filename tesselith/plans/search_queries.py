@@ -10,6 +10,7 @@ from tesselith.plans.oracles import CLEAN, CUR, DENSE, GOLD, LEX, LINES, PROFILE
 from tesselith.plans.people_queries import episodes
 from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titles, tool_side
 from tesselith.sources import adapters, fixtures
+from tesselith.sources.scratch import written
 from tesselith.sources.tables import table
 
 Q = {}
@@ -109,7 +110,7 @@ def study_section_topics(s, d):
 @query
 def baseline_runs(s, d):
     """The five runs of the baseline configuration over the benchmark: dense, lexical, both fusions, and the agent that goes by its tool policy; one search of each kind."""
-    lexical, dense, q = lexical_top(s, d, TEN), dense_top(s, d, TEN), adapters.query_table(s, d)
+    lexical, dense, q = written(lexical_top(s, d, TEN), "lexical-top"), written(dense_top(s, d, TEN), "dense-top"), adapters.query_table(s, d)
     policy = answers.tool_choice(tool_side(s, d, lexical.where("rank <= 5"), "lexical", "keyword_search"), tool_side(s, d, dense.where("rank <= 5"), "dense", "semantic_search"))
     ten = lambda x: x.where("rank <= 10").select("query_id", "doc_id", "rank")
     of = lambda tool, x: ten(x).join(policy.where(F.col("tool") == tool).select("query_id"), "query_id", "left_semi")
@@ -117,7 +118,7 @@ def baseline_runs(s, d):
         "dense": ten(dense), "lexical": ten(lexical), "hybrid_baseline": ten(retrieval.fused_rrf(dense, lexical, 10)), "optimized_hybrid": ten(retrieval.fused_weighted(dense, lexical, 10)),
         "agentic": of("keyword_search", lexical).union(of("semantic_search", dense)),
     }
-    g, rows = gold(s, d), None
+    g, rows = written(gold(s, d), "gold"), None
     for name, r in runs.items():
         x = metrics.query_scores(r, g, q).withColumn("run", F.lit(name))
         rows = x if rows is None else rows.union(x)

@@ -101,3 +101,27 @@ def test_dense_scores_a_few_queries_at_a_time(spark, monkeypatch):
     assert {x[0] for x in whole} == {i for i in range(60) if i % 4}
     monkeypatch.setattr(Q.retrieval, "SCORES", 1)
     assert plain_top() == whole
+
+
+def test_scores_are_summed_in_the_row(spark, monkeypatch):
+    """(query, document) pairs aren't shuffled: the plan has no aggregate; ties, repeated terms and repeated ids as by the join."""
+    r = np.random.default_rng(5)
+    docs = [(i, [f"t{x}" for x in r.integers(0, 12, r.integers(0, 9))]) for i in range(400)]
+    queries = [(i, [f"t{x}" for x in r.integers(0, 15, i % 5)]) for i in range(30)]
+    q = spark.createDataFrame(queries, "query_id long, terms array<string>")
+    got = lambda rows: Q.retrieval.bm25(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), q, 7)
+    found = lambda rows: sorted(tuple(x) for x in got(rows).collect())
+    p = plan(got(docs))
+    assert "MapInArrow" in p and "Aggregate" not in p and "WindowGroupLimit" in p
+    first, twice = found(docs), found([*docs, (3, ["t1"]), (None, ["t2"])])
+    monkeypatch.setattr(Q.retrieval, "KEPT", -1000)
+    monkeypatch.setattr(Q.retrieval, "SCORES", 90)
+    assert found(docs) == first
+    monkeypatch.setattr(Q.retrieval, "HELD", 0)
+    assert found(docs) == first and found([*docs, (3, ["t1"]), (None, ["t2"])]) == twice
+
+
+def test_pairs_that_are_wanted_become_rows(spark):
+    d = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, ["b"]), (3, ["a"]), (4, ["b", "a"]), (5, [])], "doc_id long, tokens array<string>").coalesce(1)
+    got = lambda wanted: sorted(tuple(r) for r in Q.retrieval.pairs_found(d, wanted).collect())
+    assert got([("a", "b"), ("b", "a"), ("b", "x")]) == [(1, "a b"), (4, "b a")] and got([]) == []
