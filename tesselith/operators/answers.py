@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.functions import vocab as V
-from tesselith.operators.retrieval import ranked
+from tesselith.operators.retrieval import overlap_topk, ranked
 
 
 def read_context(lines: DataFrame, requests: DataFrame) -> DataFrame:
@@ -142,11 +142,13 @@ def multi_vector_scores(hits: DataFrame, digits: int = 9) -> DataFrame:
     return d.select("query_id", "source_id", F.round(0.85 * F.col("mv") + 0.15 * F.coalesce("identity", "mv"), digits).alias("dense_score"))
 
 
-def lexical_overlap(queries: DataFrame, sources: DataFrame, digits: int = 6) -> DataFrame:
+def lexical_overlap(queries: DataFrame, sources: DataFrame, digits: int = 6, k: int | None = None) -> DataFrame:
     """(query_id, source_id, lexical_score): shared tokens over the root of the product of the set sizes, by a join on tokens.
 
-    queries: (query_id, tokens); sources: (source_id, tokens); both arrays distinct.
+    queries: (query_id, tokens); sources: (source_id, tokens); both arrays distinct. With k only each query's first k, ties by source_id, where they can be counted within a source's row: no pairs are shuffled.
     """
+    if k and (best := overlap_topk(queries, sources, k, digits)) is not None:
+        return best
     q = queries.select("query_id", F.size("tokens").alias("qn"), F.explode("tokens").alias("t"))
     s = sources.select("source_id", F.size("tokens").alias("sn"), F.explode("tokens").alias("t"))
     g = s.join(q, "t").groupBy("query_id", "source_id").agg(F.count(F.lit(1)).alias("n"), F.first("qn").alias("qn"), F.first("sn").alias("sn"))

@@ -70,21 +70,23 @@ def review_order(s, d):
     return review.in_review_order(items).select("query_index", "review_item_id", "place")
 
 
-def route_scores(s, d, channel: bool):
+def route_scores(s, d, channel: bool, found):
+    """found: the gold, as a written table."""
     p = answers.profiles(lines(s, d), titles(s, d)).join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
     text = F.concat_ws("\n", *(["source"] if channel else []), "lexical_text")
     sources = p.select(F.col("doc_id").alias("source_id"), T.routing_tokens(text).alias("tokens"))
     q = adapters.query_table(s, d).select("query_id", F.array_distinct("terms").alias("tokens"))
-    top = retrieval.ranked(answers.lexical_overlap(q, sources), "query_id", [F.desc("lexical_score"), F.asc("source_id")], 5, "r")
+    top = retrieval.ranked(answers.lexical_overlap(q, sources, k=5), "query_id", [F.desc("lexical_score"), F.asc("source_id")], 5, "r")
     ranked = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "source_id"))), lambda x: x["source_id"]).alias("ranked"))
-    cases = gold(s, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant")).withColumn("distractors", F.array().cast("array<bigint>"))
+    cases = found.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant")).withColumn("distractors", F.array().cast("array<bigint>"))
     return metrics.routing_scores(ranked, cases)
 
 
 @query
 def routing_ablation(s, d):
     """Benchmark items routed to the documents that hold them by two routers: profiles with their channel (source), and without."""
-    return evaluation.ablation(route_scores(s, d, True), route_scores(s, d, False), ["recall_1", "recall_3", "recall_5", "mrr"])
+    found = written(gold(s, d), "gold")
+    return evaluation.ablation(route_scores(s, d, True, found), route_scores(s, d, False, found), ["recall_1", "recall_3", "recall_5", "mrr"])
 
 
 def _sections(s, d):

@@ -125,3 +125,18 @@ def test_pairs_that_are_wanted_become_rows(spark):
     d = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, ["b"]), (3, ["a"]), (4, ["b", "a"]), (5, [])], "doc_id long, tokens array<string>").coalesce(1)
     got = lambda wanted: sorted(tuple(r) for r in Q.retrieval.pairs_found(d, wanted).collect())
     assert got([("a", "b"), ("b", "a"), ("b", "x")]) == [(1, "a b"), (4, "b a")] and got([]) == []
+
+
+def test_overlap_is_counted_in_the_row(spark):
+    """The first k are those of the join, halves rounded up as in SQL; no pairs are shuffled."""
+    from tesselith.operators import answers
+
+    r = np.random.default_rng(9)
+    some = lambda n: sorted({f"t{x}" for x in r.integers(0, 20, n)})
+    s = spark.createDataFrame([(i, some(i % 12)) for i in range(300)] + [(900, [f"t{i}" for i in range(16384)])], "source_id long, tokens array<string>")
+    q = spark.createDataFrame([(i, some(i % 6)) for i in range(20)] + [(99, ["t16000"])], "query_id long, tokens array<string>")
+    top, whole = answers.lexical_overlap(q, s, k=6), answers.lexical_overlap(q, s)
+    assert "Aggregate" not in plan(top)
+    wanted = Q.retrieval.ranked(whole, "query_id", [Q.F.desc("lexical_score"), Q.F.asc("source_id")], 6).drop("rank")
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, wanted.collect()))
+    assert (99, 900, 0.007813) in {tuple(x) for x in top.collect()}
