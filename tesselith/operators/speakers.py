@@ -1,7 +1,12 @@
-"""People in titles and texts: who takes part in an episode, who is named where, and who speaks. Built-in functions only."""
+"""People in titles and texts: who takes part in an episode, who is named where, and who speaks. Built-in functions but for the names of a dictionary in texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ TOGETHER, TOGETHER_JA = "conversation|discussion|speakers?|they|interview", "会
 SHOWS = ["mind the game"]
 
 WORD = r"[\p{L}\p{N}_]+"
+#: What stands between words.
+GAP = r"[^\p{L}\p{N}_]+"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -86,24 +93,93 @@ def attributed(sections: DataFrame) -> DataFrame:
     return d.withColumns({"speaker": F.col("found.s"), "speaker_role": F.col("found.r"), "speaker_confidence": F.col("found.c")}).drop("one", "found")
 
 
-#: Names whose aliases are sent to every task; with more, both sides are shuffled.
+#: Names whose aliases are sent to every task; with more, runs of words are made rows and both sides are shuffled.
 FEW = 100_000
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name, start, end, ambiguous) of every place where an alias of a name stands in a text (id, text) as whole words, in any case.
 
-    A dictionary's join: the runs of words in each text that are as long as some alias, with their places, meet the aliases by equality, so the work doesn't grow with the
-    product of texts and names. An alias of several names gives a row for each, marked ambiguous. Aliases that don't begin and end with a word are never found.
+    The runs of words in each text that are as long as some alias, with their places, meet the aliases by equality, so the work doesn't grow with the product of texts and
+    names. With FEW names or fewer that is done within the row, in parts of Arrow batches, and only what is found becomes rows. An alias of several names gives a row for each,
+    marked ambiguous. Aliases that don't begin and end with a word are never found.
     """
     n = names.select(T.clean(F.col("name")).alias("name")).where("name <> ''").distinct()
     a = n.select("name", F.explode(F.array_distinct(F.transform(aliases(F.col("name")), F.lower))).alias("alias"))
-    a = a.where(F.col("alias").rlike(f"^{WORD}") & F.col("alias").rlike(f"{WORD}$")).withColumn("words", F.size(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))))
+    a = a.where(F.col("alias").rlike(f"^{WORD}") & F.col("alias").rlike(f"{WORD}$"))
+    a = a.join(a.groupBy("alias").agg((F.count(F.lit(1)) > 1).alias("ambiguous")), "alias")
+    d = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    held = a.select("name", "ambiguous", _pieces(F.col("alias")).alias("pieces")).limit(2 * FEW + 1).collect()  # a name has two aliases at most
+    found = _found_in_row(d, held) if len(held) <= 2 * FEW else _found_by_join(d, a)
+    # a name that stands somewhere by itself and by its surname is there once
+    return found.groupBy("id", "name", "end").agg(F.min("start").alias("start"), F.min("ambiguous").alias("ambiguous")).select("id", "name", "start", "end", "ambiguous")
+
+
+def _pieces(low: Column) -> Column:
+    """Words and what stands between them, by turns: together the whole text."""
+    return F.regexp_extract_all(low, F.lit(f"{WORD}|{GAP}"), F.lit(0))
+
+
+def _found_in_row(texts: DataFrame, held: list) -> DataFrame:
+    """(id, name, start, end, ambiguous) over (id, low): pieces of a text follow a tree of the aliases' pieces, step by step for all places of a part of a batch at once.
+
+    held: rows (name, ambiguous, pieces), which go to every task.
+    """
+    vocabulary = {p: i for i, p in enumerate(sorted({p for r in held for p in r["pieces"]}))}
+    # steps[j]: sorted (state before * pieces + piece); a state is its place there. ends[j]: the rows of held that end in a state.
+    steps, ends, states = [], [], [0] * len(held)
+    for j in range(max((len(r["pieces"]) for r in held), default=0)):
+        alive = [i for i, r in enumerate(held) if len(r["pieces"]) > j]
+        keys = {i: states[i] * len(vocabulary) + vocabulary[held[i]["pieces"][j]] for i in alive}
+        steps.append(sorted(set(keys.values())))
+        place = {k: s for s, k in enumerate(steps[-1])}
+        ends.append([[] for _ in place])
+        for i in alive:
+            states[i] = place[keys[i]]
+            if len(held[i]["pieces"]) == j + 1:
+                ends[-1][states[i]].append(i)
+    sent = texts.sparkSession.sparkContext.broadcast((list(vocabulary), [r["name"] for r in held], [r["ambiguous"] for r in held], steps, ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, names, ambiguous, steps, ends = sent.value
+        known, names, ambiguous = pa.array(pieces, pa.string()), pa.array(names, pa.string()), pa.array(ambiguous, pa.bool_())
+        steps = [np.array(s, np.int64) for s in steps]
+        # of each state, where its rows of held begin in one list of them
+        firsts = [np.r_[0, np.cumsum([len(x) for x in e])] for e in ends]
+        lasts = [np.array([i for x in e for i in x], np.int64) for e in ends]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                flat, count = part.column(1).flatten(), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy()
+                row, code = np.repeat(np.arange(len(count)), count), pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy().astype(np.int64)
+                length = pc.utf8_length(flat).to_numpy().astype(np.int64)
+                total = np.r_[0, np.cumsum(length)]
+                # characters before each piece in its own text
+                before = total[:-1] - total[np.r_[0, np.cumsum(count)[:-1]]][row] if len(row) else total[:-1]
+                at, state = np.flatnonzero(code >= 0), None
+                for j, step in enumerate(steps):
+                    to = at + j
+                    fits = to < len(code)
+                    fits[fits] = (code[to[fits]] >= 0) & (row[to[fits]] == row[at[fits]])
+                    at, to, state = at[fits], to[fits], 0 if state is None else state[fits]
+                    key = state * len(known) + code[to]
+                    state = np.minimum(np.searchsorted(step, key), len(step) - 1)
+                    fits = step[state] == key
+                    at, to, state = at[fits], to[fits], state[fits]
+                    each = firsts[j][state + 1] - firsts[j][state]
+                    if each.sum():
+                        i = np.repeat(np.arange(len(at)), each)
+                        which = pa.array(lasts[j][np.repeat(firsts[j][state] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at[i]])), names.take(which), pa.array(before[at[i]]), pa.array(before[to[i]] + length[to[i]]), ambiguous.take(which)], ["id", "name", "start", "end", "ambiguous"])
+
+    return texts.select("id", _pieces(F.col("low")).alias("pieces")).mapInArrow(run, f"id {dict(texts.dtypes)['id']}, name string, start long, end long, ambiguous boolean")
+
+
+def _found_by_join(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, name, start, end, ambiguous) over (id, low): all runs of words as rows, joined to aliases (name, alias, ambiguous)."""
+    a = aliases.withColumn("words", F.size(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))))
     sizes = [r["words"] for r in a.select("words").distinct().orderBy("words").collect()]  # how many words aliases have: few numbers
-    shared = a.groupBy("alias").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
-    a = a.join(shared, "alias")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    d = texts.select("id", T.spans(low, WORD).alias("w"), F.split(low, WORD, -1).alias("gap"))
+    d = texts.select("id", T.spans(F.col("low"), WORD).alias("w"), F.split("low", WORD, -1).alias("gap"))
 
     def runs(k: int) -> Column:
         """Runs of k words with what stands between them."""
@@ -111,9 +187,5 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
         of = lambda x, i: F.struct(x["start"].alias("start"), F.get("w", i + k - 1)["end"].alias("end"), (x["s"] if k == 1 else text(i)).alias("alias"))
         return F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))), of)
 
-    if not sizes:
-        return d.where("false").select("id", F.lit("").alias("name"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(False).alias("ambiguous"))
     each = d.select("id", F.inline(F.concat(*[runs(k) for k in sizes])))
-    found = each.join(F.broadcast(a) if n.count() <= FEW else a, "alias")
-    # a name that stands somewhere by itself and by its surname is there once
-    return found.groupBy("id", "name", "end").agg(F.min("start").alias("start"), F.min("ambiguous").alias("ambiguous")).select("id", "name", "start", "end", "ambiguous")
+    return each.join(a, "alias").select("id", "name", "start", "end", "ambiguous")

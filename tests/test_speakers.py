@@ -59,3 +59,19 @@ def test_mentions_against_regular_expressions(spark):
     got = [tuple(x) for x in speakers.mentions(d, spark.createDataFrame([(n,) for n in names], "name string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(x[4] for x in want)
     assert speakers.mentions(d, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_mentions_make_no_rows_of_words(spark):
+    names = spark.createDataFrame([("Anna O'Neil",), ("Bo  Li",), ("Seth Curry",), ("Stephen Curry",)], "name string")
+    texts = spark.createDataFrame([(1, "Anna O'NEIL, anna o neil; Bo Li Li."), (2, None), (3, "curry größe Seth Curry"), (4, "Bo Li"), (5, "Li")], "id long, text string")
+    few = speakers.mentions(texts, names)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # not a row for each word of a text
+    want = {(1, "Anna O'Neil", 0, 11, False), (1, "Bo Li", 26, 31, False), (3, "Seth Curry", 0, 5, True), (3, "Stephen Curry", 0, 5, True), (3, "Seth Curry", 12, 22, False), (3, "Stephen Curry", 17, 22, True), (4, "Bo Li", 0, 5, False)}
+    assert {tuple(r) for r in few.collect()} == want
+    held, speakers.FEW = speakers.FEW, 1
+    try:
+        assert {tuple(r) for r in speakers.mentions(texts, names).collect()} == want
+    finally:
+        speakers.FEW = held
+    assert speakers.mentions(texts, names.where("false")).collect() == []
