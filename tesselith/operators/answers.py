@@ -111,12 +111,16 @@ def citations(rows: DataFrame) -> DataFrame:
     return d.select("query_id", "citation_id", "doc_id", T.clock_range(F.col("start"), F.col("end")).alias("label"), T.snippet(F.col("text"), 240).alias("snippet"), F.format_string("Retrieved chunk #%d for the question.", F.col("rank")).alias("reason"), T.timed_url(F.col("url"), F.col("start")).alias("url"))
 
 
-def profiles(lines: DataFrame, titles: DataFrame, max_sections: int = 5, overview_chars: int = 2400, section_chars: int = 1800) -> DataFrame:
-    """(doc_id, title, overview, sections, lexical_text): what a source is routed by. A text's lines are its chunks.
+def profiles(lines: DataFrame, titles: DataFrame | None = None, max_sections: int = 5, overview_chars: int = 2400, section_chars: int = 1800, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, title, overview, sections, lexical_text[, keep]): what a source is routed by. A text's lines are its chunks.
 
-    Sections cut the lines at floor(g*n/k); the overview takes up to 8 lines at floor(i*n/8). All within the row.
+    Sections cut the lines at floor(g*n/k); the overview takes up to 8 lines at floor(i*n/8). All within the row. Without titles, lines have a title and the columns
+    to keep beside them, and nothing is shuffled; rows without an id are left out either way.
     """
-    d = titles.select("doc_id", "title").join(lines.select("doc_id", "lines"), "doc_id")
+    if titles is None:
+        d = lines.select("doc_id", "title", "lines", *keep).where("doc_id is not null")
+    else:
+        d = titles.select("doc_id", "title").join(lines.select("doc_id", "lines", *keep), "doc_id")
     # the sequences end before they begin without lines
     d = d.withColumn("n", F.size("lines")).withColumn("k", F.least(F.lit(max_sections), F.size("lines"))).withColumn("m", F.least(F.lit(8), F.size("lines")))
     over = F.expr(f"if(n = 0, '', rtrim(substring(array_join(transform(sequence(0, greatest(m, 1) - 1), i -> trim(regexp_replace(lines[int(i * n div m)].text, '(?U)\\\\s+', ' '))), ' '), 1, {overview_chars})))")
@@ -125,7 +129,7 @@ def profiles(lines: DataFrame, titles: DataFrame, max_sections: int = 5, overvie
         transform(sequence(0, greatest(k, 1) - 1), g -> named_struct('idx', g, 'start_ds', lines[int(g * n div k)].start_ds, 'end_ds', lines[int((g + 1) * n div k) - 1].end_ds,
           'text', rtrim(substring(array_join(transform(slice(lines, int(g * n div k) + 1, int((g + 1) * n div k) - int(g * n div k)), x -> trim(regexp_replace(x.text, '(?U)\\\\s+', ' '))), ' '), 1, {section_chars})))))""")
     d = d.withColumn("sections", sections)
-    return d.select("doc_id", "title", "overview", "sections", F.concat_ws("\n", "title", "overview", F.array_join(F.transform("sections", lambda s: s["text"]), "\n")).alias("lexical_text"))
+    return d.select("doc_id", "title", "overview", "sections", F.concat_ws("\n", "title", "overview", F.array_join(F.transform("sections", lambda s: s["text"]), "\n")).alias("lexical_text"), *keep)
 
 
 def multi_vector_scores(hits: DataFrame, digits: int = 9) -> DataFrame:

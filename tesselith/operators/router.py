@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.sources import published
+from tesselith.sources.scratch import written
 
+#: Changed documents whose ids are sent to every task; with more, both sides are shuffled.
+FEW = 500_000
 #: Version of the profiles' form: another one makes all vectors again.
 PROFILE_VERSION = 1
 
@@ -39,17 +42,19 @@ def refreshed(profiles: DataFrame, path: str, embed: Callable[[DataFrame], DataF
     or after, whole. Other settings (the embedding's name, its dimension) make all vectors again. embed adds `embedding` to rows with `text`.
     """
     spark = profiles.sparkSession
-    now = with_fingerprints(profiles)
+    now = with_fingerprints(profiles.where("doc_id is not null"))
     m = published.manifest(spark, path)
     if m is None or m["facts"].get("settings") != settings:
         documents = now.count()
         published.publish(embed(vector_texts(now)), path, ["doc_id"], buckets, {"settings": settings, "documents": documents})
         return {"built": True, "embedded": documents, "kept": 0, "removed": 0}
     have = published.read(spark, path).where("vector_type = 'identity'").select("doc_id", "fingerprint")
-    changed = now.join(have, ["doc_id", "fingerprint"], "left_anti")
-    removed = have.join(now, "doc_id", "left_anti").select("doc_id")
-    n_changed, n_removed, n_now = changed.count(), removed.count(), now.count()
+    # by ids alone: profiles are the bulk of the work
+    ids = written(now.select("doc_id", "fingerprint").join(have, ["doc_id", "fingerprint"], "left_anti").select("doc_id").distinct(), "router-changed")
+    removed = written(have.join(now, "doc_id", "left_anti").select("doc_id").distinct(), "router-removed")
+    n_changed, n_removed, n_now = ids.count(), removed.count(), now.count()
     if n_changed or n_removed:
-        stale = removed.union(changed.select("doc_id"))
+        changed = now.join(F.broadcast(ids) if n_changed <= FEW else ids, "doc_id", "left_semi")
+        stale = removed.union(ids)
         published.merge(embed(vector_texts(changed)), path, ["doc_id"], lambda old, new: old.unionByName(new), stale, facts={"settings": settings, "documents": n_now})
     return {"built": False, "embedded": n_changed, "kept": n_now - n_changed, "removed": n_removed}

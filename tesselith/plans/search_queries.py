@@ -8,7 +8,7 @@ from tesselith.functions import text as T
 from tesselith.operators import answers, curation, evaluation, library, metrics, multimodal, retrieval, review, speakers, study
 from tesselith.plans.oracles import CLEAN, CUR, DENSE, GOLD, LEX, LINES, PROFILE, QRY, RRF, assess, both, scores
 from tesselith.plans.people_queries import episodes
-from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titles, tool_side
+from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titled_lines, titles, tool_side
 from tesselith.sources import adapters, fixtures
 from tesselith.sources.scratch import written
 from tesselith.sources.tables import table
@@ -72,7 +72,7 @@ def review_order(s, d):
 
 def route_scores(s, d, channel: bool, found):
     """found: the gold, as a written table."""
-    p = answers.profiles(lines(s, d), titles(s, d)).join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    p = answers.profiles(titled_lines(s, d), keep=("source",))
     text = F.concat_ws("\n", *(["source"] if channel else []), "lexical_text")
     sources = p.select(F.col("doc_id").alias("source_id"), T.routing_tokens(text).alias("tokens"))
     q = adapters.query_table(s, d).select("query_id", F.array_distinct("terms").alias("tokens"))

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselith.operators import router, segmenter
-from tesselith.sources import connector, fixtures, loose, published, records
+from tesselith.operators import answers, router, segmenter
+from tesselith.sources import adapters, connector, fixtures, loose, published, records
 from tesselith.streaming import jobs
 
 
@@ -193,3 +193,14 @@ def test_fixture_corpora(spark, tmp_path):
     assert rows("chunks") == [("g.json", "a", 0, 0.0, 5.0, "one", "one", []), ("g.json", "a", 1, 0.0, 0.0, "", "e", ["t"])]
     assert rows("dense_scores") == [("g.json", "a", 0, "q1", 0.5)]
     assert rows("problems") == [("broken.json", "", "no videos"), ("g.json", "1", "no video_id"), ("g.json", "2", "video_id repeated"), ("g.json", "a:0", "score not usable"), ("g.json", "a:0", "score not usable"), ("g.json", "a:1", "chunk without text"), ("none.json", "", "no videos")]
+
+
+def test_profiles_without_a_shuffle(spark):
+    """Titles and languages stand beside the lines, so that a source's profile is made within its row."""
+    docs = spark.createDataFrame([(1, "One\n\ntwo  words\nthree", "fr", "a"), (2, None, "de", None), (3, "", None, "b"), (4, "\nfirst", "en", "c"), (None, "x", "en", "c")], "doc_id long, text string, lang string, source string")
+    titled = docs.withColumn("title", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    alone = answers.profiles(adapters.with_lines(titled, "title"), keep=("lang", "source"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    joined = answers.profiles(adapters.with_lines(docs), titled.select("doc_id", "title")).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    key = lambda r: r.doc_id
+    assert sorted(alone.collect(), key=key) == sorted(joined.select(*alone.columns).collect(), key=key) and alone.count() == 4
