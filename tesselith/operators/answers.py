@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.functions import vocab as V
-from tesselith.operators.retrieval import overlap_topk, ranked
+from tesselith.operators.retrieval import HELD, dense_ranks, dense_topk, overlap_best, overlap_ranks, overlap_rows, overlap_topk, ranked
+from tesselith.sources.scratch import written
 
 
 def read_context(lines: DataFrame, requests: DataFrame) -> DataFrame:
@@ -166,11 +167,38 @@ def routed(dense: DataFrame | None, lexical: DataFrame, k: int, digits: int = 6)
         d = x.withColumn("dense_score", F.lit(None).cast("double")).withColumn("dr", F.lit(None).cast("int"))
     else:
         d = ranked(dense, "query_id", [F.desc("dense_score"), F.asc("source_id")], None, "dr").join(x, ["query_id", "source_id"], "full")
+    return _fused_routes(d, k, digits)
+
+
+def _fused_routes(d: DataFrame, k: int, digits: int) -> DataFrame:
     part = F.coalesce(1.0 / (V.RRF_K + F.col("dr")), F.lit(0.0)) + F.coalesce(1.0 / (V.RRF_K + F.col("lr")) + 0.02 * F.col("lexical_score"), F.lit(0.0))
     d = d.withColumn("score", F.round(part, digits)).drop("dr", "lr")
     return ranked(d, "query_id", [F.desc("score"), F.asc("source_id")], k)
 
 
+def routed_search(vectors: DataFrame, vector_queries: DataFrame, sources: DataFrame, token_queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """routed() of all dense scores of vectors (vec_id, embedding) by vector_queries (query_id, embedding) and of lexical_overlap() of token_queries and sources; a vector's id is its source's.
+
+    Only the first 2 * (RRF_K + k) of a side can be among the first k: a source beyond them on both sides has less than twice 1 / (2 * (RRF_K + k)) and no larger lexical score than the first k of a side,
+    each of which has 1 / (RRF_K + k) or more. Those candidates' ranks on the other side are counted among all sources, so no task holds a row for each query and source.
+    With more than HELD candidates, ids that repeat or are null, or a k so large that rounding might hide the difference, all pairs are ranked.
+    """
+    whole = lambda: routed(dense_topk(vectors, vector_queries, None).select("query_id", F.col("vec_id").alias("source_id"), "dense_score"), lexical_overlap(token_queries, sources), k, digits)
+    once = lambda rows, c: rows.groupBy(c).count().where(f"count > 1 or {c} is null").isEmpty()
+    if k > 1000 or not once(vectors, "vec_id") or not once(vector_queries, "query_id") or (counted := overlap_rows(token_queries, sources)) is None:
+        return whole()
+    most, pair = 2 * (V.RRF_K + k), ["query_id", "source_id"]
+    dense = written(dense_topk(vectors, vector_queries, most).withColumnsRenamed({"vec_id": "source_id", "rank": "dr"}), "routed-dense")
+    lexical = written(ranked(overlap_best(*counted, most), "query_id", [F.desc("lexical_score"), F.asc("source_id")], None, "lr"), "routed-lexical")
+    if max(dense.count(), lexical.count()) > HELD:
+        return whole()
+    more = dense_ranks(vectors, vector_queries, lexical.join(dense, pair, "left_anti").select("query_id", F.col("source_id").alias("vec_id")))
+    other = overlap_ranks(*counted, dense.join(lexical, pair, "left_anti").select(*pair))
+    dense = dense.unionByName(more.withColumnsRenamed({"vec_id": "source_id", "rank": "dr"}))
+    lexical = lexical.unionByName(other.withColumnRenamed("rank", "lr"))
+    return _fused_routes(dense.join(lexical, pair, "full"), k, digits)
+
+
 def routed_variants(variants: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Fusion of rankings of language variants (query_id, kind, source_id, rank, lexical_score); translated ones weigh a tenth more."""
     w = F.when(F.col("kind") == "translated", 1.1).otherwise(1.0)

@@ -140,3 +140,24 @@ def test_overlap_is_counted_in_the_row(spark):
     wanted = Q.retrieval.ranked(whole, "query_id", [Q.F.desc("lexical_score"), Q.F.asc("source_id")], 6).drop("rank")
     assert sorted(map(tuple, top.collect())) == sorted(map(tuple, wanted.collect()))
     assert (99, 900, 0.007813) in {tuple(x) for x in top.collect()}
+
+
+def test_routes_are_found_without_ranking_all_pairs(spark, monkeypatch):
+    """The same first k, scores and ranks, with many equal scores and few candidates."""
+    from tesselith.operators import answers
+
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(12, 4)), 1)
+    vectors = spark.createDataFrame([(i, x[r.integers(12)].tolist()) for i in range(70)] + [(80, None)], "vec_id long, embedding array<double>")  # many equal scores
+    queries = spark.createDataFrame([(i, r.normal(size=4).round(1).tolist()) for i in (0, 3, 99)], "query_id long, embedding array<double>")
+    words = list("abcdefgh")
+    some = lambda n: sorted(set(r.choice(words, n).tolist()))
+    sources = spark.createDataFrame([(i, some(int(r.integers(1, 7)))) for i in range(20, 90)], "source_id long, tokens array<string>").repartition(3)
+    tokens = spark.createDataFrame([(0, ["a", "b", "c"]), (3, ["h"]), (7, ["a", "d"]), (99, ["none"])], "query_id long, tokens array<string>")
+    monkeypatch.setattr(answers.V, "RRF_K", 0)  # eight candidates of a side
+    monkeypatch.setattr(Q.retrieval, "SCORES", 100)
+    dense = Q.retrieval.dense_topk(vectors, queries, None).select("query_id", Q.F.col("vec_id").alias("source_id"), "dense_score")
+    key = ["query_id", "rank", "source_id", "score", "dense_score", "lexical_score"]
+    want = sorted(tuple(r) for r in answers.routed(dense, answers.lexical_overlap(tokens, sources), 4).select(*key).collect())
+    monkeypatch.setattr(answers, "routed", None)
+    assert sorted(tuple(r) for r in answers.routed_search(vectors, queries, sources, tokens, 4).select(*key).collect()) == want and len(want) == 16
