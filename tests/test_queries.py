@@ -161,3 +161,9 @@ def test_routes_are_found_without_ranking_all_pairs(spark, monkeypatch):
     want = sorted(tuple(r) for r in answers.routed(dense, answers.lexical_overlap(tokens, sources), 4).select(*key).collect())
     monkeypatch.setattr(answers, "routed", None)
     assert sorted(tuple(r) for r in answers.routed_search(vectors, queries, sources, tokens, 4).select(*key).collect()) == want and len(want) == 16
+
+
+def test_cards_are_made_once(spark):
+    """The joins read the written cards, not the texts."""
+    files = QUERIES["study_cards_normalised"](spark, SF).inputFiles()
+    assert files and not any("documents" in f for f in files)
