@@ -137,7 +137,8 @@ def fixture_corpora(s, d):
     name = F.when(i % 10 == 9, "").otherwise(F.concat(F.lit("v"), F.when(i % 10 == 8, i - 8).otherwise(i).cast("string")))
     one = F.to_json(F.struct(name.alias("video_id"), F.transform(F.slice("lines", 1, 2), chunk).alias("chunks")), {"ignoreNullFields": "false"})
     g = lines(s, d).select(F.floor(i / 10).cast("string").alias("corpus"), F.struct(i.alias("n"), one.alias("v")).alias("x")).groupBy("corpus").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    t = fixtures.corpus(g.select("corpus", F.concat(F.lit('{"videos":['), F.array_join(F.transform("x", lambda y: y["v"]), ","), F.lit("]}")).alias("json")))
+    # written, as eight reads of it follow
+    t = fixtures.corpus(written(g.select("corpus", F.concat(F.lit('{"videos":['), F.array_join(F.transform("x", lambda y: y["v"]), ","), F.lit("]}")).alias("json")), "fixture-corpora"))
     counted = [t[name].groupBy("corpus", *(["problem"] if name == "problems" else [])).agg(F.count(F.lit(1)).alias("n")).select("corpus", (F.col("problem") if name == "problems" else F.lit(name)).alias("what"), "n") for name in ("videos", "chunks", "dense_scores", "problems")]
     return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
 

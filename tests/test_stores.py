@@ -204,3 +204,15 @@ def test_profiles_without_a_shuffle(spark):
     joined = answers.profiles(adapters.with_lines(docs), titled.select("doc_id", "title")).join(docs.select("doc_id", "lang", "source"), "doc_id")
     key = lambda r: r.doc_id
     assert sorted(alone.collect(), key=key) == sorted(joined.select(*alone.columns).collect(), key=key) and alone.count() == 4
+
+
+def test_fixture_corpora_without_a_shuffle(spark):
+    """The first video of an id is found within its corpus's row."""
+    ids = [["b", "a", " b", None, "a ", "", "c"], [], ["a"], None, ["z"] * 300 + ["y"]]
+    texts = [(f"c{n}", json.dumps({"videos": x and [{"video_id": i, "title": f"t{k}"} for k, i in enumerate(x)]})) for n, x in enumerate(ids)] + [("n", '{"videos":[null]}'), ("x", None)]
+    t = fixtures.corpus(spark.createDataFrame(texts, "corpus string, json string"))
+    assert "Exchange" not in t["videos"]._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.corpus, r.video_id, r.title) for r in t["videos"].collect()) == [("c0", "a", "t1"), ("c0", "b", "t0"), ("c0", "c", "t6"), ("c2", "a", "t0"), ("c4", "y", "t300"), ("c4", "z", "t0")]
+    wrong = [(r.corpus, r.place, r.problem) for r in t["problems"].collect()]
+    assert sorted(w for w in wrong if w[0] != "c4") == [("c0", "2", "video_id repeated"), ("c0", "3", "no video_id"), ("c0", "4", "video_id repeated"), ("c0", "5", "no video_id"), ("c1", "", "no videos"), ("c3", "", "no videos"), ("x", "", "no videos")]
+    assert len([w for w in wrong if w[0] == "c4" and w[2] == "video_id repeated"]) == 299
