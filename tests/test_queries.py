@@ -167,3 +167,22 @@ def test_cards_are_made_once(spark):
     """The joins read the written cards, not the texts."""
     files = QUERIES["study_cards_normalised"](spark, SF).inputFiles()
     assert files and not any("documents" in f for f in files)
+
+
+def test_written_scores_are_kept_in_the_row(spark, monkeypatch):
+    """The first k are those of the join; no pairs of query and chunk are shuffled."""
+    from tesselith.operators import evaluation
+
+    r = np.random.default_rng(4)
+    some = lambda n: [f"t{x}" for x in r.integers(0, 30, n)]
+    chunks = spark.createDataFrame([(i, i % 7, some(int(r.integers(0, 40)))) for i in range(400)] + [(900, 1, ["t1"] * 3 + [f"x{i}" for i in range(31)])], "doc_id long, chunk_index long, tokens array<string>").repartition(3)
+    queries = spark.createDataFrame([(i, some(6)) for i in range(9)] + [(50, []), (51, ["no"]), (52, ["t1"])], "query_id long, tokens array<string>")
+    pairs = sorted({(int(r.integers(0, 10)), int(r.integers(0, 420))) for _ in range(300)})
+    given = spark.createDataFrame([(q, i, [0.3, None, -1.0, 0.1234565][i % 4]) for q, i in pairs], "query_id long, doc_id long, score double")
+    monkeypatch.setattr(Q.retrieval, "SCORES", 100)
+    monkeypatch.setattr(evaluation, "KEPT", 10)
+    got = evaluation.fixture_dense(queries, chunks, given, 12)
+    assert "MapInArrow" in plan(got) and "explode" not in plan(got)
+    monkeypatch.setattr(evaluation, "overlap_rows", lambda *a: None)
+    want = evaluation.fixture_dense(queries, chunks, given, 12)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 120
