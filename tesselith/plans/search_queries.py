@@ -8,7 +8,7 @@ from tesselith.functions import text as T
 from tesselith.operators import answers, curation, evaluation, library, metrics, multimodal, retrieval, review, speakers, study
 from tesselith.plans.oracles import CLEAN, CUR, DENSE, GOLD, LEX, LINES, PROFILE, QRY, RRF, assess, both, scores
 from tesselith.plans.people_queries import episodes
-from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titled_lines, titles, tool_side
+from tesselith.plans.queries import TEN, dense_top, gold, lexical_top, lines, manifest, titled_lines, tool_side
 from tesselith.sources import adapters, fixtures
 from tesselith.sources.scratch import written
 from tesselith.sources.tables import table
