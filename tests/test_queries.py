@@ -186,3 +186,19 @@ def test_written_scores_are_kept_in_the_row(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "overlap_rows", lambda *a: None)
     want = evaluation.fixture_dense(queries, chunks, given, 12)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 120
+
+
+def blank_documents(path):
+    """Documents of which some have no lines: '', null, blank lines."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT i AS doc_id, CASE i % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN chr(10) || ' ' || chr(10) ELSE array_to_string([printf('Some Line %d of text %d', j, i) FOR j IN range(i)], chr(10)) END AS text, 'en' AS lang, 'src1' AS source FROM range(15) t(i)")
+    c.execute(f"COPY documents TO '{path}/documents.parquet' (FORMAT PARQUET)")
+    return c
+
+
+@pytest.mark.parametrize("name", ["read_context"])
+def test_documents_without_lines(spark, tmp_path, name):
+    c = blank_documents(tmp_path)
+    got, result = QUERIES[name](spark, str(tmp_path)), c.execute(ORACLES[name])
+    columns, rows = [d[0] for d in result.description], result.fetchall()
+    assert rows and rows_of(got.columns, got.collect()) == rows_of(columns, rows)
