@@ -91,9 +91,9 @@ def routing_ablation(s, d):
 
 def _sections(s, d):
     x = lines(s, d)
-    at = "named_struct('ord', {i}, 'rank', cast({r} as int), 'title', {t}, 'tldr', lines[{p}].text, 'anchor', {a}, 'start_ds', lines[{p}].start_ds + 7, 'end_ds', lines[{p}].end_ds)"
+    at = "named_struct('ord', {i}, 'rank', cast({r} as int), 'title', {t}, 'tldr', get(lines, {p}).text, 'anchor', {a}, 'start_ds', get(lines, {p}).start_ds + 7, 'end_ds', get(lines, {p}).end_ds)"
     last = "size(lines) - 1"
-    three = ", ".join([at.format(i=0, r="null", t="'First  theme'", p="0", a="''"), at.format(i=1, r="9", t="''", p="size(lines) div 2", a="'given anchor'"), at.format(i=2, r="null", t="lines[0].text", p=last, a="null")])
+    three = ", ".join([at.format(i=0, r="null", t="'First  theme'", p="0", a="''"), at.format(i=1, r="9", t="''", p="size(lines) div 2", a="'given anchor'"), at.format(i=2, r="null", t="get(lines, 0).text", p=last, a="null")])
     items = x.where("size(lines) > 0").select("doc_id", F.expr(f"array({three})").alias("items"))
     return study.summary_sections(items, x, speakers.episode_context(episodes(s, d)))
 
