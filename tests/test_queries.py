@@ -196,7 +196,7 @@ def blank_documents(path):
     return c
 
 
-@pytest.mark.parametrize("name", ["read_context", "study_section_topics", "study_summary_sections"])
+@pytest.mark.parametrize("name", ["read_context", "study_section_topics", "study_summary_sections", "topic_sources"])
 def test_documents_without_lines(spark, tmp_path, name):
     c = blank_documents(tmp_path)
     got, result = QUERIES[name](spark, str(tmp_path)), c.execute(ORACLES[name])
